@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import chat, credentials, packed, pieces, rules, shards
+from trackloom.llm import chat, credentials, near, packed, pieces, preference, rules, shards
 from trackloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.query(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.query(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(table(spark, sf_dir, "conversations"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.written_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -37,5 +45,5 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards.LIMIT)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scan, op4_quality_rules, op6_sentencepiece, op7_chat_format, op9_packed_tokens, op10_extendible_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op4_quality_rules, op6_sentencepiece, op7_chat_format, op8_quality_classifier, op9_packed_tokens, op10_extendible_shards)}
 ORACLES: dict[str, str] = {"op4_quality_rules": rules.ORACLE, "op7_chat_format": chat.ORACLE, "op10_extendible_shards": shards.ORACLE}
