@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import in_batches, kept, texts_as_strings
+from trackloom.llm.shared import in_batches, kept, key_of, texts_as_strings
 
 #: The order of kinds that begin at the same place.
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
@@ -95,10 +95,6 @@ def scan(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("doc_id", "text", key_of().alias("key")), run, f"doc_id {kind}, key long, found {SPAN}, parts {SPAN}")
 
 
-def key_of() -> Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def link(scanned: DataFrame, scope: int = 400) -> DataFrame:
     """doc_id, key, linked: the weak spans of each scanned text that have their complements within `scope` characters."""
     each = scanned.where(F.size("parts") > 0).dropDuplicates(["doc_id", "key"])

@@ -87,3 +87,8 @@ def fold(doc_id: Column | str) -> Column:
     """crc32 of the doc_id's decimal text modulo 5; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 5
+
+
+def key_of() -> Column:
+    """Tells rows of different doc_id or text apart, also where doc_id is null."""
+    return F.xxhash64("doc_id", "text")
