@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import chat, credentials, near, packed, pieces, preference, rules, shards
+from trackloom.llm import chat, credentials, near, packed, pieces, preference, rules, shards, suffix, templates
 from trackloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.query(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.query(table(spark, sf_dir, "documents"))
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,5 +53,11 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards.LIMIT)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op4_quality_rules, op6_sentencepiece, op7_chat_format, op8_quality_classifier, op9_packed_tokens, op10_extendible_shards)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_secret_scan, op3_suffix_tree_score, op4_quality_rules, op5_template_decontamination,
+        op6_sentencepiece, op7_chat_format, op8_quality_classifier, op9_packed_tokens, op10_extendible_shards,
+    )
+}
 ORACLES: dict[str, str] = {"op4_quality_rules": rules.ORACLE, "op7_chat_format": chat.ORACLE, "op10_extendible_shards": shards.ORACLE}
