@@ -1,8 +1,54 @@
-"""Corpus preparation: stages that each take the documents which the one before has kept."""
+"""Corpus preparation: stages that each take the documents which the one before has kept, and return the kept ones.
 
-STAGES = []
+Each stage is written as Parquet to the shared folder and read from there, so a lost executor costs one stage's work at most. All
+stages but the last return the columns of documents; the last returns the encoded documents. Rows of documents that a stage has no reason to drop stay,
+null texts and repeated rows included.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from trackloom.llm import credentials, near, pieces, preference, templates
+from trackloom.llm.shared import new_folder, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return preference.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near duplicates."""
+    return near.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return templates.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by the kind's name."""
+    return credentials.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (with the end id) and decoded (what the ids give) of each document."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
+#: No stage but secrets can be said in SQL: learnt weights, XXH64 fingerprints and merges. The stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        folder = new_folder(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return docs
