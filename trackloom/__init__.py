@@ -1,0 +1 @@
+"""Analytics of populations of moving, changing objects on Spark."""
