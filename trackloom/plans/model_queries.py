@@ -123,7 +123,7 @@ def baseline_forecasts(df: DataFrame) -> DataFrame:
     return fc.baseline_forecasts(*_windows(df))
 
 
-@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS INT) AS origin, n, mse, rmse, mae, smape, mape FROM s WHERE mape < 1000", doubles="mse rmse mae smape mape", digits=7)
+@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS INT) AS origin, n, mse, rmse, mae, smape, mape FROM s WHERE mape < 1000", doubles="mse rmse mae smape mape", digits=8)
 def forecast_metrics(df: DataFrame) -> DataFrame:
     return _metrics(df).where("mape < 1000")  # days at zero divide by the metric's epsilon
 
