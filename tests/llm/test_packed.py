@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -30,6 +30,13 @@ def test_stretches_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in TEXTS]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aeth T.,'s\n -_É1² ")), max_size=40))
+def test_any_text_equals_the_library(text):
+    library = packed.encoder(FILE).library
+    assert np.frombuffer(packed.encoder(FILE).encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [1, 5])
 def test_files(spark, tmp_path, n):
     library = Tokenizer.from_file(FILE)

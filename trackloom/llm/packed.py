@@ -13,9 +13,12 @@ keep one result each, in the order of their texts; columns other than doc_id and
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,11 @@ from trackloom.llm.shared import new_folder, slices, texts_as_strings
 
 #: One space between two characters that no reading of white space could take for one: pre-tokens of byte-level vocabularies never cross it.
 GAP = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: Letters of one script, which are one pre-token with the space before them.
+ONE = re.compile(f" ?[{_LETTER}]+")
+#: Between such letters, ASCII marks (the apostrophe is none) and line feeds: pre-tokens never cross these places either.
+EDGE = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}\n])|(?<=\n)(?=[{_LETTER}])")
 BLOCK = "part int, block int, at long, bits int, n_ids long, doc_ids array<long>, starts array<long>, packed binary"
 
 
@@ -62,38 +70,72 @@ def unpack(packed: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return ((value >> (at % 8).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype("<u4")
 
 
+class Bytes(dict):
+    """How byte-level vocabularies write a character, by its code point; asked from the library once each."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self[code] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        return self[code]
+
+
 class Encoder:
-    """The tokenizers library on stretches between GAPs, each encoded once while it is remembered."""
+    """The tokenizers library on stretches between GAPs, each encoded once while it is remembered (so many met last, and as many before).
+
+    A stretch of letters of one script is a single pre-token and goes straight to the library's model; others pass its whole pipeline.
+    """
 
     def __init__(self, tokenizer_file: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.library.encode_special_tokens = True
+        told = json.loads(self.library.to_str())
+        if told["normalizer"] or (told["pre_tokenizer"] or {}).get("type") != "ByteLevel" or told["pre_tokenizer"].get("add_prefix_space") or not all(t["special"] for t in told["added_tokens"]):
+            raise ValueError("only byte-level vocabularies can be cut at spaces")
+        self.model, self.letters = self.library.model, Bytes()
         self.remember = remember
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.short: dict[str, list[int]] = {}
 
     def learn(self, stretches: set[str]) -> None:
+        """Encode stretches (with a space before them) that are not known."""
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
-        new = []
-        for x in stretches.difference(self.known):
-            if (ids := self.older.get(x)) is None:
-                new.append(x)
-            else:
-                self.known[x] = ids
-        for x, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(coded.ids, "<u4").tobytes()
+        known, older, tokenize, letters, short = self.known, self.older, self.model.tokenize, self.letters, self.short
+        for x in stretches.difference(known):
+            if (found := older.get(x)) is None:
+                ids: list[int] = []
+                for part in [" " + x] if ONE.fullmatch(x) else EDGE.split(" " + x):
+                    if ONE.fullmatch(part):
+                        ids += [t.id for t in tokenize(part.translate(letters))]
+                    elif len(part) > 4:
+                        ids += self.library.encode(part, add_special_tokens=False).ids
+                    else:
+                        if part not in short:
+                            if len(short) > 100_000:
+                                short.clear()
+                            short[part] = self.library.encode(part, add_special_tokens=False).ids
+                        ids += short[part]
+                found = array("I", ids).tobytes()
+            known[x] = found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cuts = []
-        for text in texts:
-            first, *rest = GAP.split(text)
-            cuts.append([first, *[" " + x for x in rest]])
-        self.learn(set().union(*cuts))
-        return [b"".join(map(self.known.__getitem__, x)) for x in cuts]
+        """Ids of each text as unsigned 32-bit integers. A text's first stretch has no space before it and is not remembered."""
+        cuts = [GAP.split(text) for text in texts]
+        first = [x.ids for x in self.library.encode_batch_fast([x[0] for x in cuts], add_special_tokens=False)]
+        rest = [x[1:] for x in cuts]
+        self.learn(set().union(*rest))
+        find = self.known.__getitem__
+        return [array("I", ids).tobytes() + b"".join(map(find, x)) for ids, x in zip(first, rest, strict=True)]
+
+
+@cache
+def encoder(tokenizer_file: str) -> Encoder:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return Encoder(tokenizer_file)
 
 
 def write(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, partitions: int | None = None, block_docs: int = 256, block_bytes: int = 2_000_000) -> None:
@@ -108,14 +150,14 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, partit
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer_file)
-        bits = width(max(encoder.library.get_vocab_size(), end_id + 1))
+        own = encoder(tokenizer_file)
+        bits = width(max(own.library.get_vocab_size(), end_id + 1))
         end = np.array([end_id], "<u4").tobytes()
         part, number, at = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, block_bytes):
             for low in range(0, batch.num_rows, block_docs):
                 one = batch.slice(low, block_docs)
-                coded = [x + end for x in encoder.encode(texts_as_strings(one))]
+                coded = [x + end for x in own.encode(texts_as_strings(one))]
                 lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
                 starts = np.concatenate([[0], np.cumsum(lengths)])
                 ids = np.frombuffer(b"".join(coded), "<u4")
