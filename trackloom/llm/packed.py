@@ -70,6 +70,13 @@ def unpack(packed: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return ((value >> (at % 8).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype("<u4")
 
 
+def cut(text: str) -> list[str]:
+    """GAP.split(text). Where all spaces stand alone between printable characters, which no reading takes for white space, a plain split is the same and faster."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or not text.replace("\n", "x").isprintable():
+        return GAP.split(text)
+    return text.split(" ")
+
+
 class Bytes(dict):
     """How byte-level vocabularies write a character, by its code point; asked from the library once each."""
 
@@ -124,7 +131,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers. A text's first stretch has no space before it and is not remembered."""
-        cuts = [GAP.split(text) for text in texts]
+        cuts = [cut(text) for text in texts]
         first = [x.ids for x in self.library.encode_batch_fast([x[0] for x in cuts], add_special_tokens=False)]
         rest = [x[1:] for x in cuts]
         self.learn(set().union(*rest))
