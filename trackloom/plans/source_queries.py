@@ -48,11 +48,11 @@ def wide_to_sheets(df: DataFrame) -> DataFrame:
     return io.wide_to_sheets(df, ["area", "x_pos"], "l_orderkey")
 
 
-@query("v_tracks", sql="SELECT experiment, parent, time_index, area AS size, sqrt(power(x_pos, 2) + power(y_pos, 2)) AS radius, CASE WHEN area > 30 THEN least(greatest(-area + 50, 5), 10) ELSE 1.5 END AS odd, CASE WHEN x_pos <> 0 THEN y_pos / x_pos % 3 END AS rest FROM v_tracks", doubles="size radius odd rest", digits=9)
+@query("v_tracks", sql="SELECT experiment, parent, time_index, area AS size, sqrt(power(x_pos, 2) + power(y_pos, 2)) AS radius, CASE WHEN area > 30 THEN least(greatest(-area + 50, 5), 10) ELSE 1.5 END AS odd, CASE WHEN x_pos <> 0 THEN sqrt(y_pos / x_pos % 3) END AS rest FROM v_tracks", doubles="size radius odd rest", digits=9)
 def crosswalk_project(df: DataFrame) -> DataFrame:
     targets = [
         io.Target("size", source="AREA"), io.Target("radius", formula='sqrt(COL("x_pos") ** 2 + `y_pos`**2)'), io.Target("odd", formula="where(area > 30, clip(-area + 50, 5, 10), 1.5)"),
-        io.Target("rest", formula="y_pos / x_pos % 3"), io.Target("gone", source="volume"),
+        io.Target("rest", formula="sqrt(y_pos / x_pos % 3)"), io.Target("gone", source="volume"),
     ]
     return io.crosswalk_project(df, targets, [*K, "time_index"])[0]
 
