@@ -7,6 +7,8 @@ import pytest
 
 from trackloom.llm import suffix
 
+D = suffix.DEPTH
+
 
 def brute(rows):
     """Unigram base and suffix tree with dictionaries of contexts."""
@@ -16,11 +18,11 @@ def brute(rows):
     n, v = sum(count.values()), len(count)
     after = defaultdict(Counter)
     lines = [b" ".join(x) + b"\n" for x in split]
-    padded = [b"\0" * 4 + b"\n" + x for x in lines]
+    padded = [b"\0" * (D - 1) + b"\n" + x for x in lines]
     for line, h in zip(padded, held, strict=True):
         if not h:
-            for i in range(5, len(line)):
-                for k in range(6):
+            for i in range(D, len(line)):
+                for k in range(D + 1):
                     after[line[i - k : i]][line[i]] += 1
 
     def retained(context):
@@ -45,7 +47,7 @@ def brute(rows):
     for x, h, line in zip(split, held, padded, strict=True):
         c = [count[w] for w in [*x, b"\n"]]
         base = sum(math.log10((k + 0.5) / (n + 0.5 * (v + 1))) for k in c)
-        out.append((h, len(c), sum(k > 0 for k in c), n, base, sum(math.log10(p(line[i - 5 : i], line[i])) for i in range(5, len(line)))))
+        out.append((h, len(c), sum(k > 0 for k in c), n, base, sum(math.log10(p(line[i - D : i], line[i])) for i in range(D, len(line)))))
     return out, sum(keep.values())
 
 

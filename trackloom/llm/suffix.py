@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from trackloom.llm.shared import fold, kept, key_of, slices, texts_as_bytes
 DEPTH = 5
 #: Fixed: the end symbol and end token, which no word holds.
 END = b"\n"
+#: Bytes of text that a task looks at together.
+SLICE = 1_000_000
 #: Bytes of text in a chunk.
-CHUNK = 8_000_000
+CHUNK = 16_000_000
 
 
 def grams(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +45,37 @@ def grams(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """
     pad = b"\0" * (DEPTH - 1) + END
     lines = [pad + b" ".join(x) + END for x in split]
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines)) - DEPTH
-    data = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
-    code = data[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        code |= data[DEPTH - k : len(data) - k] << np.uint64(8 * k)
-    real = np.ones(len(data), bool)
-    starts = np.concatenate([[0], np.cumsum(lengths + DEPTH)[:-1]]) if len(lines) else np.zeros(0, np.int64)
-    real[(starts[:, None] + np.arange(DEPTH)[None]).ravel()] = False
-    return code[real[DEPTH:]], lengths
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    data = b"\0" * 7 + b"".join(lines)
+    # the eight bytes up to each place, read as one number
+    code = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64) & np.uint64((1 << 8 * (DEPTH + 1)) - 1)
+    real = np.ones(len(code), bool)
+    starts = np.cumsum(lengths) - lengths
+    for k in range(DEPTH):
+        real[starts + k] = False
+    return code[real], lengths - DEPTH
+
+
+class Lookup:
+    """Values by key, for arrays of keys that are all there: keys are sorted by a short hash, whose places are kept."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - (len(keys).bit_length() + 2))
+        slot = self.slot(keys)
+        order = np.argsort(slot)
+        self.keys, self.values = keys[order], values[order]
+        self.first = np.searchsorted(slot[order], np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.first[self.slot(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        while len(missed):
+            at[missed] += 1
+            missed = missed[self.keys[at[missed]] != keys[missed]]
+        return self.values[at]
 
 
 class Sums:
@@ -88,7 +113,7 @@ def counted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         rows = lambda found: (pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n)], ["gram", "n"]) for v, n in found)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             code, lengths = grams([x.lower().split() for x in texts_as_bytes(batch)])
             held = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths)
             values, counts = np.unique(code[~held], return_counts=True)
@@ -132,58 +157,54 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     marked = docs.select("doc_id", "text", (fold("doc_id") == 1).alias("held_out"), F.pmod(key_of(), F.lit(chunks)).cast("int").alias("chunk"))
     model = tree(kept(counted(marked)))
 
-    def asked_words(table: pa.Table) -> pa.Table:
+    def asked(table: pa.Table) -> pa.Table:
         found: Counter[bytes] = Counter()
-        for batch in slices(table.select(["text", "held_out"]).to_batches()):
-            seen = set()
-            for text, held in zip(texts_as_bytes(batch), batch.column(1).to_pylist(), strict=True):
-                words = text.lower().split()
+        seen, codes = set(), []
+        for batch in slices(table.select(["text", "held_out"]).to_batches(), SLICE):
+            split = [x.lower().split() for x in texts_as_bytes(batch)]
+            codes.append(np.unique(grams(split)[0]))
+            for words, held in zip(split, batch.column(1).to_pylist(), strict=True):
                 if held:
                     seen.update(words)
-                    seen.add(END)
                 else:
                     found.update(words)
                     found[END] += 1
-            for w in seen:
-                found[w] += 0
-        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
-
-    def asked_grams(table: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.uint64)
-        for batch in slices(table.select(["text"]).to_batches()):
-            code, _ = grams([x.lower().split() for x in texts_as_bytes(batch)])
-            found = np.union1d(found, np.unique(code))
-        return pa.table({"chunk": pa.array(np.full(len(found), table["chunk"][0].as_py(), np.int32)), "gram": pa.array(found.view(np.int64))})
-
-    by_word = Window.partitionBy("word")
-    words = marked.groupBy("chunk").applyInArrow(asked_words, "chunk int, word binary, n long").withColumns({"c": F.sum("n").over(by_word), "place": F.row_number().over(by_word.orderBy("chunk"))})
-    # each known word is counted in one of the chunks that ask for it
-    words = words.select("chunk", "word", F.lit(0).cast("long").alias("gram"), F.col("c").cast("double").alias("value"), ((F.col("place") == 1) & (F.col("c") > 0)).alias("counts"))
-    steps = marked.groupBy("chunk").applyInArrow(asked_grams, "chunk int, gram long").join(model, "gram")
-    answers = words.unionByName(steps.select("chunk", F.lit(None).cast("binary").alias("word"), "gram", F.col("logp").alias("value"), F.lit(False).alias("counts")))
+        seen.add(END)
+        only = [w for w in seen if w not in found]
+        gram = np.unique(np.concatenate(codes)).view(np.int64)
+        words, n = [*found, *only], [*found.values(), *[0] * len(only)]
+        return pa.table({
+            "chunk": pa.array(np.full(len(words) + len(gram), table["chunk"][0].as_py(), np.int32)), "word": pa.array([*words, *[None] * len(gram)], pa.binary()),
+            "gram": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(gram)]), "n": pa.array([*n, *[0] * len(gram)], pa.int64()),
+        })
+
+    # questions of the chunks and the tree's answers meet by word or gram; each known word is counted in one of the chunks that ask for it
+    questions = marked.groupBy("chunk").applyInArrow(asked, "chunk int, word binary, gram long, n long").withColumn("logp", F.lit(None).cast("double"))
+    tree_rows = model.select(F.lit(-1).alias("chunk"), F.lit(None).cast("binary").alias("word"), "gram", F.lit(0).cast("long").alias("n"), "logp")
+    same = Window.partitionBy("word", "gram")
+    met = questions.unionByName(tree_rows).withColumns({"c": F.sum("n").over(same), "p": F.max("logp").over(same), "place": F.row_number().over(same.orderBy("chunk"))})
+    answers = met.where("chunk >= 0").select("chunk", "word", "gram", F.coalesce("p", F.col("c").cast("double")).alias("value"), (F.col("word").isNotNull() & (F.col("place") == 1) & (F.col("c") > 0)).alias("counts"))
 
     def scored(table: pa.Table, given: pa.Table) -> pa.Table:
         is_word = np.asarray(given["word"].is_valid())
         value = given["value"].to_numpy()
         count = dict(zip(given["word"].filter(pa.array(is_word)).to_pylist(), value[is_word].tolist(), strict=True))
-        gram, logp = given["gram"].to_numpy()[~is_word].view(np.uint64), value[~is_word]
-        order = np.argsort(gram)
-        gram, logp = gram[order], logp[order]
+        logp = Lookup(given["gram"].filter(pa.array(~is_word)).to_numpy().view(np.uint64), value[~is_word])
         new_words = int(np.asarray(given["counts"]).sum())
         out = []
-        for batch in slices(table.select(["doc_id", "text", "held_out"]).to_batches()):
+        for batch in slices(table.select(["doc_id", "text", "held_out"]).to_batches(), SLICE):
             split = [x.lower().split() for x in texts_as_bytes(batch)]
-            tokens = np.fromiter(map(len, split), np.int64, len(split)) + 1
-            c = np.fromiter((count[w] for x in split for w in (*x, END)), np.float64, int(tokens.sum()))
-            at = np.concatenate([[0], np.cumsum(tokens)[:-1]])
             code, lengths = grams(split)
-            distinct, inverse = np.unique(code, return_inverse=True)
-            steps = logp[np.searchsorted(gram, distinct)][inverse]
+            for x in split:
+                x.append(END)
+            tokens = np.fromiter(map(len, split), np.int64, len(split))
+            c = np.fromiter(map(count.__getitem__, chain.from_iterable(split)), np.float64, int(tokens.sum()))
+            at = np.cumsum(tokens) - tokens
             first = np.zeros(len(split), np.int64)
             first[0], new_words = new_words, 0
             out.append(pa.table({
                 "doc_id": batch.column(0), "held_out": batch.column(2), "n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "raw": np.add.reduceat(np.log10(c + 0.5), at),
-                "score": np.add.reduceat(steps, np.concatenate([[0], np.cumsum(lengths)[:-1]])), "new_words": first,
+                "score": np.add.reduceat(logp(code), np.cumsum(lengths) - lengths), "new_words": first,
             }))
         return pa.concat_tables(out)
 
