@@ -80,7 +80,9 @@ def test_wave(spark):
     speeds = [1, 1, 5, 6, 5, 1, 1]
     df = spark.createDataFrame([("e", 1, i, float(v)) for i, v in enumerate(speeds, 1)], "experiment string, parent long, time_index int, speed double")
     w = t.speed_wave(df).first()
-    assert (w.wave_time, w.wave_peak) == (4, pytest.approx(16 / 3)) and (w.wave_left, w.wave_right, w.fwhm) == (2, 6, 4)
+    assert (w.wave_time, w.wave_peak, w.wave_left, w.wave_right, w.fwhm) == (4.0, 6.0, 2.0, 6.0, 4.0)
+    short = t.speed_wave(df.where("time_index < 3")).first()
+    assert (short.wave_peak, short.fwhm) == (0.0, 0.0)
     share = t.wave_share(t.speed_wave(df), "experiment").first()
     assert share.n_full == 1 and share.pct_full == 100.0
 

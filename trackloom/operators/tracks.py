@@ -232,22 +232,33 @@ def ar1(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[s
 
 
 def speed_wave(df: DataFrame, speed: str = "speed", key: Sequence[str] = KEY) -> DataFrame:
-    """wave_peak, wave_time, wave_left, wave_right and fwhm of each track: the peak of the three-row mean speed and where it falls to half.
+    """The wave of each track's speed, from means of three neighbouring known speeds; times in frames times dt (where there is one).
 
-    Crossings are the nearest rows before and after the peak whose mean is at most half the peak's; 0 where there is none.
+    The peak is in the first window of largest mean: its largest speed (wave_peak) and when (wave_time). Half of that mean is reached in the
+    nearest window before (after) whose mean is at most half: at its last (first) row of at most half, wave_left (wave_right) with the speed there. 0 for
+    what is not found, and for tracks of fewer than three speeds. fwhm adds the sides that were found.
     """
-    valid = df.where(F.col(speed).isNotNull())
+    time = F.col(TIME) * F.col("dt") if "dt" in df.columns else F.col(TIME).cast("double")
     w = over_track(key)
-    mean = valid.select(*key, TIME, F.avg(speed).over(w.rowsBetween(-1, 1)).alias("m"), F.count("*").over(w.rowsBetween(-1, 1)).alias("k")).where("k = 3")
+    rows = df.where(F.col(speed).isNotNull()).select(*key, TIME, time.alias("t0"), F.col(speed).alias("s0"))
+    windows = rows.select("*", *[F.lead(f"{c}0", i).over(w).alias(f"{c}{i}") for i in (1, 2) for c in ("t", "s")], F.row_number().over(w).alias("n")).where(F.col("s2").isNotNull())
+    windows = windows.withColumn("m", (F.col("s0") + F.col("s1") + F.col("s2")) / 3)
     whole = Window.partitionBy(*key)
-    peaked = mean.withColumn("peak", F.max("m").over(whole))
-    peaked = peaked.withColumn("at", F.min(F.when(F.col("m") == F.col("peak"), F.col(TIME))).over(whole))
-    low = F.col("m") <= F.col("peak") / 2
-    out = peaked.groupBy(*key).agg(
-        F.max("peak").alias("wave_peak"), F.max("at").alias("wave_time"),
-        F.max(F.when(low & (F.col(TIME) < F.col("at")), F.col(TIME))).alias("l"), F.min(F.when(low & (F.col(TIME) > F.col("at")), F.col(TIME))).alias("r"),
+    peaked = windows.withColumn("peak", F.max("m").over(whole))
+    peaked = peaked.withColumns({"at": F.min(F.when(F.col("m") == F.col("peak"), F.col("n"))).over(whole), "half": F.col("peak") / 2})
+    places = [F.struct(F.col(f"s{i}").alias("s"), F.col(f"t{i}").alias("t")) for i in range(3)]
+    first_low = lambda order: F.coalesce(*[F.when(F.col(f"s{i}") <= F.col("half"), places[i]) for i in order])
+    top = F.greatest("s0", "s1", "s2")
+    highest = F.coalesce(*[F.when(F.col(f"s{i}") == top, places[i]) for i in range(3)])
+    low = F.col("m") <= F.col("half")
+    found = peaked.groupBy(*key).agg(
+        F.max(F.when(F.col("n") == F.col("at"), highest)).alias("p"), F.max_by(first_low((2, 1, 0)), F.when(low & (F.col("n") < F.col("at")), F.col("n"))).alias("l"),
+        F.min_by(first_low((0, 1, 2)), F.when(low & (F.col("n") > F.col("at")), F.col("n"))).alias("r"),
     )
-    return out.select(*key, "wave_peak", "wave_time", F.coalesce("l", F.lit(0)).alias("wave_left"), F.coalesce("r", F.lit(0)).alias("wave_right"), F.coalesce(F.col("r") - F.col("l"), F.lit(0)).alias("fwhm"))
+    all_ = df.select(*key).distinct().join(found, list(key), "left")
+    value = lambda c, name: F.coalesce(F.col(c), F.lit(0.0)).alias(name)
+    width = F.coalesce(F.col("p.t") - F.col("l.t"), F.lit(0.0)) + F.coalesce(F.col("r.t") - F.col("p.t"), F.lit(0.0))
+    return all_.select(*key, value("p.s", "wave_peak"), value("p.t", "wave_time"), value("l.t", "wave_left"), value("l.s", "wave_left_speed"), value("r.t", "wave_right"), value("r.s", "wave_right_speed"), width.alias("fwhm"))
 
 
 def wave_filter(waves: DataFrame, kind: str) -> DataFrame:

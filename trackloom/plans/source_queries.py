@@ -21,6 +21,18 @@ def union_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*K, "area", "n_frames").unionByName(b.select(*K, "area"), allowMissingColumns=True)
 
 
+@query("supplier", sql="SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'known' ELSE 'supplier' END AS experiment FROM supplier")
+def source_name_column(supplier: DataFrame) -> DataFrame:
+    named = io.source_name_column(supplier.withColumn("experiment", F.when(F.col("s_suppkey") % 2 == 0, "known")), "experiment")
+    return named.select("s_suppkey", "experiment")
+
+
+@query("v_a", "v_b", sql="SELECT experiment, count(*) AS n, count(n_frames) AS n_known FROM (SELECT experiment, n_frames FROM v_a UNION ALL SELECT experiment, NULL FROM v_b) GROUP BY experiment")
+def merge_summaries(a: DataFrame, b: DataFrame) -> DataFrame:
+    merged = a.select(*K, "n_frames").unionByName(b.select(*K), allowMissingColumns=True)
+    return merged.groupBy("experiment").agg(F.count("*").alias("n"), F.count("n_frames").alias("n_known"))
+
+
 @query("v_sheets", sql="""
 SELECT id, parent, time, min(value) FILTER (WHERE sheet = 'Area') AS area, min(value) FILTER (WHERE sheet = 'Intensity') AS intensity, min(value) FILTER (WHERE sheet = 'Position X') AS position_x FROM v_sheets GROUP BY ALL""", doubles="area intensity position_x", digits=9)
 def sheets_to_wide(sheets: DataFrame) -> DataFrame:

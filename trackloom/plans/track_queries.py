@@ -168,12 +168,13 @@ def running_msd1(df: DataFrame) -> DataFrame:
 
 
 @query("v_tracks", sql=f"""
-WITH {KIN}, v AS (SELECT experiment, parent, time_index, speed FROM k3 WHERE speed IS NOT NULL),
-m AS (SELECT experiment, parent, time_index, avg(speed) OVER w AS m, count(*) OVER w AS k FROM v WINDOW w AS ({W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
-p AS (SELECT *, max(m) OVER (PARTITION BY experiment, parent) AS peak FROM m WHERE k = 3),
-a AS (SELECT *, min(CASE WHEN m = peak THEN time_index END) OVER (PARTITION BY experiment, parent) AS t0 FROM p),
-g AS (SELECT experiment, parent, max(peak) AS wave_peak, max(t0) AS wave_time, max(CASE WHEN m <= peak / 2 AND time_index < t0 THEN time_index END) AS l, min(CASE WHEN m <= peak / 2 AND time_index > t0 THEN time_index END) AS r FROM a GROUP BY ALL)
-SELECT experiment, parent, wave_peak, wave_time, coalesce(l, 0) AS wave_left, coalesce(r, 0) AS wave_right, coalesce(r - l, 0) AS fwhm FROM g""", doubles="wave_peak", digits=4)
+WITH {KIN}, v AS (SELECT experiment, parent, time_index * dt AS t0, speed AS s0, lead(time_index * dt, 1) OVER w AS t1, lead(speed, 1) OVER w AS s1, lead(time_index * dt, 2) OVER w AS t2, lead(speed, 2) OVER w AS s2, row_number() OVER w AS n FROM k3 WHERE speed IS NOT NULL WINDOW w AS ({W})),
+m AS (SELECT *, (s0 + s1 + s2) / 3 AS m, max((s0 + s1 + s2) / 3) OVER (PARTITION BY experiment, parent) AS peak FROM v WHERE s2 IS NOT NULL), a AS (SELECT *, min(CASE WHEN m = peak THEN n END) OVER (PARTITION BY experiment, parent) AS at_ FROM m),
+p AS (SELECT experiment, parent, greatest(s0, s1, s2) AS s, CASE WHEN s0 >= greatest(s1, s2) THEN t0 WHEN s1 >= s2 THEN t1 ELSE t2 END AS t FROM a WHERE n = at_),
+l AS (SELECT experiment, parent, CASE WHEN s2 <= peak / 2 THEN s2 WHEN s1 <= peak / 2 THEN s1 ELSE s0 END AS s, CASE WHEN s2 <= peak / 2 THEN t2 WHEN s1 <= peak / 2 THEN t1 ELSE t0 END AS t FROM a WHERE n < at_ AND m <= peak / 2 QUALIFY row_number() OVER (PARTITION BY experiment, parent ORDER BY n DESC) = 1),
+r AS (SELECT experiment, parent, CASE WHEN s0 <= peak / 2 THEN s0 WHEN s1 <= peak / 2 THEN s1 ELSE s2 END AS s, CASE WHEN s0 <= peak / 2 THEN t0 WHEN s1 <= peak / 2 THEN t1 ELSE t2 END AS t FROM a WHERE n > at_ AND m <= peak / 2 QUALIFY row_number() OVER (PARTITION BY experiment, parent ORDER BY n) = 1)
+SELECT e.experiment, e.parent, coalesce(p.s, 0) AS wave_peak, coalesce(p.t, 0) AS wave_time, coalesce(l.t, 0) AS wave_left, coalesce(l.s, 0) AS wave_left_speed, coalesce(r.t, 0) AS wave_right, coalesce(r.s, 0) AS wave_right_speed, coalesce(p.t - l.t, 0) + coalesce(r.t - p.t, 0) AS fwhm
+FROM (SELECT DISTINCT experiment, parent FROM v_tracks) e LEFT JOIN p USING (experiment, parent) LEFT JOIN l USING (experiment, parent) LEFT JOIN r USING (experiment, parent)""", doubles="wave_peak wave_time wave_left wave_left_speed wave_right wave_right_speed fwhm")
 def speed_wave(df: DataFrame) -> DataFrame:
     return t.speed_wave(t.backward_kinematics(df))
 
