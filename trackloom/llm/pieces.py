@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import pyarrow as pa
@@ -144,12 +145,18 @@ class Pieces:
         return text.removeprefix(MARK).replace(MARK, " ")
 
 
+@cache
+def vocabulary(model_file: str, check: str) -> Pieces:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return Pieces(model_file, check)
+
+
 def encode(docs: DataFrame, model_file: str, check: str = "stretches") -> DataFrame:
     """doc_id, ids (array of int, with the end id) and decoded (the text that these ids give) of each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file, check)
+        pieces = vocabulary(model_file, check)
         for batch in slices(batches):
             ids = pieces.encode(texts_as_strings(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
@@ -162,7 +169,7 @@ def digests(docs: DataFrame, model_file: str, check: str = "stretches") -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file, check)
+        pieces = vocabulary(model_file, check)
         for batch in slices(batches):
             ids = pieces.encode(texts_as_strings(batch))
             coded = [hashlib.sha256(" ".join(map(pieces.digits.__getitem__, x)).encode()).hexdigest() for x in ids]
