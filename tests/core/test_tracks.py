@@ -61,9 +61,9 @@ def test_angles_are_not_wrapped(spark):
 def test_neighbours(spark):
     rows = [(p, i, x + (i - 1) * dx, 0) for p, x, dx in ((1, 0, 1), (2, 199, 1), (3, 400, -1)) for i in (1, 2)]
     df = track(spark, rows)
-    near = {(r.parent, r.time_index): r.min_distance for r in s.min_distance(df).collect()}
+    near = {(r.parent, r.time_index): r.min_distance for r in s.min_distance(df, having=None).collect()}
     assert [near[p, 1] for p in (1, 2, 3)] == [199.0, 199.0, 201.0]
-    assert s.min_distance(track(spark, [(1, 1, 0, 0)])).first().min_distance is None
+    assert s.min_distance(track(spark, [(1, 1, 0, 0)]), having=None).first().min_distance is None
     coll = {r.parent: r.collectivity for r in s.collectivity(t.backward_kinematics(df)).collect()}
     assert coll[1] == pytest.approx(1.0) and coll[3] == pytest.approx(-1.0)
     apart = track(spark, [(p, i, x, i) for p, x in ((1, 0), (2, 199), (3, 401)) for i in (1, 2)])

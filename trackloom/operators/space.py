@@ -41,13 +41,15 @@ def _distance2(axes: Sequence[str]) -> Column:
     return sum((F.pow(F.col(c) - F.col(f"r_{c}"), 2) for c in axes), F.lit(0.0))
 
 
-def min_distance(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"), first_reach: float = 50.0, key: Sequence[str] = KEY) -> DataFrame:
+def min_distance(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"), having: str | None = "speed", first_reach: float = 50.0, key: Sequence[str] = KEY) -> DataFrame:
     """min_distance of each row to the nearest other track at its experiment and time; null where it is alone.
 
+    Only rows with a value of `having` count, on either side (a row of a track's first frame has no speed); None: all rows.
+
     The reach doubles for rows that have found none, so few rows ever meet a whole frame: beyond the frame's extent nobody is left.
     """
     by = [key[0], TIME]
-    spots = df.select(*key, TIME, *axes)
+    spots = (df.where(F.col(having).isNotNull()) if having else df).select(*key, TIME, *axes)
     extent = spots.groupBy(*by).agg(*[(F.max(c) - F.min(c)).alias(f"e{i}") for i, c in enumerate(axes)]).agg(*[F.max(f"e{i}") for i in range(len(axes))]).first()
     largest = max((x or 0.0) for x in extent)
     open_, done, reach = spots, None, first_reach

@@ -13,11 +13,12 @@ from trackloom.plans.track_queries import KIN
 K = "experiment, parent"
 
 
-@query("v_tracks", sql="""
-SELECT a.experiment, a.parent, a.time_index, min(sqrt(power(a.x_pos - b.x_pos, 2) + power(a.y_pos - b.y_pos, 2))) AS min_distance
-FROM v_tracks a LEFT JOIN v_tracks b ON a.experiment = b.experiment AND a.time_index = b.time_index AND a.parent <> b.parent GROUP BY ALL""", doubles="min_distance")
+@query("v_tracks", sql=f"""
+WITH {KIN}, m AS (SELECT experiment, parent, time_index, x_pos, y_pos FROM k3 WHERE speed IS NOT NULL),
+d AS (SELECT a.experiment, a.parent, a.time_index, min(sqrt(power(a.x_pos - b.x_pos, 2) + power(a.y_pos - b.y_pos, 2))) AS min_distance FROM m a JOIN m b ON a.experiment = b.experiment AND a.time_index = b.time_index AND a.parent <> b.parent GROUP BY ALL)
+SELECT experiment, parent, time_index, min_distance FROM v_tracks LEFT JOIN d USING (experiment, parent, time_index)""", doubles="min_distance")
 def min_distance(df: DataFrame) -> DataFrame:
-    return s.min_distance(df).select("experiment", "parent", "time_index", "min_distance")
+    return s.min_distance(t.backward_kinematics(df)).select("experiment", "parent", "time_index", "min_distance")
 
 
 @query("v_tracks", sql=f"""
