@@ -113,17 +113,17 @@ def dense_series(df: DataFrame) -> DataFrame:
     return fc.dense(df, 0.0)
 
 
-@query("v_series", sql=f"WITH {WINDOWS} SELECT unique_id, CAST(origin AS INT) AS origin, step, ds, y FROM w", doubles="y", digits=4)
+@query("v_series", sql=f"WITH {WINDOWS} SELECT unique_id, CAST(origin AS BIGINT) AS origin, step, ds, y FROM w", doubles="y", digits=4)
 def backtest_windows(df: DataFrame) -> DataFrame:
     return _windows(df)[1].select("unique_id", "origin", "step", "ds", "y")
 
 
-@query("v_series", sql=f"WITH {FORECASTS} SELECT unique_id, CAST(origin AS INT) AS origin, step, ds, actual, model, forecast FROM m", doubles="actual forecast", digits=4)
+@query("v_series", sql=f"WITH {FORECASTS} SELECT unique_id, CAST(origin AS BIGINT) AS origin, step, ds, actual, model, forecast FROM m", doubles="actual forecast", digits=4)
 def baseline_forecasts(df: DataFrame) -> DataFrame:
     return fc.baseline_forecasts(*_windows(df))
 
 
-@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS INT) AS origin, n, mse, rmse, mae, smape, mape FROM s WHERE mape < 1000", doubles="mse rmse mae smape mape", digits=8)
+@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS BIGINT) AS origin, n, mse, rmse, mae, smape, mape FROM s WHERE mape < 1000", doubles="mse rmse mae smape mape", digits=8)
 def forecast_metrics(df: DataFrame) -> DataFrame:
     return _metrics(df).where("mape < 1000")  # days at zero divide by the metric's epsilon
 
