@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +31,14 @@ from trackloom.llm.shared import fold, kept, key_of, slices, texts_as_bytes
 
 #: Bytes of the longest context.
 DEPTH = 5
+#: A space before a gram, in a number of eight bytes: words hold no space.
+GRAM = 0x20 << 56
 #: Fixed: the end symbol and end token, which no word holds.
 END = b"\n"
 #: Bytes of text that a task looks at together.
-SLICE = 1_000_000
+SLICE = 500_000
 #: Bytes of text in a chunk.
-CHUNK = 16_000_000
+CHUNK = 20_000_000
 
 
 def grams(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +63,12 @@ class Lookup:
     """Values by key, for arrays of keys that are all there: keys are sorted by a short hash, whose places are kept."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - (len(keys).bit_length() + 2))
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
         slot = self.slot(keys)
         order = np.argsort(slot)
         self.keys, self.values = keys[order], values[order]
-        self.first = np.searchsorted(slot[order], np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+        sizes = np.bincount(slot.astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.first = (np.cumsum(sizes) - sizes).astype(np.int32)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
@@ -78,6 +82,25 @@ class Lookup:
         return self.values[at]
 
 
+def gram_keys(gram: np.ndarray) -> pa.Array:
+    """Grams as binary keys that no word can equal."""
+    data = (gram | np.uint64(GRAM)).astype(">u8").tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(gram), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def grams_of(keys: pa.ChunkedArray) -> np.ndarray:
+    fixed = keys.cast(pa.binary(8)).combine_chunks()
+    if isinstance(fixed, pa.ChunkedArray):
+        fixed = pa.concat_arrays(fixed.chunks) if fixed.num_chunks else pa.array([], pa.binary(8))
+    return np.frombuffer(fixed.buffers()[1], ">u8", len(fixed), fixed.offset * 8).astype(np.uint64) & np.uint64(GRAM - 1)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats (np.unique hashes, which is slower here)."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Sums:
     """Counts by gram, gathered in sorted arrays; given out when there are many."""
 
@@ -118,7 +141,7 @@ def counted(docs: DataFrame) -> DataFrame:
             held = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths)
             values, counts = np.unique(code[~held], return_counts=True)
             yield from rows(sums.add(values, counts.astype(np.int64)))
-            values = np.unique(code[held])
+            values = distinct(code[held])
             yield from rows(sums.add(values, np.zeros(len(values), np.int64)))
         yield from rows(sums.all())
 
@@ -149,6 +172,58 @@ def tree(counts: DataFrame) -> DataFrame:
     return now.select(F.col("g").alias("gram"), F.log10("p").alias("logp"))
 
 
+def questions_of(table: pa.Table) -> pa.Table:
+    """What a chunk (text, held_out, chunk) asks for: its words, with their counts in its training texts, and its grams, with zeros."""
+    found: Counter[bytes] = Counter({END: 0})
+    parts: list[np.ndarray] = []
+    for batch in slices(table.select(["text", "held_out"]).to_batches(), SLICE):
+        split = [x.lower().split() for x in texts_as_bytes(batch)]
+        parts.append(distinct(grams(split)[0]))
+        if len(parts) == 12:
+            parts = [distinct(np.concatenate(parts))]
+        for words, held in zip(split, batch.column(1).to_pylist(), strict=True):
+            if held:
+                for w in set(words):
+                    found[w] += 0
+            else:
+                found.update(words)
+                found[END] += 1
+    gram = distinct(np.concatenate(parts))
+    key = pa.concat_arrays([pa.array(found.keys(), pa.binary()), gram_keys(gram)])
+    value = np.zeros(len(key))
+    value[: len(found)] = np.fromiter(found.values(), np.float64, len(found))
+    return pa.table({"chunk": pa.array(np.full(len(key), table["chunk"][0].as_py(), np.int32)), "key": key, "value": value})
+
+
+def scores_of(table: pa.Table, given: pa.Table) -> pa.Table:
+    """Scores of a chunk's texts (doc_id, text, held_out) by the answers to its questions (key, value, counts)."""
+    is_gram = pc.starts_with(given["key"], " ")
+    grams_at = np.asarray(is_gram)
+    new_words = int(np.asarray(given["counts"]).sum())
+    value = given["value"].to_numpy()
+    logp = Lookup(grams_of(given["key"].filter(is_gram)), value[grams_at])
+    count = dict(zip(given["key"].filter(pc.invert(is_gram)).to_pylist(), value[~grams_at].tolist(), strict=True))
+    del given
+    out = []
+    for batch in slices(table.select(["doc_id", "text", "held_out"]).to_batches(), SLICE):
+        split = [x.lower().split() for x in texts_as_bytes(batch)]
+        code, lengths = grams(split)
+        for x in split:
+            x.append(END)
+        tokens = np.fromiter(map(len, split), np.int64, len(split))
+        c = np.fromiter(map(count.__getitem__, chain.from_iterable(split)), np.float64, int(tokens.sum()))
+        at = np.cumsum(tokens) - tokens
+        first = np.zeros(len(split), np.int64)
+        first[0], new_words = new_words, 0
+        out.append(pa.table({
+            "doc_id": batch.column(0), "held_out": batch.column(2), "n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "raw": np.add.reduceat(np.log10(c + 0.5), at),
+            "score": np.add.reduceat(logp(code), np.cumsum(lengths) - lengths), "new_words": first,
+        }))
+    del count, logp
+    pa.default_memory_pool().release_unused()
+    return pa.concat_tables(out)
+
+
 def score(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs: op3's columns."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -157,59 +232,16 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     marked = docs.select("doc_id", "text", (fold("doc_id") == 1).alias("held_out"), F.pmod(key_of(), F.lit(chunks)).cast("int").alias("chunk"))
     model = tree(kept(counted(marked)))
 
-    def asked(table: pa.Table) -> pa.Table:
-        found: Counter[bytes] = Counter()
-        seen, codes = set(), []
-        for batch in slices(table.select(["text", "held_out"]).to_batches(), SLICE):
-            split = [x.lower().split() for x in texts_as_bytes(batch)]
-            codes.append(np.unique(grams(split)[0]))
-            for words, held in zip(split, batch.column(1).to_pylist(), strict=True):
-                if held:
-                    seen.update(words)
-                else:
-                    found.update(words)
-                    found[END] += 1
-        seen.add(END)
-        only = [w for w in seen if w not in found]
-        gram = np.unique(np.concatenate(codes)).view(np.int64)
-        words, n = [*found, *only], [*found.values(), *[0] * len(only)]
-        return pa.table({
-            "chunk": pa.array(np.full(len(words) + len(gram), table["chunk"][0].as_py(), np.int32)), "word": pa.array([*words, *[None] * len(gram)], pa.binary()),
-            "gram": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(gram)]), "n": pa.array([*n, *[0] * len(gram)], pa.int64()),
-        })
-
-    # questions of the chunks and the tree's answers meet by word or gram; each known word is counted in one of the chunks that ask for it
-    questions = marked.groupBy("chunk").applyInArrow(asked, "chunk int, word binary, gram long, n long").withColumn("logp", F.lit(None).cast("double"))
-    tree_rows = model.select(F.lit(-1).alias("chunk"), F.lit(None).cast("binary").alias("word"), "gram", F.lit(0).cast("long").alias("n"), "logp")
-    same = Window.partitionBy("word", "gram")
-    met = questions.unionByName(tree_rows).withColumns({"c": F.sum("n").over(same), "p": F.max("logp").over(same), "place": F.row_number().over(same.orderBy("chunk"))})
-    answers = met.where("chunk >= 0").select("chunk", "word", "gram", F.coalesce("p", F.col("c").cast("double")).alias("value"), (F.col("word").isNotNull() & (F.col("place") == 1) & (F.col("c") > 0)).alias("counts"))
-
-    def scored(table: pa.Table, given: pa.Table) -> pa.Table:
-        is_word = np.asarray(given["word"].is_valid())
-        value = given["value"].to_numpy()
-        count = dict(zip(given["word"].filter(pa.array(is_word)).to_pylist(), value[is_word].tolist(), strict=True))
-        logp = Lookup(given["gram"].filter(pa.array(~is_word)).to_numpy().view(np.uint64), value[~is_word])
-        new_words = int(np.asarray(given["counts"]).sum())
-        out = []
-        for batch in slices(table.select(["doc_id", "text", "held_out"]).to_batches(), SLICE):
-            split = [x.lower().split() for x in texts_as_bytes(batch)]
-            code, lengths = grams(split)
-            for x in split:
-                x.append(END)
-            tokens = np.fromiter(map(len, split), np.int64, len(split))
-            c = np.fromiter(map(count.__getitem__, chain.from_iterable(split)), np.float64, int(tokens.sum()))
-            at = np.cumsum(tokens) - tokens
-            first = np.zeros(len(split), np.int64)
-            first[0], new_words = new_words, 0
-            out.append(pa.table({
-                "doc_id": batch.column(0), "held_out": batch.column(2), "n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "raw": np.add.reduceat(np.log10(c + 0.5), at),
-                "score": np.add.reduceat(logp(code), np.cumsum(lengths) - lengths), "new_words": first,
-            }))
-        return pa.concat_tables(out)
+    # questions of the chunks and the tree's answers meet by key: a word's counts add up, a gram's log-probability is added to zeros
+    questions = marked.groupBy("chunk").applyInArrow(questions_of, "chunk int, key binary, value double")
+    told = model.select(F.lit(-1).alias("chunk"), F.unhex(F.hex(F.col("gram").bitwiseOR(F.lit(GRAM)))).alias("key"), F.col("logp").alias("value"))
+    same = Window.partitionBy("key")
+    met = questions.unionByName(told).withColumns({"total": F.sum("value").over(same), "place": F.row_number().over(same.orderBy("chunk"))})
+    # each known word is counted in one of the chunks that ask for it
+    answers = met.where("chunk >= 0").select("chunk", "key", F.col("total").alias("value"), ((F.col("place") == 1) & (F.col("total") > 0)).alias("counts"))
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, raw double, score double, new_words long"
-    rows = kept(marked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema))
+    rows = kept(marked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scores_of, schema))
     totals = rows.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("new_words"), F.lit(0)).alias("vocabulary"))
     base = F.col("raw") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("vocabulary") + 1))
     return rows.crossJoin(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
