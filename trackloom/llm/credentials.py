@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import in_batches, kept, key_of, texts_as_strings
+from trackloom.llm.shared import in_batches, kept, key_of, small, texts_as_strings
 
 #: The order of kinds that begin at the same place.
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
@@ -143,7 +143,7 @@ def redact(docs: DataFrame, scope: int = 400) -> DataFrame:
 
     Texts without spans stay as they are. Spans are cut at places of the text with Spark expressions.
     """
-    spans = find(docs, scope).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])
+    spans = small(kept(find(docs, scope).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])))
     a, b = docs.withColumn("__key", key_of()).alias("a"), spans.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("__key") == F.col("b.key")), "left")
     text = F.col("a.text")

@@ -39,6 +39,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast in a join if it has at most so many (short) rows; else as it is, so that the join shuffles. For kept frames."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

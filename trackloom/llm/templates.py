@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import kept, key_of, slices, texts_as_bytes
+from trackloom.llm.shared import kept, key_of, slices, small, texts_as_bytes
 
 WINDOW = 8
 #: Words that an item, and words besides placeholders that a template window of WINDOW words must have.
@@ -207,5 +207,5 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found."""
-    bad = matches(docs, items).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__bad")).distinct()
+    bad = small(kept(matches(docs, items).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__bad")).distinct()))
     return docs.withColumn("__key", key_of()).join(bad, (F.col("__key") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").drop("__key")
