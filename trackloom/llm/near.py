@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.shared import kept, slices, small, texts_as_bytes
@@ -248,49 +248,8 @@ def query(docs: DataFrame) -> DataFrame:
     return duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(text: bytes, words: int, size: int) -> list[int]:
-    """The `size` least hashes of a text's different shingles, in order: all of them, if there are no more."""
-    return np.unique(np.array(shingle_hashes(text, words), np.uint64).view(np.int64))[:size].tolist()
-
-
-def alike(a: str, b: str, size: int) -> Column:
-    """Jaccard similarity of two texts by their sketches: exact for texts of at most `size` shingles together, else of the least `size` of both."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.greatest(F.size(least), F.lit(1))
-
-
-def repeats(docs: DataFrame, words: int = 5, similarity: float = 0.8, r: int = 9, parts: int = 5, size: int = 256) -> DataFrame:
-    """doc_id of each document that repeats one of smaller doc_id: the same text, or one of at least that similarity by shingles of so many words.
-
-    Candidates are components of fingerprints within r bits. In rounds, the least doc_id left in each component leads, those similar to it repeat it
-    and go, until all have led or gone; so of what stays no two of a component are similar, and nothing goes without its like.
-    """
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    marked = kept(fingerprints(named, words))
-    joined = components(links(marked.select("fp").distinct(), r, parts)).withColumnRenamed("v", "fp")
-    placed = marked.join(joined, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("component"))
-    shared = placed.groupBy("component").agg((F.min("doc_id") < F.max("doc_id")).alias("many")).where("many").select("component")
-    candidates = kept(placed.join(shared, "component").distinct())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = texts_as_bytes(batch)
-            whole = [xxhash.xxh3_128_hexdigest(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole), pa.array([sketch(x, words, size) for x in texts], pa.list_(pa.int64()))], ["doc_id", "component", "whole", "sketch"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = named.join(small(candidates), "doc_id").select("doc_id", "text", "component").mapInArrow(run, f"doc_id {kind}, component long, whole string, sketch array<long>")
-    left = kept(sketched.groupBy("component", "whole").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).select("component", "doc_id", "sketch"))
-    leaders = None
-    while not left.isEmpty():
-        first = left.groupBy("component").agg(F.min_by(F.struct(F.col("doc_id").alias("leader"), F.col("sketch").alias("other")), "doc_id").alias("f")).select("component", "f.*")
-        led = first.select(F.col("leader").alias("doc_id"))
-        leaders = kept(led if leaders is None else leaders.unionByName(led))
-        left = kept(left.join(first, "component").where((F.col("doc_id") != F.col("leader")) & (alike("sketch", "other", size) < similarity)).select("component", "doc_id", "sketch"))
-    gone = candidates.select("doc_id").distinct()
-    return gone if leaders is None else gone.join(leaders, "doc_id", "left_anti")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without repeats(). Rows without doc_id, which can't be named, stay; rows of one doc_id stay or go together."""
-    return docs.join(small(kept(repeats(docs, words, similarity)).withColumnRenamed("doc_id", "__doc")), F.col("doc_id") == F.col("__doc"), "left_anti")
+def one_of_each(docs: DataFrame, r: int = 4, words: int = 4) -> DataFrame:
+    """The rows of docs whose doc_id names their component: one document of each group stays. Rows without doc_id, which can't be named, stay."""
+    linked = duplicates(docs.where(F.col("doc_id").isNotNull()), r, words)
+    gone = linked.groupBy("doc_id").agg(F.min("component_id").alias("c")).where(F.col("doc_id") != F.col("c")).select(F.col("doc_id").alias("__doc"))
+    return docs.join(small(kept(gone)), F.col("doc_id") == F.col("__doc"), "left_anti")
