@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             found = np.array([fingerprint(x, words) for x in texts_as_bytes(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

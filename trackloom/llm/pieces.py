@@ -32,7 +32,7 @@ MARK = "▁"
 class Pieces:
     """A merge-type vocabulary, encoded with an agenda. remember: so many stretches met last are kept, and as many before them."""
 
-    def __init__(self, model_file: str, check: str = "stretches", remember: int = 400_000):
+    def __init__(self, model_file: str, check: str = "stretches", remember: int = 120_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, model_file: str, check: str = "stretches") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(model_file, check)
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             ids = pieces.encode(texts_as_strings(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -170,7 +170,7 @@ def digests(docs: DataFrame, model_file: str, check: str = "stretches") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(model_file, check)
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             ids = pieces.encode(texts_as_strings(batch))
             coded = [hashlib.sha256(" ".join(map(pieces.digits.__getitem__, x)).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(pieces.decode(x).encode()).hexdigest() for x in ids]

@@ -82,7 +82,7 @@ def in_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
     """mapInArrow for a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 2_000_000):
             yield function(batch)
 
     return df.mapInArrow(run, schema)

@@ -144,7 +144,7 @@ def _windowed(df: DataFrame, names: str, schema: str, sizes: list[int] | None =
             first = np.zeros(1 << 22, bool)
             first[(wanted.value >> np.uint64(42)).astype(np.int64)] = True
             hashes = (wanted.value, first)
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             if len(words) > 500_000:
                 words = Words()
             owner, out = windows(texts_as_bytes(batch), words, sizes, hashes)
