@@ -120,3 +120,46 @@ def test_chain_and_nothing(spark):
     assert {(r.v, r.root) for r in near.components(edges).collect()} == {(i, 0) for i in range(301)} | {(1000, 1000), (1001, 1000)}
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near.query(docs).collect() == []
+
+
+def similarity(a, b):
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("share", [1, 16])
+def test_one_of_similar(spark, share):
+    """All pairs of five-word similarity 0.8 or more are linked, also those of fingerprints far apart, and no others."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    header = rng.choices(vocabulary, k=30)
+    texts = {1: None, 2: "", 3: "few words", 4: "few words", 5: "a b c d e f g h i", 6: "a b c d e f g h i j", 7: " Few\nWORDS ", 8: "a b c d e f g h"}
+    for g in range(30):
+        copy = header + rng.choices(vocabulary, k=rng.randint(20, 300))
+        for c in range(rng.randint(1, 6)):
+            texts[100 + g * 10 + c] = " ".join(copy)
+            copy = list(copy)
+            for _ in range(rng.choice([1, 2, 4, 6, 30])):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(None, texts[100], "x"), (3, "few words", "x")], "doc_id long, text string, set string").repartition(4)
+    ids = sorted(texts)
+    least = {i: i for i in ids}
+    far = 0
+    for i in ids:
+        for k in ids:
+            if k < i and similarity(texts[i], texts[k]) >= 0.8:
+                far += (near.fingerprint((texts[i] or "").encode()) ^ near.fingerprint((texts[k] or "").encode())).bit_count() > 4
+                old, new = sorted([least[i], least[k]], reverse=True)
+                least = {x: new if y == old else y for x, y in least.items()}
+    assert far > 10
+    left = near.one_of_similar(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == sorted([*[i for i in ids if least[i] == i], 0, 3])
+    assert near.one_of_similar(docs.limit(0)).count() == 0
+    marked, edges = near.similar(docs.where("doc_id is not null"), share=share, common=2)
+    root = {r.v: r.root for r in near.components(edges).collect()}
+    groups = {}
+    for r in marked.collect():
+        groups.setdefault(root.get(r.set, r.set), set()).add(r.doc_id)
+    assert {frozenset(x) for x in groups.values()} == {frozenset(i for i in ids if least[i] == k) for k in set(least.values())}

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.shared import kept, slices, small, texts_as_bytes
@@ -253,3 +253,108 @@ def one_of_each(docs: DataFrame, r: int = 4, words: int = 4) -> DataFrame:
     linked = duplicates(docs.where(F.col("doc_id").isNotNull()), r, words)
     gone = linked.groupBy("doc_id").agg(F.min("component_id").alias("c")).where(F.col("doc_id") != F.col("c")).select(F.col("doc_id").alias("__doc"))
     return docs.join(small(kept(gone)), F.col("doc_id") == F.col("__doc"), "left_anti")
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The different shingles of a text, by hash."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64).view(np.int64))
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """A number for a set of shingles, equal for equal sets."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def prefix(shingles: np.ndarray, least: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, so many that sets of at least that similarity (in hundredths) share one of theirs.
+
+    The order is by hash, common shingles (sorted, and how common each is) last; any order that holds for all sets would lose nothing.
+    """
+    n = len(shingles)
+    many = n + least * n // -100 + 1
+    names, times = common
+    if len(names) and n:
+        at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(names[at] == shingles, times[at], 0)))]
+    return shingles[:many]
+
+
+def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
+    """Rows that a function makes of columns of a batch and its texts."""
+    names = columns.split()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, 1_000_000):
+            yield rows([batch.column(i) for i in range(len(names))], texts_as_bytes(batch), seen)
+
+    return docs.select(*names, "text").mapInArrow(run, schema)
+
+
+def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, common: int = 4) -> tuple[DataFrame, DataFrame]:
+    """doc_id and set (set_key of the shingles) of each row, and edges a, b that join all sets whose Jaccard similarity is least hundredths or more.
+
+    Exact: sets so similar share a shingle of their prefixes, and each pair of sets that does is compared shingle by shingle, except where tested links
+    join the two already. First each set meets the least set of each of its shingles, then all those of other components.
+    share, common: shingles met so often in one of so many texts come last in the prefixes; that changes the time, not the links.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def keys(given, texts, _):
+        return pa.RecordBatch.from_arrays([given[0], pa.array([set_key(shingle_set(x, words)) for x in texts], pa.int64())], ["doc_id", "set"])
+
+    def tokens(given, texts, seen):
+        sets = [s for s in (shingle_set(x, words) for x in texts) if (k := set_key(s)) not in seen and not seen.add(k)]
+        owner = np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(s) for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["set", "token"])
+
+    marked = kept(_by_set(docs, "doc_id", keys, f"doc_id {kind}, set long"))
+    sampled = _by_set(docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), "doc_id", tokens, "set long, token long").distinct()
+    often = sampled.groupBy("token").count().where(F.col("count") >= common).orderBy(F.desc("count"), "token").limit(1_000_000).toPandas().sort_values("token")
+    hot = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+
+    def firsts(given, texts, seen):
+        sets = [(k, s) for k, s in ((set_key(s), s) for s in (shingle_set(x, words) for x in texts)) if k not in seen and not seen.add(k)]
+        parts = [prefix(s, least, hot.value) if len(s) else s for _, s in sets]
+        lengths = [len(p) for p in parts]
+        column = lambda values: pa.array(np.repeat(np.array(values, np.int64), lengths))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), column([k for k, _ in sets]), column([len(s) for _, s in sets])], ["token", "set", "n"])
+
+    met = Window.partitionBy("token")
+    rows = _by_set(docs, "doc_id", firsts, "token long, set long, n long").withColumn("low", F.min(F.struct("set", "n")).over(met)).withColumn("high", F.max("set").over(met))
+    rows = kept(rows.where(F.col("low.set") != F.col("high")).select("token", "set", "n", "low").distinct())
+    named = marked.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    close = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * least
+
+    def shingles(given, texts, _):
+        sets = [shingle_set(x, words) for x in texts]
+        return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["set", "shingles"])
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        pairs = kept(pairs.distinct())
+        ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+        wanted = small(kept(named.join(ends, "set", "left_semi").select("doc_id").distinct()))
+        held = kept(_by_set(docs.join(wanted, "doc_id", "left_semi"), "doc_id", shingles, "set long, shingles array<long>").dropDuplicates(["set"]))
+        left, right = held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), held.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
+        both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+        return kept(both.where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * least).select("a", "b"))
+
+    first = tested(rows.where((F.col("set") != F.col("low.set")) & close(F.col("n"), F.col("low.n"))).select(F.col("low.set").alias("a"), F.col("set").alias("b")))
+    placed = rows.drop("low").join(components(first).withColumnRenamed("v", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = kept(placed.withColumn("low", F.min("root").over(met)).withColumn("high", F.max("root").over(met)).where("low <> high").drop("low", "high"))
+    a, b = mixed.alias("a"), mixed.alias("b")
+    apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.root") != F.col("b.root")) & close(F.col("a.n"), F.col("b.n"))
+    second = tested(a.join(b, apart).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")))
+    return marked, first.unionByName(second)
+
+
+def one_of_similar(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
+    """The rows of docs but those linked, by texts of so many hundredths similarity or more each, to one of smaller doc_id.
+
+    Rows without doc_id, which can't be named, stay; rows of one doc_id stay or go together; texts without words are alike.
+    """
+    marked, edges = similar(docs.where(F.col("doc_id").isNotNull()), words, least)
+    placed = marked.join(components(edges).withColumnRenamed("v", "set"), "set", "left").select("doc_id", F.coalesce("root", "set").alias("root"))
+    named = placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("least")), "root")
+    gone = named.groupBy("doc_id").agg(F.min("least").alias("least")).where(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias("__doc"))
+    return docs.join(small(kept(gone)), F.col("doc_id") == F.col("__doc"), "left_anti")
