@@ -60,3 +60,19 @@ def test_no_rows_and_no_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a"), (None, None)], "doc_id long, text string")
     assert [r.n_tokens for r in packed.written_digests(docs, FILE, 2).orderBy("start").collect()] == [1, 2]
     assert packed.written_digests(docs.limit(0), FILE, 2).count() == 0
+
+
+def test_blank_lines_equal_the_library():
+    """Line feeds and other white space between a letter or mark and a letter."""
+    library = Tokenizer.from_file(FILE)
+    spaces = ["\n\n", "\n\n\n", "\r\n", "\t\n", " \n", "\n \n", "\n\t", "\x1c\n", "\xa0\n", "\n"]
+    texts = ["the end.\n\nThe next", "x a\n\nfoo", *[f"x {a}{s}{b} z" for s in spaces for a in ("end", "end.", "7", "'", "\u4e00", "end'") for b in ("The", "\xe9t\xe9", "7", "'s", "(a)", "\u4e00", "")]]
+    got = packed.Encoder(FILE).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="\n\n\n\r\t aT.,'7\xe9\u4e00", max_size=30))
+def test_any_line_feeds_equal_the_library(text):
+    library = packed.encoder(FILE).library
+    assert np.frombuffer(packed.encoder(FILE).encode(["x " + text])[0], "<u4").tolist() == library.encode("x " + text, add_special_tokens=False).ids

@@ -32,8 +32,9 @@ GAP = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 #: Letters of one script, which are one pre-token with the space before them.
 ONE = re.compile(f" ?[{_LETTER}]+")
-#: Between such letters, ASCII marks (the apostrophe is none) and line feeds: pre-tokens never cross these places either.
-EDGE = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}\n])|(?<=\n)(?=[{_LETTER}])")
+#: Between such letters, ASCII marks (the apostrophe is none) and line feeds: pre-tokens never cross these places either. Of white space before a letter
+#: the last line feed is a pre-token of its own, and what comes before it another.
+EDGE = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}\n])|(?<=\n)(?=[{_LETTER}])|(?=\n[{_LETTER}])")
 BLOCK = "part int, block int, at long, bits int, n_ids long, doc_ids array<long>, starts array<long>, packed binary"
 
 
