@@ -64,3 +64,18 @@ def test_redaction(spark):
     assert {(r.doc_id, r.text, r.key, r.n_chars) for r in got} == {(1, 'a <assign>" é', "x", 13), (2, "clean", "x", 5), (None, "<access>", "x", 8), (None, None, "x", 0)}
     assert len(got) == 5
     assert c.redact(docs.limit(0)).count() == 0
+
+
+def test_long_secrets_whole(spark):
+    """Parts of any length are found to their ends, and hosts in either case."""
+    rng = random.Random(7)
+    for n in (65, 129, 200, 5_000):
+        mixed = "aB3" + "".join(rng.choices("abcdefghijkLMNOPQRSTUV0123456789", k=n - 3))
+        phrase, name = "!" + "p;" * (n // 2), "u" * n
+        assert c.weak(f"{K} {mixed} end", c.sure(K)) == [("weak_secret", 21, 21 + n)]
+        assert c.weak(f"{K} pwd={phrase} end", c.sure(K)) == [("weak_secret", 21, 25 + len(phrase))]
+        assert c.weak(f"user={name} end", []) == [("identifier", 0, 5 + n)]
+        docs = spark.createDataFrame([(1, f"user: alice pwd={phrase} end"), (2, f"pin: hunter2 user={name} end"), (3, f"{K} Endpoint: DB.example.com {mixed}.")], "doc_id long, text string")
+        got = {r.doc_id: r.text for r in c.redact(docs).collect()}
+        assert got == {1: "<identifier> <weak_secret> end", 2: "<weak_secret> <identifier> end", 3: "<access> <endpoint> <weak_secret>."}
+    assert [s[0] for s in c.weak("HOST=db.example.com Server: x.example.com hosT=abc", [])] == ["endpoint"] * 3

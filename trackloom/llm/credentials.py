@@ -30,11 +30,11 @@ ASSIGN_HINT = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name|_?id)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9][A-Za-z0-9@._+-]{2,63})""", re.IGNORECASE | re.ASCII)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name|_?id)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9][A-Za-z0-9@._+-]{2,})""", re.IGNORECASE | re.ASCII)
 IDENTIFIER_HINT = ("user", "login", "account", "client", "key")
-PHRASE = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:phrase|code)?|pwd|pin)["']?\x20*[:=]\x20*["']?([^\s"']{4,64})""", re.IGNORECASE | re.ASCII)
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{2,}""", re.ASCII)
+PHRASE = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:phrase|code)?|pwd|pin)["']?\x20*[:=]\x20*["']?([^\s"']{4,})""", re.IGNORECASE | re.ASCII)
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z0-9])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{2,}""", re.ASCII)
 ENDPOINT_HINT = ("://", "host", "endpoint", "server")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -66,7 +66,7 @@ def weak(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, i
     out = []
     if any(h in lower for h in IDENTIFIER_HINT):
         out += [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)]
-    if any(h in text for h in ENDPOINT_HINT):
+    if any(h in lower for h in ENDPOINT_HINT):
         out += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
     if out or any(k == "access" for k, _, _ in found):
         out += [("weak_secret", *m.span()) for m in PHRASE.finditer(text)]
