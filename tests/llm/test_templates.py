@@ -89,3 +89,16 @@ def test_no_rows(spark):
     assert t.query(docs.limit(0), items).count() == 0
     assert t.query(docs, items.limit(0)).count() == 0
     assert t.clean(docs, items.limit(0)).count() == 1
+
+
+def test_values_may_become_equal(spark):
+    """Different values that became equal; one value that changed in one place only; the same in one_to_one alone is lost."""
+    item = "a farmer buys 3 crates of ripe apples and 4 crates of green pears at the old town market"
+    long = " ".join(f"a{i} of b{i} and {i % 3} c{i}" for i in range(8))
+    odd = long.replace("and 0 c0", "and 5 c0").replace("and 1", "and 6").replace("and 2", "and 7").replace("and 0", "and 8")
+    docs = spark.createDataFrame([(1, item.replace("3", "6").replace("4", "6")), (2, odd), (3, "a farmer sells 6 crates")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.item_windows, r.reparameterised) for r in t.query(docs, items).collect()}
+    assert got.keys() == {(1, 1), (2, 2)} and got[1, 1] == (12, 12, True) and got[2, 2][2] and got[2, 2][0] < got[2, 2][1]
+    assert t.matches(docs, items).where("item_id = 1").count() == 0
+    assert [r.doc_id for r in t.clean(docs, items).collect()] == [3]

@@ -3,8 +3,10 @@
 Words are lower-cased and stripped of punctuation (words of nothing else are left out). In a template, numbers become <num>, capitalised
 words <name> and units after a number <unit>. Windows of WINDOW words (an item of fewer words: all of it) of items and documents are joined
 by hash, twice: as they are, and as templates where they hold a placeholder and enough other words. Windows that meet are compared word for
-word. Along one alignment of a document with an item, each value of the item must always have become the same value and each new
-value stand for one of the item's, else its template windows do not count. A document is contaminated by an item if enough of the item's windows are found.
+word. Along one alignment of a document with an item, each value of the item becomes the value that it became in most windows (different values may become
+equal); template windows in which it became another do not count. With one_to_one, each value of the item must always have become the same value and each
+new value stand for one of the item's, else no template window of the alignment counts. A document is contaminated by an item if a share of SHARE
+of the item's windows is found.
 
 The hashes of the items' windows go to all tasks, to let only windows that may meet out, while there are at most `filter_windows` of
 them; beyond that all windows of documents are joined. The items' windows themselves are broadcast up to `broadcast_windows`.
@@ -155,7 +157,7 @@ def _windowed(df: DataFrame, names: str, schema: str, sizes: list[int] | None =
     return df.select(*columns, "text").mapInArrow(run, f"{schema}, {_ROW}")
 
 
-def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000, broadcast_windows: int = 50_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000, broadcast_windows: int = 50_000, one_to_one: bool = True) -> DataFrame:
     """doc_id, key, item_id, matched (windows of the item found), item_windows, coverage, first_word and last_word (in the document), reparameterised.
 
     One row for each document and item that contaminates it. docs: doc_id, text. items: item_id, text.
@@ -178,34 +180,46 @@ def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000,
     met = found.join(goal, ["size", "form", "hash"]).where(F.col("words") == F.col("item_words")).withColumn("shift", F.col("at") - F.col("item_at"))
     met = kept(met.select("doc_id", "key", "item_id", "item_key", "size", "form", "at", "item_at", "shift", "slots", "item_slots"))
     line = ["doc_id", "key", "item_id", "item_key", "shift"]
-    pairs = met.where("form = 1").select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).select(*line, F.col("p.item_slots").alias("old"), F.col("p.slots").alias("new")).distinct()
-    fair = pairs.groupBy(*line).agg(
-        (F.count("*") == F.countDistinct("old")).alias("one_new"), (F.count("*") == F.countDistinct("new")).alias("one_old"), F.max(F.col("old") != F.col("new")).alias("changed")
-    )
+    slots = F.arrays_zip("item_slots", "slots")
+    pairs = met.where("form = 1").select(*line, F.explode(slots).alias("p")).select(*line, F.col("p.item_slots").alias("old"), F.col("p.slots").alias("new"))
+    if one_to_one:
+        fair = pairs.distinct().groupBy(*line).agg(((F.count("*") == F.countDistinct("old")) & (F.count("*") == F.countDistinct("new"))).alias("fair"))
+        agrees = F.col("fair")
+    else:
+        often = pairs.groupBy(*line, "old", "new").agg(F.count("*").alias("k")).groupBy(*line, "old").agg(F.max(F.struct("k", F.col("new") == F.col("old"), "new"))["new"].alias("new"))
+        fair = often.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("became"))
+        agrees = F.forall(slots, lambda p: F.element_at("became", p["item_slots"]) == p["slots"])
     a, b = met.alias("a"), fair.alias("b")
     same = F.lit(True)
     for c in line:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    joined = a.join(b, same, "left").where((F.col("form") == 0) | (F.col("one_new") & F.col("one_old")))
-    by = [F.col(f"a.{c}") for c in line[:4]]
-    summed = joined.groupBy(*by).agg(
-        F.countDistinct("item_at").alias("matched"), F.min("at").cast("long").alias("first_word"), F.max(F.col("at") + F.col("size") - 1).cast("long").alias("last_word"),
-        F.max((F.col("form") == 1) & F.col("changed")).alias("reparameterised"),
+    joined = a.join(b, same, "left").where((F.col("form") == 0) | agrees)
+    changed = (F.col("form") == 1) & F.exists(slots, lambda p: p["item_slots"] != p["slots"])
+    # places of the item found along one alignment, and the longest run of neighbours among them
+    lined = joined.groupBy(*[F.col(f"a.{c}") for c in line]).agg(
+        F.sort_array(F.collect_set("item_at")).alias("places"), F.min("at").alias("low"), F.max(F.col("at") + F.col("size") - 1).alias("high"), F.max(changed).alias("changed"), F.max("size").alias("size"),
+    )
+    step = lambda r, x: F.struct(x.alias("last"), F.when(x == r["last"] + 1, r["now"] + 1).otherwise(1).alias("now"), F.greatest(r["most"], F.when(x == r["last"] + 1, r["now"] + 1).otherwise(1)).alias("most"))
+    run = F.aggregate("places", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda r: r["most"])
+    summed = lined.withColumn("span", run + F.col("size") - 1).groupBy(*line[:4]).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.min("low").cast("long").alias("first_word"), F.max("high").cast("long").alias("last_word"),
+        F.max("changed").alias("reparameterised"), F.max("span").alias("span"),
     )
     s, t = summed.alias("s"), total.alias("t")
     out = s.join(t, F.col("s.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("s.item_key") == F.col("t.item_key")))
     coverage = F.col("matched") / F.col("item_windows")
-    return out.where((coverage >= SHARE) & (F.col("matched") >= F.least(F.lit(NUMBER), F.col("item_windows")))).select(
+    enough = (coverage >= SHARE) & (F.col("matched") >= F.least(F.lit(NUMBER), F.col("item_windows")))
+    return out.where(enough).select(
         "doc_id", "key", "s.item_id", "matched", "item_windows", coverage.alias("coverage"), "first_word", "last_word", "reparameterised"
     )
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     """op5: the contaminated documents, with the items found in each."""
-    return matches(docs, items).drop("key")
+    return matches(docs, items, one_to_one=False).drop("key")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found."""
-    bad = small(kept(matches(docs, items).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__bad")).distinct()))
+    bad = small(kept(matches(docs, items, one_to_one=False).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__bad")).distinct()))
     return docs.withColumn("__key", key_of()).join(bad, (F.col("__key") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").drop("__key")
