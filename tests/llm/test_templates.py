@@ -102,3 +102,13 @@ def test_values_may_become_equal(spark):
     assert got.keys() == {(1, 1), (2, 2)} and got[1, 1] == (12, 12, True) and got[2, 2][2] and got[2, 2][0] < got[2, 2][1]
     assert t.matches(docs, items).where("item_id = 1").count() == 0
     assert [r.doc_id for r in t.clean(docs, items).collect()] == [3]
+
+
+def test_long_passage_of_a_long_item(spark):
+    """A run of 13 words is reported whatever share of the item it is, 12 words are not, nor are 13 in pieces."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [words[100:150], words[100:113], words[100:112], words[100:110] + ["x"] + words[110:120]]
+    docs = spark.createDataFrame([(i, " ".join(["q"] * 5 + x + ["z"] * 5)) for i, x in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.matched, r.item_windows, r.first_word, r.last_word) for r in t.query(docs, items).collect()}
+    assert got == {0: (43, 393, 5, 54), 1: (6, 393, 5, 17)}

@@ -6,7 +6,7 @@ by hash, twice: as they are, and as templates where they hold a placeholder and
 word. Along one alignment of a document with an item, each value of the item becomes the value that it became in most windows (different values may become
 equal); template windows in which it became another do not count. With one_to_one, each value of the item must always have become the same value and each
 new value stand for one of the item's, else no template window of the alignment counts. A document is contaminated by an item if a share of SHARE
-of the item's windows is found.
+of the item's windows is found, or so many neighbouring ones along one alignment that they span RUN words.
 
 The hashes of the items' windows go to all tasks, to let only windows that may meet out, while there are at most `filter_windows` of
 them; beyond that all windows of documents are joined. The items' windows themselves are broadcast up to `broadcast_windows`.
@@ -33,6 +33,8 @@ WINDOW = 8
 LEAST = 5
 #: Share of an item's windows that must be found, and their number (all, if it has fewer).
 SHARE, NUMBER = 0.3, 3
+#: Words of a passage that is reported whatever share of the item it is.
+RUN = 13
 #: Units that count as such after a number.
 UNITS = frozenset(
     b"""mm cm m km in inch inches ft foot feet yd yards mile miles mg g kg t oz lb lbs gram grams kilogram kilograms ton tons
@@ -209,7 +211,7 @@ def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000,
     out = s.join(t, F.col("s.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("s.item_key") == F.col("t.item_key")))
     coverage = F.col("matched") / F.col("item_windows")
     enough = (coverage >= SHARE) & (F.col("matched") >= F.least(F.lit(NUMBER), F.col("item_windows")))
-    return out.where(enough).select(
+    return out.where(enough | (F.col("span") >= RUN)).select(
         "doc_id", "key", "s.item_id", "matched", "item_windows", coverage.alias("coverage"), "first_word", "last_word", "reparameterised"
     )
 
