@@ -141,10 +141,14 @@ def offset_vote(a: DataFrame, b: DataFrame, by: Sequence[str], reach: int = 10,
 # ---- mean squared displacement -----------------------------------------------------------------------------------------------
 
 
-def msd_pairs(df: DataFrame, max_tau: int, axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
-    """tau, msd and n_pairs of each track, from pairs of rows exactly tau frames apart."""
+def msd_pairs(df: DataFrame, max_tau: int | None, axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
+    """tau, msd and n_pairs of each track, from pairs of rows exactly tau frames apart. max_tau None: every tau up to half the track's span, rounded up."""
     spots = df.select(*key, TIME, *axes)
-    ahead = spots.withColumn("tau", F.explode(F.sequence(F.lit(1), F.lit(max_tau)))).withColumn("__t", F.col(TIME) + F.col("tau"))
+    if max_tau is None:
+        limits = df.groupBy(*key).agg(F.ceil((F.max(TIME) - F.min(TIME)) / 2).cast("int").alias("__most")).where("__most > 0")
+        ahead = spots.join(limits, list(key)).withColumn("tau", F.explode(F.sequence(F.lit(1), F.col("__most")))).drop("__most").withColumn("__t", F.col(TIME) + F.col("tau"))
+    else:
+        ahead = spots.withColumn("tau", F.explode(F.sequence(F.lit(1), F.lit(max_tau)))).withColumn("__t", F.col(TIME) + F.col("tau"))
     later = spots.select(*key, F.col(TIME).alias("__t"), *[F.col(c).alias(f"r_{c}") for c in axes])
     return ahead.join(later, [*key, "__t"]).groupBy(*key, "tau").agg(F.avg(_distance2(axes)).alias("msd"), F.count("*").alias("n_pairs"))
 
@@ -157,12 +161,12 @@ def _tracks_for_msd(df: DataFrame, rule: str, key: Sequence[str]) -> DataFrame:
     return span.where("n > 6").select(*key, F.ceil(F.col("span") / 2).cast("int").alias("most"))
 
 
-def msd_by_track(df: DataFrame, max_tau: int, rule: str = "track", axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
+def msd_by_track(df: DataFrame, max_tau: int | None, rule: str = "track", axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
     """msd_pairs up to half the track's span: rounded down, or (rule "well") up for tracks of more than six rows."""
     return msd_pairs(df, max_tau, axes, key).join(_tracks_for_msd(df, rule, key), list(key)).where("tau <= most").drop("most")
 
 
-def msd_by_well(df: DataFrame, max_tau: int, quirk: bool = False, axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
+def msd_by_well(df: DataFrame, max_tau: int | None, quirk: bool = False, axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
     """Mean of the tracks' curves at each tau of a well, of tracks with at least three taus of which one is 1. quirk: without the longest tau, as in the original."""
     curves = msd_by_track(df, max_tau, "well", axes, key)
     good = curves.groupBy(*key).agg(F.count("*").alias("n"), F.min("tau").alias("least")).where("n >= 3 and least = 1").select(*key)
@@ -215,7 +219,7 @@ def zones(df: DataFrame, axis: str = "y_pos", key: Sequence[str] = KEY) -> DataF
     return sized.select(*key, F.least(F.floor(F.coalesce(away / sixth, F.lit(0.0))), F.lit(2)).cast("int").alias("zone0")).select(*key, (F.col("zone0") + 1).alias("zone"))
 
 
-def msd_by_zone(df: DataFrame, max_tau: int, key: Sequence[str] = KEY) -> DataFrame:
+def msd_by_zone(df: DataFrame, max_tau: int | None, key: Sequence[str] = KEY) -> DataFrame:
     """Mean curve of the tracks of each zone."""
     curves = msd_by_track(df, max_tau, "track", key=key).join(zones(df, key=key), list(key))
     return curves.groupBy(key[0], "zone", "tau").agg(F.avg("msd").alias("msd"), F.count("*").alias("n_tracks"))

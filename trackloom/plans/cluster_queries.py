@@ -73,8 +73,8 @@ def group_cv(df: DataFrame) -> DataFrame:
 
 @query("embeddings")
 def rf_compare(df: DataFrame) -> DataFrame:
-    named = df.select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(12)])
-    return k.rf_compare(named, {"few": [f"e{i}" for i in range(4)], "all": [f"e{i}" for i in range(12)]}, "label", ["vec_id"])
+    named = df.select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(64)])
+    return k.rf_compare(named, {"few": [f"e{i}" for i in range(4)], "all": [f"e{i}" for i in range(64)]}, "label", ["vec_id"])
 
 
 @query("v_cells", sql="""

@@ -28,7 +28,7 @@ def fit_linear_family(long: DataFrame) -> DataFrame:
 
 @query("v_long")
 def fit_nonlinear_family(long: DataFrame) -> DataFrame:
-    return f.fit_nonlinear_family(long.where("feature = 'area'"))
+    return f.fit_nonlinear_family(long)
 
 
 @query("v_long", sql="""
@@ -129,6 +129,11 @@ def forecast_metrics(df: DataFrame) -> DataFrame:
     return _metrics(df).where("mape < 1000").withColumn("mse", F.col("mse") / 9973)
 
 
+@query("v_series")
+def forecast_metrics_whole(df: DataFrame) -> DataFrame:
+    return _metrics(df)
+
+
 @query("v_series", sql=f"""
 WITH {METRICS}, a AS (SELECT unique_id, model, avg(mae) AS score FROM s GROUP BY ALL) SELECT unique_id, model, score FROM a QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY score, model) = 1""", doubles="score", digits=7)
 def best_model(df: DataFrame) -> DataFrame:

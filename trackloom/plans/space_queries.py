@@ -66,7 +66,22 @@ def msd_models_brownian(df: DataFrame) -> DataFrame:
 
 @query("v_tracks")
 def msd_models(df: DataFrame) -> DataFrame:
-    return s.msd_models(s.msd_by_track(df, 10))
+    return s.msd_models(s.msd_by_track(df, None))
+
+
+@query("v_tracks")
+def msd_pairs_whole(df: DataFrame) -> DataFrame:
+    return s.msd_pairs(df, None)
+
+
+@query("v_tracks")
+def msd_by_well_whole(df: DataFrame) -> DataFrame:
+    return s.msd_by_well(df, None)
+
+
+@query("v_tracks")
+def msd_by_zone_whole(df: DataFrame) -> DataFrame:
+    return s.msd_by_zone(df, None)
 
 
 @query("v_tracks", sql=f"""
