@@ -46,3 +46,39 @@ def test_metrics_of_every_window(spark):
 
 def test_every_feature(spark):
     assert QUERIES["fit_nonlinear_family"](spark, SF).select("feature").distinct().count() > 1
+
+
+def test_nearest_and_votes_of_every_frame(spark, duck):
+    """The SQL of the first frames, without its bounds."""
+    from pyspark.sql import functions as F
+
+    near = QUERIES["nearest_within_whole"](spark, SF)
+    sql = ORACLES["nearest_within"].replace(" WHERE time_index <= 12", "")
+    assert sql != ORACLES["nearest_within"]
+    doubles = {c: F.round(c, 6) + F.lit(0.0) for c in ("distance", "offset_x_pos", "offset_y_pos")}
+    got, want = rows(near.withColumns(doubles), sql, duck)
+    assert got == want and near.agg({"time_index": "max"}).first()[0] > 12
+    sql = ORACLES["offset_vote"].replace(" WHERE time_index <= 10", "").replace(" HAVING count(*) > 20", "")
+    got, want = rows(QUERIES["offset_vote_whole"](spark, SF), sql, duck)
+    assert got == want
+
+
+def test_greedy_match_of_every_frame(spark):
+    """One global pass over all pairs of each frame, in order of distance and ids."""
+    from trackloom.plans.views import frame
+
+    tracks = [r for r in frame(spark, SF, "v_tracks").select("experiment", "time_index", "parent", "x_pos", "y_pos").collect() if r.x_pos is not None and r.y_pos is not None]
+    frames = {}
+    for r in tracks:
+        frames.setdefault((r.experiment, r.time_index), []).append(r)
+    want = set()
+    for key, found in frames.items():
+        pairs = sorted((((b.x_pos + 4 - a.x_pos) ** 2 + (b.y_pos - a.y_pos) ** 2) ** 0.5, a.parent, b.parent) for a in found for b in found)
+        left, right = set(), set()
+        for d, a, b in pairs:
+            if d <= 60 and a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                want.add((*key, a, b))
+    got = [(r.experiment, r.time_index, r.a, r.b) for r in QUERIES["greedy_match"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(r[1] for r in got) > 6

@@ -103,13 +103,19 @@ def nearest_within(df: DataFrame, full: DataFrame) -> DataFrame:
     return s.nearest_within(objects, full.select("experiment", "time_index", "parent", "x_pos", "y_pos"), 50.0, ["experiment", "time_index"], "object", "parent")
 
 
+@query("v_tracks", "v_tracks_full")
+def nearest_within_whole(df: DataFrame, full: DataFrame) -> DataFrame:
+    objects = df.select("experiment", "time_index", F.col("l_partkey").alias("object"), (F.col("x_pos") + 3).alias("x_pos"), (F.col("y_pos") - 2).alias("y_pos"))
+    return s.nearest_within(objects, full.select("experiment", "time_index", "parent", "x_pos", "y_pos"), 50.0, ["experiment", "time_index"], "object", "parent")
+
+
 def _objects(df: DataFrame, shift: float) -> DataFrame:
-    return df.where("time_index <= 6").select("experiment", "time_index", F.col("parent").alias("id"), (F.col("x_pos") + shift).alias("x_pos"), "y_pos")
+    return df.select("experiment", "time_index", F.col("parent").alias("id"), (F.col("x_pos") + shift).alias("x_pos"), "y_pos")
 
 
 @query("v_tracks")
 def greedy_match(df: DataFrame) -> DataFrame:
-    return s.greedy_match(_objects(df, 0.0), _objects(df, 4.0), 60.0, ["experiment", "time_index"], candidates=8)
+    return s.greedy_match(_objects(df, 0.0), _objects(df, 4.0), 60.0, ["experiment", "time_index"])
 
 
 @query("v_cells")
@@ -135,6 +141,12 @@ def offset_vote(df: DataFrame) -> DataFrame:
     return s.offset_vote(a, b, ["experiment", "time_index"]).where("votes > 20")
 
 
+@query("v_tracks")
+def offset_vote_whole(df: DataFrame) -> DataFrame:
+    a = df.select("experiment", "time_index", "parent", "x_pos", "y_pos")
+    return s.offset_vote(a, a.withColumns({"x_pos": F.col("x_pos") + 4, "y_pos": F.col("y_pos") - 1}), ["experiment", "time_index"])
+
+
 @query("v_tracks", sql="""
 WITH e AS (SELECT experiment, quantile_cont(y_pos, [0.2, 0.4, 0.6, 0.8]) AS q FROM v_tracks GROUP BY experiment)
 SELECT experiment, layer, count(*) AS n, min(y_pos) AS low, max(y_pos) AS high FROM (SELECT experiment, y_pos, CAST(len(list_filter(q, lambda x: x < y_pos)) AS INT) AS layer FROM v_tracks JOIN e USING (experiment)) GROUP BY ALL""", doubles="low high")
