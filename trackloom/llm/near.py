@@ -291,11 +291,11 @@ def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
     return docs.select(*names, "text").mapInArrow(run, schema)
 
 
-def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, common: int = 4) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, common: int = 3) -> tuple[DataFrame, DataFrame]:
     """doc_id and set (set_key of the shingles) of each row, and edges a, b that join all sets whose Jaccard similarity is least hundredths or more.
 
-    Exact: sets so similar share a shingle of their prefixes, and each pair of sets that does is compared shingle by shingle, except where tested links
-    join the two already. First each set meets the least set of each of its shingles, then all those of other components.
+    Exact: sets so similar share shingles of their prefixes, and each pair of sets that shares enough of them is compared shingle by shingle, except where
+    tested links join the two already. First each set meets the least set of each of its shingles, then all those of other components.
     share, common: shingles met so often in one of so many texts come last in the prefixes; that changes the time, not the links.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -326,12 +326,17 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
     named = marked.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     close = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * least
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes n and m and number of shared shingles within both prefixes allow the similarity: what lies beyond one prefix can be shared at most."""
+        beyond = F.greatest(*[F.ceil(F.col(x) * least / 100) - 1 for x in ("n", "m")])
+        return pairs.groupBy("a", "b", "n", "m").count().where((F.col("count") + beyond) * (100 + least) >= (F.col("n") + F.col("m")) * least).select("a", "b")
+
     def shingles(given, texts, _):
         sets = [shingle_set(x, words) for x in texts]
         return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["set", "shingles"])
 
     def tested(pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs.distinct())
+        pairs = kept(pairs)
         ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
         wanted = small(kept(named.join(ends, "set", "left_semi").select("doc_id").distinct()))
         held = kept(_by_set(docs.join(wanted, "doc_id", "left_semi"), "doc_id", shingles, "set long, shingles array<long>").dropDuplicates(["set"]))
@@ -339,12 +344,13 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
         return kept(both.where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * least).select("a", "b"))
 
-    first = tested(rows.where((F.col("set") != F.col("low.set")) & close(F.col("n"), F.col("low.n"))).select(F.col("low.set").alias("a"), F.col("set").alias("b")))
+    first = rows.where((F.col("set") != F.col("low.set")) & close(F.col("n"), F.col("low.n"))).select(F.col("low.set").alias("a"), F.col("set").alias("b"), F.col("low.n").alias("n"), F.col("n").alias("m"))
+    first = tested(possible(first))
     placed = rows.drop("low").join(components(first).withColumnRenamed("v", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = kept(placed.withColumn("low", F.min("root").over(met)).withColumn("high", F.max("root").over(met)).where("low <> high").drop("low", "high"))
     a, b = mixed.alias("a"), mixed.alias("b")
     apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.root") != F.col("b.root")) & close(F.col("a.n"), F.col("b.n"))
-    second = tested(a.join(b, apart).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")))
+    second = tested(possible(a.join(b, apart).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))))
     return marked, first.unionByName(second)
 
 
