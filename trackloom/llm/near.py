@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import kept, slices, small, texts_as_bytes
+from trackloom.llm.shared import kept, slices, small, texts_as_bytes, unused
 
 #: Fixed: the seed of the shingles' hash.
 SEED = 42
@@ -169,7 +169,7 @@ def stars(values: np.ndarray, home: np.ndarray, r: int) -> tuple[np.ndarray, np.
     return active[active != root], root[active != root]
 
 
-def links(distinct: DataFrame, r: int = 4, parts: int = 3, capacity: int = 512, sample: int = 32_768, block: int = 8_192) -> DataFrame:
+def links(distinct: DataFrame, r: int = 4, parts: int = 3, capacity: int = 512, sample: int = 131_072, block: int = 8_192) -> DataFrame:
     """Pairs a, b of fingerprints of distinct (column fp) that join every pair within r bits: stars, so far fewer than the pairs.
 
     capacity: fingerprints that a leaf should hold. sample: fingerprints that the trees are grown from, those of least hash.
@@ -232,15 +232,30 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("v", F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
 
 
+#: So many of the most frequent keys are sent to all tasks in with_names.
+FREQUENT = 1000
+
+
+def with_names(rows: DataFrame, named: DataFrame, key: str, name: str) -> DataFrame:
+    """rows (kept) with the name of their key. named: key, name and copies (rows that have it), a row for each key.
+
+    The FREQUENT keys of most copies are broadcast, so that no task takes all rows of one of them; the other keys meet by a shuffle.
+    """
+    frequent = kept(named.orderBy(F.desc("copies"), key).limit(FREQUENT).where("copies > 1").select(key, name))
+    others = named.join(F.broadcast(frequent.select(key)), key, "left_anti").select(key, name)
+    rare = rows.join(F.broadcast(frequent.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(frequent), key).unionByName(rare.join(others, key))
+
+
 def duplicates(docs: DataFrame, r: int = 4, words: int = 4, **tuning: int) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id linked to it, itself included) of each row of docs."""
     marked = kept(fingerprints(docs, words))
-    distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     joined = components(links(distinct, r, **tuning)).withColumnRenamed("v", "fp")
     linked = joined.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = distinct.join(joined.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(joined.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "copies")
+    return with_names(marked, kept(named), "fp", "component_id").select("doc_id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -251,8 +266,16 @@ def query(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, r: int = 4, words: int = 4) -> DataFrame:
     """The rows of docs whose doc_id names their component: one document of each group stays. Rows without doc_id, which can't be named, stay."""
     linked = duplicates(docs.where(F.col("doc_id").isNotNull()), r, words)
-    gone = linked.groupBy("doc_id").agg(F.min("component_id").alias("c")).where(F.col("doc_id") != F.col("c")).select(F.col("doc_id").alias("__doc"))
-    return docs.join(small(kept(gone)), F.col("doc_id") == F.col("__doc"), "left_anti")
+    return without(docs, linked.groupBy("doc_id").agg(F.min("component_id").alias("least")).where(F.col("doc_id") != F.col("least")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone."""
+    name = unused(docs, "gone_id")
+    return docs.join(small(kept(gone.select(F.col("doc_id").alias(name)))), F.col("doc_id") == F.col(name), "left_anti")
+
+
+# ---- sets of shingles: similarity of 0.8 and more ----------------------------------------------------------------------------
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -279,6 +302,77 @@ def prefix(shingles: np.ndarray, least: int, common: tuple[np.ndarray, np.ndarra
     return shingles[:many]
 
 
+#: Places of a sketch.
+PLACES = 256
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each of PLACES ranges of the hashes, a byte (1 to 255) of the least shingle within it; 0 where there is none. shingles: sorted."""
+    if not len(shingles):
+        return bytes(PLACES)
+    edges = np.linspace(-(2.0**63), 2.0**63, PLACES + 1)[:-1].astype(np.int64)
+    at = np.searchsorted(shingles, edges)
+    held = np.diff(np.append(at, len(shingles))) > 0
+    least = shingles[np.minimum(at, len(shingles) - 1)].view(np.uint64)
+    return np.where(held, least % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of the sketches in the rows of a to all those of b: of the places that either holds, how many are equal (less the equal bytes of chance)."""
+    same, both = np.zeros((len(a), len(b)), np.int16), (a > 0).astype(np.float32) @ (b > 0).astype(np.float32).T
+    for place in range(PLACES):
+        x = a[:, place, None]
+        same += (x == b[None, :, place]) & (x > 0)
+    either = (a > 0).sum(axis=1)[:, None] + (b > 0).sum(axis=1)[None, :] - both
+    return np.where(either > 0, (same / np.maximum(either, 1) - 1 / 255) * 255 / 254, 1.0).astype(np.float32)
+
+
+def forest(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row but the first of its kind the row most like it among those with more rows alike (at least `least`), and how alike: at most one link for each row."""
+    n = len(sketches)
+    found = np.concatenate([alike(sketches[low : low + 256], sketches) for low in range(0, n, 256)])
+    np.fill_diagonal(found, -1)
+    order = np.argsort(-(found >= least).sum(axis=1), kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    found[place[None, :] >= place[:, None]] = -1
+    best = found.argmax(axis=1)
+    how = found[np.arange(n), best]
+    rows = np.flatnonzero(how >= least)
+    return rows, best[rows], how[rows]
+
+
+def met(members: DataFrame, least: float) -> DataFrame:
+    """a, b, alike: the forests of the sets that share a shard (columns shard, set, sketch; a shard's rows fit in a task)."""
+
+    def links_of(shard: np.ndarray, sets: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(shard)))
+        two = starts[sizes == 2]
+        x, y = sketches[two], sketches[two + 1]
+        either = ((x > 0) | (y > 0)).sum(axis=1)
+        how = np.where(either > 0, (((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1) - 1 / 255) * 255 / 254, 1.0)
+        a, b, h = [sets[two][how >= least]], [sets[two + 1][how >= least]], [how[how >= least]]
+        for low, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            i, j, found = forest(sketches[low : low + n], least)
+            a, b, h = [*a, sets[low + i]], [*b, sets[low + j]], [*h, found]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, [v.astype(np.float64) for v in h])], ["a", "b", "alike"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, sets, sketches = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint8)
+        for batch in batches:
+            new = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, PLACES)
+            shard = np.concatenate([shard, batch.column(0).to_numpy(zero_copy_only=False)])
+            sets, sketches = np.concatenate([sets, batch.column(1).to_numpy(zero_copy_only=False)]), np.concatenate([sketches, new])
+            if len(shard) and shard[0] != shard[-1]:
+                cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on in the next batch
+                yield links_of(shard[:cut], sets[:cut], sketches[:cut])
+                shard, sets, sketches = shard[cut:], sets[cut:], sketches[cut:]
+        yield links_of(shard, sets, sketches)
+
+    return members.select("shard", "set", "sketch").repartition("shard").sortWithinPartitions("shard", "set").mapInArrow(run, "a long, b long, alike double")
+
+
 def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
     """Rows that a function makes of columns of a batch and its texts."""
     names = columns.split()
@@ -291,67 +385,93 @@ def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
     return docs.select(*names, "text").mapInArrow(run, schema)
 
 
-def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, common: int = 3) -> tuple[DataFrame, DataFrame]:
-    """doc_id and set (set_key of the shingles) of each row, and edges a, b that join all sets whose Jaccard similarity is least hundredths or more.
+def fingerprint_of(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed number."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(shingles), BLOCK_OF_SHINGLES):
+        counts += np.unpackbits(shingles[low : low + BLOCK_OF_SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
 
-    Exact: sets so similar share shingles of their prefixes, and each pair of sets that shares enough of them is compared shingle by shingle, except where
-    tested links join the two already. First each set meets the least set of each of its shingles, then all those of other components.
+def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, common: int = 3, unsure: tuple[float, float] = (0.1, 0.12), block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """doc_id and set (set_key of the shingles) of each row, and edges a, b between sets whose Jaccard similarity is least hundredths or more.
+
+    First the sets whose fingerprints are linked through the vantage-point trees; then those that share a shingle of their prefixes, which all sets so similar do.
+    Sets that share one are a shard, compared by sketches all with all (in blocks where they are more than `block`), and each is linked to the one most like it
+    among those that have more like them. Links that the sketches leave unsure (so much below or above the similarity) are tested shingle by shingle, where
+    surer ones do not join the two already. A sketch's standard error is 0.025 at most, so the bounds are four of them.
     share, common: shingles met so often in one of so many texts come last in the prefixes; that changes the time, not the links.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    low, high = least / 100 - unsure[0], least / 100 + unsure[1]
 
     def keys(given, texts, _):
-        return pa.RecordBatch.from_arrays([given[0], pa.array([set_key(shingle_set(x, words)) for x in texts], pa.int64())], ["doc_id", "set"])
+        sets = [shingle_set(x, words) for x in texts]
+        made = [pa.array([f(s) for s in sets], kind) for f, kind in ((set_key, pa.int64()), (fingerprint_of, pa.int64()), (sketch, pa.binary()))]
+        return pa.RecordBatch.from_arrays([given[0], *made], ["doc_id", "set", "fp", "sketch"])
 
     def tokens(given, texts, seen):
         sets = [s for s in (shingle_set(x, words) for x in texts) if (k := set_key(s)) not in seen and not seen.add(k)]
         owner = np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(s) for s in sets])
         return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["set", "token"])
 
-    marked = kept(_by_set(docs, "doc_id", keys, f"doc_id {kind}, set long"))
-    sampled = _by_set(docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), "doc_id", tokens, "set long, token long").distinct()
-    often = sampled.groupBy("token").count().where(F.col("count") >= common).orderBy(F.desc("count"), "token").limit(1_000_000).toPandas().sort_values("token")
-    hot = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    marked = kept(_by_set(docs, "doc_id", keys, f"doc_id {kind}, set long, fp long, sketch binary"))
+    sets = kept(marked.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
+    sketches = sets.select("set", "sketch")
 
-    def firsts(given, texts, seen):
-        sets = [(k, s) for k, s in ((set_key(s), s) for s in (shingle_set(x, words) for x in texts)) if k not in seen and not seen.add(k)]
-        parts = [prefix(s, least, hot.value) if len(s) else s for _, s in sets]
-        lengths = [len(p) for p in parts]
-        column = lambda values: pa.array(np.repeat(np.array(values, np.int64), lengths))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), column([k for k, _ in sets]), column([len(s) for _, s in sets])], ["token", "set", "n"])
-
-    met = Window.partitionBy("token")
-    rows = _by_set(docs, "doc_id", firsts, "token long, set long, n long").withColumn("low", F.min(F.struct("set", "n")).over(met)).withColumn("high", F.max("set").over(met))
-    rows = kept(rows.where(F.col("low.set") != F.col("high")).select("token", "set", "n", "low").distinct())
-    named = marked.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    close = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * least
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes n and m and number of shared shingles within both prefixes allow the similarity: what lies beyond one prefix can be shared at most."""
-        beyond = F.greatest(*[F.ceil(F.col(x) * least / 100) - 1 for x in ("n", "m")])
-        return pairs.groupBy("a", "b", "n", "m").count().where((F.col("count") + beyond) * (100 + least) >= (F.col("n") + F.col("m")) * least).select("a", "b")
-
-    def shingles(given, texts, _):
-        sets = [shingle_set(x, words) for x in texts]
-        return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["set", "shingles"])
+    def judged(pairs: DataFrame) -> DataFrame:
+        """a, b and alike of pairs a, b: each is a shard."""
+        shards = pairs.select(F.xxhash64("a", "b").alias("shard"), F.explode(F.array("a", "b")).alias("set"))
+        return met(shards.join(sketches, "set"), low)
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs)
         ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-        wanted = small(kept(named.join(ends, "set", "left_semi").select("doc_id").distinct()))
+        wanted = small(kept(sets.join(ends, "set", "left_semi").select("doc_id").distinct()))
         held = kept(_by_set(docs.join(wanted, "doc_id", "left_semi"), "doc_id", shingles, "set long, shingles array<long>").dropDuplicates(["set"]))
         left, right = held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), held.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
         return kept(both.where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * least).select("a", "b"))
 
-    first = rows.where((F.col("set") != F.col("low.set")) & close(F.col("n"), F.col("low.n"))).select(F.col("low.set").alias("a"), F.col("set").alias("b"), F.col("low.n").alias("n"), F.col("n").alias("m"))
-    first = tested(possible(first))
-    placed = rows.drop("low").join(components(first).withColumnRenamed("v", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = kept(placed.withColumn("low", F.min("root").over(met)).withColumn("high", F.max("root").over(met)).where("low <> high").drop("low", "high"))
-    a, b = mixed.alias("a"), mixed.alias("b")
-    apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.root") != F.col("b.root")) & close(F.col("a.n"), F.col("b.n"))
-    second = tested(possible(a.join(b, apart).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))))
-    return marked, first.unionByName(second)
+    def shingles(given, texts, _):
+        found = [shingle_set(x, words) for x in texts]
+        return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tolist() for s in found], pa.list_(pa.int64()))], ["set", "shingles"])
+
+    # links of fingerprints, as pairs of the least sets that have them
+    heads = kept(sets.groupBy("fp").agg(F.min("set").alias("head")))
+    ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_set")) for x in "ab"]
+    same = sets.join(heads, "fp").where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b"))
+    near = links(heads.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    first = kept(judged(same.unionByName(near).distinct()))
+
+    sampled = _by_set(docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), "doc_id", tokens, "set long, token long").distinct()
+    often = sampled.groupBy("token").count().where(F.col("count") >= common).orderBy(F.desc("count"), "token").limit(1_000_000).toPandas().sort_values("token")
+    hot = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+
+    def firsts(given, texts, seen):
+        found = [(k, s) for k, s in ((set_key(s), s) for s in (shingle_set(x, words) for x in texts)) if k not in seen and not seen.add(k)]
+        parts = [prefix(s, least, hot.value) if len(s) else s for _, s in found]
+        owner = np.repeat(np.array([k for k, _ in found], np.int64), [len(p) for p in parts])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), pa.array(owner)], ["token", "set"])
+
+    # shingles of one row each are most of them; those with equal sets do the same, so that one of them is enough
+    shared = Window.partitionBy("token")
+    rows = _by_set(docs, "doc_id", firsts, "token long, set long").withColumns({"low": F.min("set").over(shared), "high": F.max("set").over(shared)}).where("low <> high").select("token", "set").distinct()
+    rows = rows.withColumns({"size": F.count("*").over(shared), "sum": F.sum(F.xxhash64("set").cast("decimal(38,0)")).over(shared)})
+    rows = rows.withColumn("one", F.min("token").over(Window.partitionBy("size", "sum", "set"))).where(F.col("one") == F.col("token")).select("token", "set", "size")
+    joined = components(first.where(F.col("alike") >= high).select("a", "b")).withColumnRenamed("v", "set")
+    rows = kept(rows.join(joined, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    mixed = rows.withColumns({"low": F.min("root").over(shared), "high": F.max("root").over(shared)}).where("low <> high")
+    many = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("set", F.lit(1)), many).cast("int")
+    places = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.xxhash64("token", F.least(own, i), F.greatest(own, i)))
+    members = mixed.select("set", F.explode(F.when(many == 1, F.array(F.col("token"))).otherwise(places)).alias("shard"))
+    found = kept(met(members.join(sketches, "set"), low).unionByName(first).groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    sure = found.where(F.col("alike") >= high).select("a", "b")
+    roots = components(sure)
+    a, b = roots.select(F.col("v").alias("a"), F.col("root").alias("p")), roots.select(F.col("v").alias("b"), F.col("root").alias("q"))
+    apart = found.where(F.col("alike") < high).join(a, "a", "left").join(b, "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b"))
+    return marked.select("doc_id", "set"), sure.unionByName(tested(apart.select("a", "b")))
 
 
 def one_of_similar(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
@@ -360,7 +480,8 @@ def one_of_similar(docs: DataFrame, words: int = 5, least: int = 80) -> DataFram
     Rows without doc_id, which can't be named, stay; rows of one doc_id stay or go together; texts without words are alike.
     """
     marked, edges = similar(docs.where(F.col("doc_id").isNotNull()), words, least)
-    placed = marked.join(components(edges).withColumnRenamed("v", "set"), "set", "left").select("doc_id", F.coalesce("root", "set").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("least")), "root")
-    gone = named.groupBy("doc_id").agg(F.min("least").alias("least")).where(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias("__doc"))
-    return docs.join(small(kept(gone)), F.col("doc_id") == F.col("__doc"), "left_anti")
+    sets = kept(marked.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    placed = sets.join(components(edges).withColumnRenamed("v", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    named = placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("set", "least", "copies")
+    all_ = with_names(marked, kept(named), "set", "least")
+    return without(docs, all_.groupBy("doc_id").agg(F.min("least").alias("least")).where(F.col("doc_id") != F.col("least")))
