@@ -5,7 +5,7 @@ with the highest score (the leftmost of equals) is merged and the pairs with its
 Symbols that are no piece become byte pieces, or the unknown id where the vocabulary has none.
 
 No piece has the space mark after another character, which is read off the vocabulary, so no merge crosses such a place: the
-stretches between are encoded alone and remembered. Every stretch's ids are compared with those of the sentencepiece library
+stretches between are encoded alone and remembered, up to a size in bytes. Every stretch's ids are compared with those of the sentencepiece library
 the first time a worker meets it (check="stretches"), or every text's ids in every Arrow batch (check="texts").
 
 Cases: a null text counts as empty, and an empty text has the end id only; repeated rows give repeated results; other columns
@@ -29,10 +29,14 @@ from trackloom.llm.shared import slices, texts_as_strings
 MARK = "▁"
 
 
+#: Bytes of the stretches that a worker keeps, those met last; as many before them are kept as well.
+REMEMBER = 96_000_000
+
+
 class Pieces:
-    """A merge-type vocabulary, encoded with an agenda. remember: so many stretches met last are kept, and as many before them."""
+    """A merge-type vocabulary, encoded with an agenda. remember: as REMEMBER."""
 
-    def __init__(self, model_file: str, check: str = "stretches", remember: int = 120_000):
+    def __init__(self, model_file: str, check: str = "stretches", remember: int = REMEMBER):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -48,6 +52,7 @@ class Pieces:
             raise ValueError("pieces of this vocabulary span spaces, so its texts can't be cut at spaces")
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.size = 0
         self.digits = [str(i) for i in range(n)]
 
     def agenda(self, stretch: str) -> tuple[int, ...]:
@@ -82,14 +87,15 @@ class Pieces:
 
     def learn(self, stretches: set[str]) -> None:
         """Encode stretches (without their leading mark) that are not known, and check them."""
-        if len(self.known) > self.remember:
-            self.known, self.older = {}, self.known
+        if self.size > self.remember:
+            self.known, self.older, self.size = {}, self.known, 0
         new = []
         for x in stretches.difference(self.known):
             if (ids := self.older.get(x)) is None:
                 ids = self.agenda(MARK + x)
                 new.append(x)
             self.known[x] = ids
+            self.size += 200 + len(x) + 8 * len(ids)  # about what the two objects and their place take
         if self.check == "stretches":
             for x, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
                 if x and tuple(ids) != self.known[x]:  # the library has no way to encode a lone mark
@@ -146,17 +152,17 @@ class Pieces:
 
 
 @cache
-def vocabulary(model_file: str, check: str) -> Pieces:
+def vocabulary(model_file: str, check: str, remember: int = REMEMBER) -> Pieces:
     """One for each worker process, so that what it remembers outlives a task."""
-    return Pieces(model_file, check)
+    return Pieces(model_file, check, remember)
 
 
-def encode(docs: DataFrame, model_file: str, check: str = "stretches") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, check: str = "stretches", remember: int = REMEMBER) -> DataFrame:
     """doc_id, ids (array of int, with the end id) and decoded (the text that these ids give) of each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(model_file, check)
+        pieces = vocabulary(model_file, check, remember)
         for batch in slices(batches, 1_000_000):
             ids = pieces.encode(texts_as_strings(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
