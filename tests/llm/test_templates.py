@@ -112,3 +112,18 @@ def test_long_passage_of_a_long_item(spark):
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     got = {r.doc_id: (r.matched, r.item_windows, r.first_word, r.last_word) for r in t.query(docs, items).collect()}
     assert got == {0: (43, 393, 5, 54), 1: (6, 393, 5, 17)}
+
+
+def test_short_items(spark):
+    """Items of one to four words are found word for word at word boundaries, but do not clean; those without words are not found."""
+    docs = spark.createDataFrame([(1, "he said Yes, of course"), (2, "yesterday of all days"), (3, "what is: the answer?"), (4, "what is an answer")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "What is the answer"), (3, "?"), (4, "3 km of"), (5, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched, r.first_word, r.last_word) for r in t.query(docs, items).collect()} == {(1, 1, 1, 2, 2), (3, 2, 1, 0, 3)}
+    assert t.clean(docs, items).count() == 4
+
+
+def test_clashing_columns(spark):
+    item = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(1, item, "a", "b", "c"), (2, "no", "d", "e", "f")], "doc_id long, text string, bad_doc string, bad_key string, `__key` string")
+    left = t.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [tuple(r) for r in left.collect()] == [(2, "no", "d", "e", "f")] and left.columns == docs.columns

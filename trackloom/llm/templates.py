@@ -11,7 +11,8 @@ of the item's windows is found, or so many neighbouring ones along one alignment
 The hashes of the items' windows go to all tasks, to let only windows that may meet out, while there are at most `filter_windows` of
 them; beyond that all windows of documents are joined. The items' windows themselves are broadcast up to `broadcast_windows`.
 
-Cases: null and empty texts have no windows; items of fewer than LEAST words are not looked for; items with equal texts are each reported;
+Cases: null and empty texts have no windows; items of fewer than LEAST words are found where all their words stand as they are, by matches() but not by clean(), which would
+drop every document that says so short a thing; items without words are not found; items with equal texts are each reported;
 rows without doc_id are told apart by their text and reported with a null doc_id; equal rows are reported once; other columns are not read.
 """
 
@@ -26,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import kept, key_of, slices, small, texts_as_bytes
+from trackloom.llm.shared import kept, key_of, slices, small, texts_as_bytes, unused
 
 WINDOW = 8
-#: Words that an item, and words besides placeholders that a template window of WINDOW words must have.
+#: Words that an item must have to be found as a template, and words besides placeholders that a template window of WINDOW words must have.
 LEAST = 5
 #: Share of an item's windows that must be found, and their number (all, if it has fewer).
 SHARE, NUMBER = 0.3, 3
@@ -107,14 +108,14 @@ def windows(texts: list[bytes], words: Words, sizes: list[int] | None, wanted: n
     out: dict[str, list] = {c: [] for c in _SCHEMA.names}
     own_size = sizes is None
     for size in sorted(set(np.minimum(lengths, WINDOW).tolist())) if own_size else sizes:
-        if size < LEAST or len(number) < size:
+        if size < 1 or len(number) < size:
             continue
         n = len(number) - size + 1
         valid = owner[size - 1 :] == owner[:n]
         if own_size:
             valid &= np.minimum(lengths, WINDOW)[owner[:n]] == size
         held = slots_before[size:] - slots_before[:n]
-        for form, ids in ((0, plain), (1, template)):
+        for form, ids in ((0, plain), (1, template))[: 1 + (size >= LEAST)]:
             h = _rolled(ids, size)
             ok = valid if form == 0 else valid & (held > 0) & (size - held >= min(LEAST, size - 1))
             if wanted is not None:
@@ -160,7 +161,7 @@ def _windowed(df: DataFrame, names: str, schema: str, sizes: list[int] | None =
 
 
 def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000, broadcast_windows: int = 50_000, one_to_one: bool = True) -> DataFrame:
-    """doc_id, key, item_id, matched (windows of the item found), item_windows, coverage, first_word and last_word (in the document), reparameterised.
+    """doc_id, key, item_id, matched (windows of the item found), item_windows, item_words, coverage, first_word and last_word (in the document), reparameterised.
 
     One row for each document and item that contaminates it. docs: doc_id, text. items: item_id, text.
     """
@@ -172,10 +173,10 @@ def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000,
     sizes = sorted(shape[1])
     wanted = None
     if 0 < shape[0] <= filter_windows:
-        hashes = np.array([r.hash for r in target.select("hash").distinct().collect()], np.int64).view(np.uint64)
+        hashes = target.select("hash").distinct().toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
     found = _windowed(docs.withColumn("key", key_of()), "doc_id key", f"doc_id {doc_kind}, key long", sizes, wanted).distinct()
-    total = target.groupBy("item_id", "item_key").agg(F.countDistinct("at").alias("item_windows"))
+    total = target.groupBy("item_id", "item_key").agg(F.countDistinct("at").alias("item_windows"), (F.max("at") + F.max("size")).cast("long").alias("item_words"))
     goal = target.select("item_id", "item_key", "size", "form", "hash", F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
     if shape[0] <= broadcast_windows:
         goal, total = F.broadcast(goal), F.broadcast(total)
@@ -212,7 +213,7 @@ def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000,
     coverage = F.col("matched") / F.col("item_windows")
     enough = (coverage >= SHARE) & (F.col("matched") >= F.least(F.lit(NUMBER), F.col("item_windows")))
     return out.where(enough | (F.col("span") >= RUN)).select(
-        "doc_id", "key", "s.item_id", "matched", "item_windows", coverage.alias("coverage"), "first_word", "last_word", "reparameterised"
+        "doc_id", "key", "s.item_id", "matched", "item_windows", "item_words", coverage.alias("coverage"), "first_word", "last_word", "reparameterised"
     )
 
 
@@ -222,6 +223,8 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found."""
-    bad = small(kept(matches(docs, items, one_to_one=False).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__bad")).distinct()))
-    return docs.withColumn("__key", key_of()).join(bad, (F.col("__key") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").drop("__key")
+    """The rows of docs in which no item of LEAST words or more is found."""
+    doc, bad = unused(docs, "bad_doc"), unused(docs, "bad_key")
+    enough = F.col("item_words") >= LEAST
+    found = matches(docs, items, one_to_one=False).where(enough).select(F.col("doc_id").alias(doc), F.col("key").alias(bad)).distinct()
+    return docs.join(small(kept(found)), (key_of() == F.col(bad)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti")
