@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the cluster names none (as in tests), one of our own."""
+    """The folder that driver and executors share: the cluster names it. Only a session on one machine (as in tests) may do without, and has one of our own."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or "/tmp/checkpoints")
     return named or context.getCheckpointDir()
@@ -57,6 +59,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of new_folder wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 of each text of an Arrow batch; nulls are empty."""
     column = batch.column(batch.schema.get_field_index(name))
