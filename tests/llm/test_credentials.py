@@ -79,3 +79,10 @@ def test_long_secrets_whole(spark):
         got = {r.doc_id: r.text for r in c.redact(docs).collect()}
         assert got == {1: "<identifier> <weak_secret> end", 2: "<weak_secret> <identifier> end", 3: "<access> <endpoint> <weak_secret>."}
     assert [s[0] for s in c.weak("HOST=db.example.com Server: x.example.com hosT=abc", [])] == ["endpoint"] * 3
+
+
+def test_clashing_columns_and_many_spans(spark):
+    long = " ".join(["password=abcdefgh é"] * 4000)
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "k", "s", "f"), (2, long, "k", "s", "f")], "doc_id long, text string, span_key string, spans_found string, `__key` string")
+    got = {r.doc_id: r for r in c.redact(docs).collect()}
+    assert tuple(got[1]) == (1, "<assign>", "k", "s", "f") and got[2].text == " ".join(["<assign> é"] * 4000)

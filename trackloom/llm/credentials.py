@@ -15,12 +15,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import in_batches, kept, key_of, small, texts_as_strings
+from trackloom.llm.shared import in_batches, kept, key_of, slices, small, texts_as_strings, unused
 
 #: The order of kinds that begin at the same place.
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
@@ -138,27 +139,40 @@ def query(docs: DataFrame) -> DataFrame:
     return find(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(as_text("found"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
 
 
-def redact(docs: DataFrame, scope: int = 400) -> DataFrame:
-    """docs with every span of its texts replaced by <kind>, overlapping spans by the first's, and n_chars (if there) made to agree.
-
-    Texts without spans stay as they are. Spans are cut at places of the text with Spark expressions.
-    """
-    spans = small(kept(find(docs, scope).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])))
-    a, b = docs.withColumn("__key", key_of()).alias("a"), spans.alias("b")
-    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("__key") == F.col("b.key")), "left")
-    text = F.col("a.text")
-    # (place reached, output so far): a span that begins before the place reached is covered already, or lengthens the last
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.struct(
-        F.greatest(s["at"], x["end"]).alias("at"),
-        F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">"))).alias("out"),
-    )
-    redacted = F.aggregate("b.spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    changed = F.when(F.col("b.spans").isNotNull(), redacted).otherwise(text)
-    columns = {"text": changed.alias("text")}
-    out = joined.select(*[columns.get(c, F.col(f"a.`{c}`")) for c in docs.columns], F.col("b.spans").isNotNull().alias("__changed"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("__changed")
+def _without(text: str, spans: list[dict]) -> str:
+    """text with each span (in order of their starts) replaced by <kind>; one that begins within another is covered by it or lengthens it."""
+    out, at = [], 0
+    for span in spans:
+        if span["start"] >= at:
+            out += [text[at : span["start"]], f"<{span['kind']}>"]
+        at = max(at, span["end"])
+    return "".join([*out, text[at:]])
 
 
+def redact(docs: DataFrame, scope: int = 400) -> DataFrame:
+    """docs with every span of its texts replaced by <kind>, overlapping spans by the first's, and n_chars (if there) made to agree. Texts without spans stay as they are."""
+    spans = small(kept(find(docs, scope).where(F.size("spans") > 0).select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])))
+    doc, key, found = (unused(docs, x) for x in ("span_doc", "span_key", "spans_found"))
+    named = spans.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("spans").alias(found))
+    joined = docs.join(named, F.col("doc_id").eqNullSafe(F.col(doc)) & (key_of() == F.col(key)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], found)
+    n = len(docs.columns)
+    at = {c: i for i, c in enumerate(docs.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2_000_000):
+            columns = list(batch.columns[:n])
+            rows = {i: x for i, x in enumerate(batch.column(n).to_pylist()) if x}
+            if rows:
+                texts = columns[at["text"]].to_pylist()
+                for i, x in rows.items():
+                    texts[i] = _without(texts[i], x)
+                columns[at["text"]] = pa.array(texts, columns[at["text"]].type)
+                if "n_chars" in at:
+                    lengths = columns[at["n_chars"]].to_pylist()
+                    for i in rows:
+                        lengths[i] = len(texts[i])
+                    columns[at["n_chars"]] = pa.array(lengths, columns[at["n_chars"]].type)
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = docs.columns
+    return joined.mapInArrow(run, docs.schema)
