@@ -44,3 +44,16 @@ def test_query(spark):
     assert [(r.conv_id, r.n_turns) for r in row] == [(-7, 2)]
     plan = chat.query(turns)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_learnt_text_comes_from_the_mask(spark):
+    """Another mask gives other text: what is learnt is cut out of the formatted string by its spans."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 1, "user", "a <b> \\ é"), (1, 2, "assistant", "x < y \\l"), (1, 3, "assistant", "𝔘 > z"), (1, 4, "user", "q")]
+    done = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = chat.read_back(done).first()
+    learnt = "x < y \\l" + "𝔘 > z"
+    assert (whole.loss_chars, whole.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    half = chat.read_back(done.withColumn("loss_spans", F.slice("loss_spans", 2, 1))).first()
+    assert (half.loss_chars, half.loss_sha256) == (5, hashlib.sha256("𝔘 > z".encode()).hexdigest())

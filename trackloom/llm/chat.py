@@ -53,10 +53,10 @@ def parsed(column: str) -> Column:
 
 
 def read_back(done: DataFrame) -> DataFrame:
-    """The columns of op7, all from the formatted string."""
-    turns = done.select("conv_id", "formatted", parsed("formatted").alias("turns"))
+    """The columns of op7, all from the formatted string; what is learnt by the loss spans."""
+    turns = done.select("conv_id", "formatted", "loss_spans", parsed("formatted").alias("turns"))
     everything = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNT), lambda t: t["text"]), "")
+    learnt = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
