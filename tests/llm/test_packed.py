@@ -76,3 +76,11 @@ def test_blank_lines_equal_the_library():
 def test_any_line_feeds_equal_the_library(text):
     library = packed.encoder(FILE).library
     assert np.frombuffer(packed.encoder(FILE).encode(["x " + text])[0], "<u4").tolist() == library.encode("x " + text, add_special_tokens=False).ids
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "none")], "doc_id string, text string")
+    packed.write(docs, FILE, 2, str(tmp_path / "p"), 2)
+    rows = packed.digests(spark, str(tmp_path / "p")).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, "a", "b"] and rows[0].start == 0
+    assert [r.doc_id for r in packed.documents(spark, str(tmp_path / "p")).orderBy("start").collect()] == [None, "a", "b"]

@@ -7,7 +7,7 @@ Any document is found by its block's offsets; numpy unpacks a whole block, or an
 Texts are split among tasks by ranges of doc_id, encoded with the tokenizers library and packed where they are; only block
 headers move afterwards, to number the ids of the whole set.
 
-Cases: a null text counts as empty; an empty text has its end id only; rows without doc_id come first; rows with equal doc_id
+Cases: doc_id may be of any type that has an order; a null text counts as empty; an empty text has its end id only; rows without doc_id come first; rows with equal doc_id
 keep one result each, in the order of their texts; columns other than doc_id and text are not read; an empty table gives an empty data set.
 """
 
@@ -23,6 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 
 from trackloom.llm.shared import new_folder, slices, texts_as_strings
@@ -35,7 +36,9 @@ ONE = re.compile(f" ?[{_LETTER}]+")
 #: Between such letters, ASCII marks (the apostrophe is none) and line feeds: pre-tokens never cross these places either. Of white space before a letter
 #: the last line feed is a pre-token of its own, and what comes before it another.
 EDGE = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}\n])|(?<=[{_MARK}])(?=[{_LETTER}\n])|(?<=\n)(?=[{_LETTER}])|(?=\n[{_LETTER}])")
-BLOCK = "part int, block int, at long, bits int, n_ids long, doc_ids array<long>, starts array<long>, packed binary"
+BLOCK = "part int, block int, at long, bits int, n_ids long, doc_ids array<{kind}>, starts array<long>, packed binary"
+#: Bytes of the tables, as Spark estimates them, for each writing task.
+PART = 128_000_000
 
 
 def width(vocabulary: int) -> int:
@@ -147,10 +150,17 @@ def encoder(tokenizer_file: str) -> Encoder:
 
 
 def write(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, partitions: int | None = None, block_docs: int = 256, block_bytes: int = 2_000_000) -> None:
-    """Write docs (doc_id, text) as a data set of packed blocks to folder. A block holds so many documents or bytes of text (or one document)."""
+    """Write docs (doc_id, text) as a data set of packed blocks to folder. A block holds so many documents or bytes of text (or one document).
+
+    partitions: writing tasks; if not given, those of a shuffle, or more if the tables are large.
+    """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART if size < 1 << 60 else 0)  # Spark says more where it knows nothing
+    schema = pa.schema([pa.field("doc_ids", pa.list_(to_arrow_type(kind))) if f.name == "doc_ids" else f for f in SCHEMA])
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -169,10 +179,10 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str, partit
                 lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
                 starts = np.concatenate([[0], np.cumsum(lengths)])
                 ids = np.frombuffer(b"".join(coded), "<u4")
-                yield pa.RecordBatch.from_pylist([{"part": part, "block": number, "at": at, "bits": bits, "n_ids": len(ids), "doc_ids": one.column(0).to_pylist(), "starts": starts.tolist(), "packed": pack(ids, bits)}], SCHEMA)
+                yield pa.RecordBatch.from_pylist([{"part": part, "block": number, "at": at, "bits": bits, "n_ids": len(ids), "doc_ids": one.column(0).to_pylist(), "starts": starts.tolist(), "packed": pack(ids, bits)}], schema)
                 number, at = number + 1, at + len(ids)
 
-    rows.mapInArrow(blocks, BLOCK).write.parquet(folder)
+    rows.mapInArrow(blocks, BLOCK.format(kind=kind.simpleString())).write.parquet(folder)
 
 
 SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("at", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("packed", pa.binary())])
@@ -183,7 +193,7 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
 
     The writer has numbered the ids within its part; only the totals of the parts (one row for each writing task) are summed here.
     """
-    stored = spark.read.schema(BLOCK).parquet(folder)
+    stored = spark.read.parquet(folder)
     totals = stored.groupBy("part").agg(F.sum("n_ids").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     # one row for each task that wrote: no more than the partitions given to write()
@@ -198,9 +208,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
             for r in batch.to_pylist():
                 ids = unpack(r["packed"], r["bits"], 0, r["n_ids"])
                 cuts = [ids[a:b].astype(np.int64).tolist() for a, b in zip(r["starts"], r["starts"][1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array([r["first"] + a for a in r["starts"][:-1]], pa.int64()), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array([r["first"] + a for a in r["starts"][:-1]], pa.int64()), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    return blocks(spark, folder).select("bits", "n_ids", "first", "doc_ids", "starts", "packed").mapInArrow(run, "doc_id long, start long, ids array<long>")
+    stored = blocks(spark, folder)
+    return stored.select("bits", "n_ids", "first", "doc_ids", "starts", "packed").mapInArrow(run, f"doc_id {stored.schema['doc_ids'].dataType.elementType.simpleString()}, start long, ids array<long>")
 
 
 def lookup(spark: SparkSession, folder: str, start: int, stop: int) -> np.ndarray:
@@ -217,9 +228,10 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
             for r in batch.to_pylist():
                 ids, starts = unpack(r["packed"], r["bits"], 0, r["n_ids"]), r["starts"]
                 pairs = list(zip(starts, starts[1:], strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array([r["first"] + a for a, _ in pairs], pa.int64()), pa.array([b - a for a, b in pairs], pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in pairs], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array([r["first"] + a for a, _ in pairs], pa.int64()), pa.array([b - a for a, b in pairs], pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in pairs], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks(spark, folder).select("bits", "n_ids", "first", "doc_ids", "starts", "packed").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    stored = blocks(spark, folder)
+    return stored.select("bits", "n_ids", "first", "doc_ids", "starts", "packed").mapInArrow(run, f"doc_id {stored.schema['doc_ids'].dataType.elementType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def written_digests(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
