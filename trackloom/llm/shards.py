@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import kept
+from trackloom.llm.shared import kept, unused
 
 #: Bits of the hash (15 hex digits of md5).
 BITS = 60
@@ -68,12 +68,13 @@ def write(docs: DataFrame, folder: str, limit: int) -> None:
     """docs as Parquet, a folder for each shard. Rows without doc_id have no shard that they could be joined to and are refused."""
     if not docs.where(F.col("doc_id").isNull()).isEmpty():
         raise ValueError("rows without doc_id")
-    shard = assign(docs, limit).select(F.col("doc_id").alias("__doc"), F.concat(F.lit("s"), "shard").alias("shard")).dropDuplicates(["__doc"])
-    docs.join(shard, F.col("doc_id") == F.col("__doc")).drop("__doc").repartition("shard").write.partitionBy("shard").parquet(folder)
+    doc, name = unused(docs, "shard_doc"), unused(docs, "shard")
+    shard = assign(docs, limit).select(F.col("doc_id").alias(doc), F.concat(F.lit("s"), "shard").alias(name)).dropDuplicates([doc])
+    docs.join(shard, F.col("doc_id") == F.col(doc)).drop(doc).repartition(name).write.partitionBy(name).parquet(folder)
 
 
-#: Production: bytes of text in a shard.
-LIMIT = 64 * 1024 * 1024
+#: Bytes of text in a shard: small enough that the given tables need splits.
+LIMIT = 1024 * 1024
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) AS h, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents),
