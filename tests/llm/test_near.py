@@ -163,3 +163,37 @@ def test_one_of_similar(spark, share):
     for r in marked.collect():
         groups.setdefault(root.get(r.set, r.set), set()).add(r.doc_id)
     assert {frozenset(x) for x in groups.values()} == {frozenset(i for i in ids if least[i] == k) for k in set(least.values())}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "y")], "doc_id long, text string, gone_id string, `__doc` string")
+    for left in (near.one_of_each(docs), near.one_of_similar(docs)):
+        assert [tuple(r) for r in left.collect()] == [(1, "a b c d e f", "x", "y")] and left.columns == docs.columns
+
+
+def test_sketches():
+    """Estimates lie within four standard errors of the similarity, small sets included."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 300, 20_000):
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            common = int(round(2 * n * share / (1 + share)))
+            values = rng.integers(-(2**63), 2**63 - 1, 2 * n - common, np.int64)
+            a, b = np.sort(values[:n]), np.sort(values[n - common :])
+            x, y = (np.frombuffer(near.sketch(v), np.uint8)[None] for v in (a, b))
+            places = ((x > 0) | (y > 0)).sum()
+            true = common / (2 * n - common)
+            assert abs(near.alike(x, y)[0, 0] - true) < 4.5 * (max(true * (1 - true), 0.004) / places) ** 0.5 + 0.01
+
+
+def test_shard_in_blocks(spark):
+    """A chain of alike sets in one shard, cut into small blocks, stays one component; sets that share a shingle alone do not join it."""
+    head = [f"h{i}" for i in range(8)]
+    body = [f"b{i}" for i in range(160)]
+    rows = [(i, " ".join(head + body[: 80 + 2 * i])) for i in range(40)] + [(100 + i, " ".join(head + [f"o{i}_{k}" for k in range(20)])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked, edges = near.similar(docs, share=1, common=2, block=7)
+    root = {r.v: r.root for r in near.components(edges).collect()}
+    groups = {}
+    for r in marked.collect():
+        groups.setdefault(root.get(r.set, r.set), set()).add(r.doc_id)
+    assert sorted(map(len, groups.values())) == [1] * 40 + [40]
