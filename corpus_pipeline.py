@@ -11,32 +11,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import credentials, near, pieces, preference, templates
-from trackloom.llm.shared import new_folder, table
+from trackloom.llm.shared import new_folder, remove, table
+
+#: Bytes of the stretches that a worker of the last stage keeps: less than by default, beside what the stages before have left in memory.
+REMEMBER = 48_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; all of them where labels hold no two classes. Null texts are judged as empty ones."""
     return preference.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """The document of least doc_id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    Texts without words are alike; rows without doc_id stay, and rows of one doc_id stay or go together.
+    """
     return near.one_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark, re-parameterised ones included; items of one to four words drop nothing."""
     return templates.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by the kind's name."""
+    """All documents, their secrets replaced by the kind's name and n_chars made to agree; null texts stay null."""
     return credentials.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (with the end id) and decoded (what the ids give) of each document."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """doc_id, ids (with the end id) and decoded (what the ids give) of each document; a null text has the end id only."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), remember=REMEMBER)
 
 
 STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
@@ -46,9 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         folder = new_folder(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)  # the next stage's documents are written
+        before = folder
     return docs
