@@ -319,18 +319,22 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of the sketches in the rows of a to all those of b: of the places that either holds, how many are equal (less the equal bytes of chance)."""
-    same, both = np.zeros((len(a), len(b)), np.int16), (a > 0).astype(np.float32) @ (b > 0).astype(np.float32).T
+    equal, either = np.zeros((len(a), len(b)), np.int16), np.zeros((len(a), len(b)), np.int16)
     for place in range(PLACES):
-        x = a[:, place, None]
-        same += (x == b[None, :, place]) & (x > 0)
-    either = (a > 0).sum(axis=1)[:, None] + (b > 0).sum(axis=1)[None, :] - both
-    return np.where(either > 0, (same / np.maximum(either, 1) - 1 / 255) * 255 / 254, 1.0).astype(np.float32)
+        equal += a[:, place, None] == b[None, :, place]
+    held = [np.packbits(x > 0, axis=1).view(np.uint64) for x in (a, b)]
+    for word in range(PLACES // 64):
+        either += np.bitwise_count(held[0][:, word, None] | held[1][None, :, word])
+    equal -= PLACES - either  # places that are empty in both
+    return np.where(either > 0, (equal / np.maximum(either, 1).astype(np.float32) - np.float32(1 / 255)) * np.float32(255 / 254), np.float32(1.0))
 
 
 def forest(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row but the first of its kind the row most like it among those with more rows alike (at least `least`), and how alike: at most one link for each row."""
     n = len(sketches)
-    found = np.concatenate([alike(sketches[low : low + 256], sketches) for low in range(0, n, 256)])
+    found = np.empty((n, n), np.float32)
+    for low in range(0, n, 128):
+        found[low : low + 128] = alike(sketches[low : low + 128], sketches)
     np.fill_diagonal(found, -1)
     order = np.argsort(-(found >= least).sum(axis=1), kind="stable")
     place = np.empty(n, np.int64)
@@ -393,7 +397,7 @@ def fingerprint_of(shingles: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, common: int = 3, unsure: tuple[float, float] = (0.1, 0.12), block: int = 2048) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, common: int = 3, unsure: tuple[float, float] = (0.1, 0.12), block: int = 1536) -> tuple[DataFrame, DataFrame]:
     """doc_id and set (set_key of the shingles) of each row, and edges a, b between sets whose Jaccard similarity is least hundredths or more.
 
     First the sets whose fingerprints are linked through the vantage-point trees; then those that share a shingle of their prefixes, which all sets so similar do.
