@@ -14,7 +14,7 @@ from trackloom.llm import credentials, near, pieces, preference, templates
 from trackloom.llm.shared import new_folder, remove, table
 
 #: Bytes of the stretches that a worker of the last stage keeps: less than by default, beside what the stages before have left in memory.
-REMEMBER = 48_000_000
+REMEMBER = 16_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
