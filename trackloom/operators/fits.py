@@ -20,16 +20,16 @@ DEGREES = {"linear": 1, "quadratic": 2, "poly3": 3, "poly4": 4}
 
 
 def power_sums(long: DataFrame, degree: int = 4, key: Sequence[str] = KEY) -> DataFrame:
-    """For each (track, feature): n, sums of x^i and x^i y, with x the time since its first value, scaled to its span."""
+    """For each (track, feature): n, mean m, sums of x^i and x^i y, with x the time since its first value, scaled to its span, and y the value less its mean."""
     known = long.where(F.col("value").isNotNull())
     w = Window.partitionBy(*key, "feature")
     first, last = F.min(TIME).over(w), F.max(TIME).over(w)
     xs = known.withColumns({"__x0": (F.col(TIME) - first).cast("double"), "__span": F.greatest(last - first, F.lit(1)).cast("double")})
-    xs = xs.withColumns({"__x": F.col("__x0") / F.col("__span"), "__l": F.log1p("__x0")})
-    y, x, l = F.col("value"), F.col("__x"), F.col("__l")  # noqa: E741
+    xs = xs.withColumns({"__x": F.col("__x0") / F.col("__span"), "__l": F.log1p("__x0"), "__m": F.avg("value").over(w)})
+    y, x, l = F.col("value") - F.col("__m"), F.col("__x"), F.col("__l")  # noqa: E741
     sums = [F.sum(F.pow(x, i)).alias(f"s{i}") for i in range(1, 2 * degree + 1)] + [F.sum(F.pow(x, i) * y).alias(f"t{i}") for i in range(degree + 1)]
     logs = [F.sum(l).alias("l1"), F.sum(l * l).alias("l2"), F.sum(l * y).alias("ly")]
-    return xs.groupBy(*key, "feature").agg(F.count("*").alias("n"), F.max("__span").alias("span"), *sums, *logs, F.sum(y * y).alias("yy"), (F.max("value") - F.min("value")).alias("range"))
+    return xs.groupBy(*key, "feature").agg(F.count("*").alias("n"), F.max("__span").alias("span"), F.max("__m").alias("m"), *sums, *logs, F.sum(y * y).alias("yy"), (F.max("value") - F.min("value")).alias("range"))
 
 
 def fit_linear_family(long: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -44,7 +44,7 @@ def fit_linear_family(long: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                n, total = r["n"], r["yy"] - r["t0"] ** 2 / r["n"]
+                n, total = r["n"], r["yy"]
                 s = [n, *[r[f"s{i}"] for i in range(1, 9)]]
                 t = [r[f"t{i}"] for i in range(5)]
                 fits = {}
@@ -52,11 +52,11 @@ def fit_linear_family(long: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
                     if n > d + 1:
                         a = np.array([[s[i + j] for j in range(d + 1)] for i in range(d + 1)])
                         w, *_ = np.linalg.lstsq(a, np.array(t[: d + 1]), rcond=None)
-                        fits[model] = (d + 1, [float(c) / r["span"] ** i for i, c in enumerate(w)], r["yy"] - float(w @ t[: d + 1]))
+                        fits[model] = (d + 1, [float(c) / r["span"] ** i + (r["m"] if i == 0 else 0.0) for i, c in enumerate(w)], r["yy"] - float(w @ t[: d + 1]))
                 if n > 2:
                     a, b = np.array([[r["l2"], r["l1"]], [r["l1"], n]]), np.array([r["ly"], t[0]])
                     w, *_ = np.linalg.lstsq(a, b, rcond=None)
-                    fits["log"] = (2, w.tolist(), r["yy"] - float(w @ b))
+                    fits["log"] = (2, [float(w[0]), float(w[1]) + r["m"]], r["yy"] - float(w @ b))
                 for model, (k, params, rss) in fits.items():
                     rss = max(0.0, rss)
                     rows.append({**{c: r[c] for c in names}, "model": model, "n": n, "k": k, "r2": 1 - rss / total if total > 1e-12 else None, "rmse": (rss / n) ** 0.5, "rss": rss, "range": r["range"], "params": params})
@@ -84,15 +84,32 @@ def _exp(x: np.ndarray) -> np.ndarray:
 
 
 _BIG = 1e6
+
+
+def _at_most(x: np.ndarray, b: float) -> np.ndarray:
+    """x to the power b, also where x is 0."""
+    return np.maximum(x, 1e-9) ** np.clip(b, -8, 8)
+
+
+def _line_of_logs(t: np.ndarray, y: np.ndarray) -> list[float]:
+    """Start of a * exp(b * t) by the line through the logarithms of the positive values."""
+    up = y > 0
+    if up.sum() < 2:
+        return [float(y.mean()) or 1.0, 0.01]
+    slope, level = np.polyfit(t[up], np.log(y[up]), 1)
+    return [float(np.exp(np.clip(level, -30, 30))), float(np.clip(slope, -1, 1))]
+
+
+#: Fixed: the forms of the curves, with parameters in their order; starts and bounds are ours.
 MODELS = {
-    "exponential": Model(lambda t, a, b, c: a * _exp(b * t) + c, lambda t, y: [np.ptp(y) or 1, 0.01, y.min()], (-_BIG, -1, -_BIG), (_BIG, 1, _BIG)),
-    "logarithmic": Model(lambda t, a, b: a * np.log1p(t) + b, lambda t, y: [1, y.mean()], (-_BIG, -_BIG), (_BIG, _BIG)),
-    "logistic": Model(lambda t, top, k, t0: top / (1 + _exp(-k * (t - t0))), lambda t, y: [y.max(), 0.1, t.mean()], (-_BIG, -10, -1e4), (_BIG, 10, 1e4)),
-    "power": Model(lambda t, a, b: a * (t + 1) ** np.clip(b, -8, 8), lambda t, y: [y[0] or 1, 0.1], (-_BIG, -5), (_BIG, 5)),
-    "inverse": Model(lambda t, a, b: a / (t + 1) + b, lambda t, y: [y[0] - y[-1], y[-1]], (-_BIG, -_BIG), (_BIG, _BIG)),
-    "sigmoid": Model(lambda t, a, k, t0, c: a / (1 + _exp(-k * (t - t0))) + c, lambda t, y: [np.ptp(y) or 1, 0.1, t.mean(), y.min()], (-_BIG, -10, -1e4, -_BIG), (_BIG, 10, 1e4, _BIG)),
+    "exponential": Model(lambda t, a, b: a * _exp(b * t), _line_of_logs, (-_BIG, -1), (_BIG, 1)),
+    "logarithmic": Model(lambda t, a, b: a * np.log(b * t + 1), lambda t, y: [np.ptp(y) or 1, 0.1], (-_BIG, 1e-6), (_BIG, 1e3)),
+    "logistic": Model(lambda t, a, b, c: c / (1 + a * _exp(-b * t)), lambda t, y: [max(1e-3, y.max() / (y[0] or 1) - 1), 0.1, y.max() or 1], (1e-9, -10, -_BIG), (1e9, 10, _BIG)),
+    "power": Model(lambda t, a, b: a * _at_most(t, b), lambda t, y: [y.mean() or 1, 0.5], (-_BIG, -5), (_BIG, 5)),
+    "inverse": Model(lambda t, a, b: a / (t + b), lambda t, y: [(y[0] or 1) * max(1.0, np.ptp(t) / 4), max(1.0, np.ptp(t) / 4)], (-_BIG, 1e-3), (_BIG, _BIG)),
+    "sigmoid": Model(lambda t, a, b, c, d: d + (a - d) / (1 + _at_most(t / c, b)), lambda t, y: [y[0], 2, max(1.0, t.mean()), y[-1]], (-_BIG, 0.1, 1e-3, -_BIG), (_BIG, 8, 1e4, _BIG)),
     "gompertz": Model(lambda t, a, b, c: a * _exp(-b * _exp(-c * t)), lambda t, y: [y.max() or 1, 1, 0.1], (-_BIG, -50, -5), (_BIG, 50, 5)),
-    "weibull": Model(lambda t, a, scale, k, c: a * (1 - _exp(-(((t + 1e-9) / scale) ** np.clip(k, 0.05, 10)))) + c, lambda t, y: [np.ptp(y) or 1, max(1.0, t.mean()), 1, y.min()], (-_BIG, 1e-3, 0.1, -_BIG), (_BIG, 1e4, 10, _BIG)),
+    "weibull": Model(lambda t, a, b, c: a - b * _exp(-c * t**2), lambda t, y: [y[-1], y[-1] - y[0], 1 / max(1.0, t.mean()) ** 2], (-_BIG, -_BIG, 0), (_BIG, _BIG, 10)),
     "plateau": Model(lambda t, a, k, c: a * (1 - _exp(-k * t)) + c, lambda t, y: [np.ptp(y) or 1, 0.1, y[0]], (-_BIG, 0, -_BIG), (_BIG, 10, _BIG)),
 }
 
