@@ -5,6 +5,7 @@ Joins by distance are equi-joins on grid cells: an object is copied to the cells
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +20,8 @@ def _cell(c: str, size: float) -> Column:
 
 def within(left: DataFrame, right: DataFrame, by: Sequence[str], axes: Sequence[str], reach: float) -> DataFrame:
     """Pairs of rows with equal `by` whose positions differ by at most reach on each axis. Columns of right have the prefix r_; axes must exist in both."""
-    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    a = left
-    for i, c in enumerate(axes):
-        a = a.withColumn(f"__d{i}", F.explode(around)).withColumn(f"__c{i}", _cell(c, reach) + F.col(f"__d{i}")).drop(f"__d{i}")
+    around = [F.struct(*[(_cell(c, reach) + d).alias(f"__c{i}") for i, (c, d) in enumerate(zip(axes, move, strict=True))]) for move in itertools.product((-1, 0, 1), repeat=len(axes))]
+    a = left.select("*", F.explode(F.array(*around)).alias("__c")).select(*left.columns, "__c.*")
     b = right.select([F.col(c).alias(f"r_{c}") for c in right.columns] + [_cell(c, reach).alias(f"r___c{i}") for i, c in enumerate(axes)])
     on = [F.col(c) == F.col(f"r_{c}") for c in by] + [F.col(f"__c{i}") == F.col(f"r___c{i}") for i in range(len(axes))]
     near = [F.abs(F.col(c) - F.col(f"r_{c}")) <= reach for c in axes]
@@ -46,7 +45,7 @@ def min_distance(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"), having
 
     Only rows with a value of `having` count, on either side (a row of a track's first frame has no speed); None: all rows.
 
-    The reach doubles for rows that have found none, so few rows ever meet a whole frame: beyond the frame's extent nobody is left.
+    The reach grows fourfold for rows that have found none, so few rows ever meet a whole frame: beyond the frame's extent nobody is left.
     """
     by = [key[0], TIME]
     spots = (df.where(F.col(having).isNotNull()) if having else df).select(*key, TIME, *axes)
@@ -113,10 +112,14 @@ def greedy_match(a: DataFrame, b: DataFrame, reach: float, by: Sequence[str], ax
 
 
 def _checkpoints(df: DataFrame) -> None:
-    """The cluster's folder for checkpoints, or one of our own where it names none."""
+    """The cluster's folder for checkpoints; only on one machine, as in tests, one of our own where none is named."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
 
 
 def assign_tracks(a: DataFrame, b: DataFrame, reach: float, by: Sequence[str] = (), track: str = "parent", axes: Sequence[str] = ("x_pos", "y_pos")) -> DataFrame:
@@ -237,11 +240,15 @@ def quantile_layers(df: DataFrame, column: str, quantiles: Sequence[float], by:
     return joined.withColumn("layer", F.when(F.col(column).isNotNull(), layer)).drop("__e")
 
 
+#: A row for each of so many groups at most is broadcast.
+MOST_GROUPS = 100_000
+
+
 def distance_layers(df: DataFrame, feature: str, width: float = 30.0, n: int = 5, axis: str = "y_pos", quirk: bool = False, by: str = "experiment") -> DataFrame:
     """Mean of a feature by time and layer of the distance to the experiment's mid-line; the last layer is open. quirk: half the height for the mid-line, as in the original."""
-    frame = Window.partitionBy(by)
-    low, high = F.min(axis).over(frame), F.max(axis).over(frame)
-    middle = df.withColumn("__m", (high - low) / 2 if quirk else (high + low) / 2)
+    low, high = F.min(axis), F.max(axis)
+    lines = df.groupBy(by).agg(((high - low) / 2 if quirk else (high + low) / 2).alias("__m"))
+    middle = df.join(F.broadcast(lines) if lines.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else lines, by)
     layer = F.least(F.floor(F.abs(F.col(axis) - F.col("__m")) / width), F.lit(n - 1)).cast("int")
     return middle.groupBy(by, TIME, layer.alias("layer")).agg(F.avg(feature).alias("mean"), F.count(feature).alias("n"))
 
