@@ -100,7 +100,7 @@ def test_nonlinear(spark):
     y = 10 / (1 + np.exp(-0.3 * (t - 25))) + 2
     long = spark.createDataFrame([("e", 1, "f", int(k), float(x)) for k, x in zip(t, y, strict=True)], "experiment string, parent int, feature string, time_index int, value double")
     made = {r.model: r for r in fits.fit_nonlinear_family(long).collect()}
-    assert made["sigmoid"].r2 > 0.999 and made["sigmoid"].params[1] == pytest.approx(0.3, abs=0.02)
+    assert made["sigmoid"].r2 > 0.999 and made["sigmoid"].params[2] == pytest.approx(25, abs=0.2)  # the form has its middle as third parameter
 
 
 def test_imputing_stays_inside(spark):
@@ -146,3 +146,52 @@ def test_files(spark, tmp_path):
     io.write_tracks(both.withColumn("Experiment", F.lit("e")), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert io.file_paths(spark, str(tmp_path), "*.csv").count() == 2
+
+
+@pytest.mark.parametrize(("name", "params"), [
+    ("exponential", [3.0, -0.05]), ("logarithmic", [4.0, 0.5]), ("logistic", [9.0, 0.3, 20.0]), ("power", [2.0, 0.7]), ("inverse", [50.0, 6.0]), ("sigmoid", [1.0, 3.0, 12.0, 9.0]),
+    ("gompertz", [12.0, 3.0, 0.2]), ("weibull", [8.0, 5.0, 0.01]), ("plateau", [5.0, 0.2, 1.0]),
+])
+def test_curves_come_back(name, params):
+    import numpy as np
+
+    t = np.arange(40.0)
+    got, rss = fits.least_squares(fits.MODELS[name], t, fits.MODELS[name].curve(t, *params), 300)
+    assert got == pytest.approx(params, rel=1e-3) and rss < 1e-6
+
+
+def test_residuals_of_large_means(spark):
+    """A small wave around a large mean: residuals as numpy has them."""
+    import numpy as np
+
+    t = np.arange(60)
+    y = 1e7 + np.sin(t) * 1e-3 + 1e-4 * t
+    long = spark.createDataFrame([("e", 1, int(i), "f", float(v)) for i, v in zip(t, y)], "experiment string, parent long, time_index int, feature string, value double")
+    rows = {r.model: r for r in fits.fit_linear_family(long).collect()}
+    for model, degree in fits.DEGREES.items():
+        plain = np.polyval(np.polyfit(t / 59, y - y.mean(), degree), t / 59) + y.mean()
+        assert rows[model].rss == pytest.approx(((y - plain) ** 2).sum(), rel=1e-4)
+
+
+def test_direct_forecasts_do_not_look_ahead(spark):
+    """Values from an origin on do not change its forecasts; a line is continued; the registry takes new forecasters."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(days=i)
+    rows = [("a", day(i), 2.0 * i + (5.0 if i % 3 == 0 else 0.0)) for i in range(60)] + [("b", day(i), 3.0 + 0.5 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "unique_id string, ds date, y double")
+    later = df.withColumn("y", F.when(F.col("ds") >= day(40), -1000.0).otherwise(F.col("y")))
+    pick = lambda x, m: {(r.unique_id, r.origin, r.step): r.forecast for r in forecast.FORECASTERS[m](x, forecast.backtest_windows(x, 3, 30, 5)).collect()}
+    for m in ("dlinear", "ridge"):
+        one, two = pick(df, m), pick(later, m)
+        early = [k for k in one if k[1] <= 40]
+        assert len(early) == 18 and all(one[k] == pytest.approx(two[k], rel=1e-6) for k in early)
+        assert all(one["b", o, s] == pytest.approx(3.0 + 0.5 * (o + s - 1), abs=0.6) for _, o, s in one)
+    forecast.register("nought", lambda x, w: w.select("unique_id", "origin", "step", "ds", F.col("y").alias("actual"), F.lit("x").alias("model"), F.lit(0.0).alias("forecast")))
+    metrics, best = forecast.evaluate(df, forecast.Spec(horizon=3, start=30, stride=10, models=("naive", "ridge", "nought")))
+    assert {r.model for r in metrics.select("model").distinct().collect()} == {"naive", "ridge", "nought"}
+    assert {r.unique_id: r.model for r in best.collect()}["b"] == "ridge"
+    with pytest.raises(KeyError):
+        forecast.forecast(df, forecast.backtest_windows(df, 3, 30, 10), ["unknown"])

@@ -28,13 +28,13 @@ def pca_loadings(df: DataFrame) -> DataFrame:
 @query("embeddings")
 def kmeans(df: DataFrame) -> DataFrame:
     scores, *_ = k.pca(df.select("vec_id", "embedding"), ["embedding"], 3)
-    return k.kmeans(scores.drop("embedding"), ["pc1", "pc2", "pc3"], 4, restarts=2)[0]
+    return k.kmeans(scores.drop("embedding"), ["pc1", "pc2", "pc3"], 4, restarts=10)[0]
 
 
 @query("embeddings")
 def silhouette_sweep(df: DataFrame) -> DataFrame:
     scores, *_ = k.pca(df.select("vec_id", "embedding"), ["embedding"], 3)
-    return k.silhouette_sweep(scores, ["pc1", "pc2", "pc3"], range(2, 6))
+    return k.silhouette_sweep(scores, ["pc1", "pc2", "pc3"], range(2, 11))
 
 
 @query("embeddings")

@@ -55,14 +55,21 @@ def model_shares(long: DataFrame) -> DataFrame:
     return j.share_of(f.aic_select(f.fit_linear_family(long)), ["experiment", "feature"], "model")
 
 
+def _imputed(df: DataFrame, long: DataFrame) -> DataFrame:
+    """Both features, one below the other."""
+    fits = f.fit_linear_family(long)
+    each = [f.impute(df, fits, c).withColumn("feature", F.lit(c)).withColumnRenamed(c, "value") for c in ("area", "intensity")]
+    return each[0].unionByName(each[1])
+
+
 @query("v_tracks", "v_long")
 def impute(df: DataFrame, long: DataFrame) -> DataFrame:
-    return f.impute(df, f.fit_linear_family(long.where("feature = 'area'")), "area")
+    return _imputed(df, long)
 
 
 @query("v_tracks", "v_long")
 def impute_log(df: DataFrame, long: DataFrame) -> DataFrame:
-    return f.impute_log(f.impute(df, f.fit_linear_family(long.where("feature = 'area'")), "area"))
+    return f.impute_log(_imputed(df, long), [*K, "feature"])
 
 
 @query("v_long")
@@ -123,10 +130,10 @@ def baseline_forecasts(df: DataFrame) -> DataFrame:
     return fc.baseline_forecasts(*_windows(df))
 
 
-@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS BIGINT) AS origin, n, mse / 9973 AS mse, rmse, mae, smape, mape FROM s WHERE mape < 1000", doubles="mse rmse mae smape mape", digits=9)
+@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS BIGINT) AS origin, n, mse, rmse, mae, smape, round(mape, 1) AS mape FROM s", doubles="mse rmse mae smape")
 def forecast_metrics(df: DataFrame) -> DataFrame:
-    # days at zero divide by the metric's epsilon; a prime keeps the exact squares off rounding's ties
-    return _metrics(df).where("mape < 1000").withColumn("mse", F.col("mse") / 9973)
+    # a day at zero divides by the metric's epsilon, so mape is up to 1e11 and has few digits behind the point
+    return _metrics(df).withColumn("mape", F.round("mape", 1))
 
 
 @query("v_series")
@@ -147,12 +154,17 @@ def top_models(df: DataFrame) -> DataFrame:
     return fc.wins(fc.best_model(means, metric="mae", rank=True))
 
 
-@query("v_series")
+@query("v_series", sql=f"""
+WITH {METRICS}, a AS (SELECT unique_id, model, avg(mae) AS score FROM s GROUP BY ALL),
+p AS (SELECT b.unique_id, b.model AS baseline, round((b.score - c.score) / nullif(b.score, 0) * 100, 2) AS pct FROM a b LEFT JOIN a c ON c.unique_id = b.unique_id AND c.model = 'seasonal_window_average' WHERE b.model IN ('naive', 'window_average'))
+SELECT baseline, avg(pct) AS mean_pct_lower, count(pct) AS n_series FROM p GROUP BY baseline""", doubles="mean_pct_lower", digits=3)
 def percent_lower(df: DataFrame) -> DataFrame:
     return fc.percent_lower(_metrics(df), "seasonal_window_average", ["naive", "window_average"])
 
 
-@query("v_series")
+@query("v_series", sql=f"""
+WITH {METRICS}, a AS (SELECT unique_id, model, avg(mae) AS metric FROM s GROUP BY ALL), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY metric, model) = 1)
+SELECT m.unique_id, model, CAST(origin AS BIGINT) AS origin, step, ds, actual, forecast, metric FROM m JOIN b USING (unique_id, model)""", doubles="actual forecast metric", digits=4)
 def forecast_best_join(df: DataFrame) -> DataFrame:
     forecasts = fc.baseline_forecasts(*_windows(df))
     return j.forecast_best_join(fc.forecast_metrics(forecasts, horizon=4).select("unique_id", "model", F.col("mae").alias("metric")), forecasts)

@@ -31,21 +31,26 @@ def collectivity(df: DataFrame) -> DataFrame:
     return s.collectivity(t.backward_kinematics(df))
 
 
-@query("v_tracks")
+@query("v_tracks", sql=f"""
+WITH {KIN}, m AS (SELECT * FROM k3 WHERE vx IS NOT NULL AND vy IS NOT NULL),
+p AS (SELECT a.experiment, a.parent, a.time_index, (a.vx * b.vx + a.vy * b.vy) / (sqrt(a.vx * a.vx + a.vy * a.vy) * sqrt(b.vx * b.vx + b.vy * b.vy)) AS c FROM m a JOIN m b
+  ON a.experiment = b.experiment AND a.time_index = b.time_index AND a.parent <> b.parent AND abs(a.x_pos - b.x_pos) <= 200 AND abs(a.y_pos - b.y_pos) <= 200
+  WHERE sqrt(a.vx * a.vx + a.vy * a.vy) * sqrt(b.vx * b.vx + b.vy * b.vy) > 0)
+SELECT m.experiment, m.parent, m.time_index, coalesce(avg(c), 0) AS collectivity, count(c) AS n_neighbours FROM m LEFT JOIN p USING (experiment, parent, time_index) GROUP BY ALL""", doubles="collectivity")
 def collectivity_cube(df: DataFrame) -> DataFrame:
     return s.collectivity(t.backward_kinematics(df), shape="cube")
 
 
+#: Pairs of rows of a track up to half its span (rounded up) apart.
 _PAIRS = f"""
-u AS (SELECT CAST(unnest(range(1, 11)) AS INT) AS tau),
-c AS (SELECT a.experiment, a.parent, tau, avg(power(a.x_pos - b.x_pos, 2) + power(a.y_pos - b.y_pos, 2)) AS msd, count(*) AS n_pairs FROM v_tracks a CROSS JOIN u
-  JOIN v_tracks b ON a.experiment = b.experiment AND a.parent = b.parent AND b.time_index = a.time_index + tau GROUP BY ALL),
-sp AS (SELECT {K}, max(time_index) - min(time_index) AS span, count(DISTINCT time_index) AS n FROM v_tracks GROUP BY ALL)"""
+sp AS (SELECT {K}, max(time_index) - min(time_index) AS span, count(DISTINCT time_index) AS n FROM v_tracks GROUP BY ALL),
+c AS (SELECT a.experiment, a.parent, b.time_index - a.time_index AS tau, avg(power(a.x_pos - b.x_pos, 2) + power(a.y_pos - b.y_pos, 2)) AS msd, count(*) AS n_pairs
+  FROM v_tracks a JOIN sp USING (experiment, parent) JOIN v_tracks b ON a.experiment = b.experiment AND a.parent = b.parent AND b.time_index > a.time_index AND b.time_index - a.time_index <= ceil(span / 2.0) GROUP BY ALL)"""
 
 
 @query("v_tracks", sql=f"WITH {_PAIRS} SELECT experiment, parent, tau, msd, n_pairs FROM c", doubles="msd", digits=3)
 def msd_pairs(df: DataFrame) -> DataFrame:
-    return s.msd_pairs(df, 10)
+    return s.msd_pairs(df, None)
 
 
 @query("v_tracks", sql=f"""
@@ -53,7 +58,7 @@ WITH {_PAIRS}, d AS (SELECT c.* FROM c JOIN sp USING (experiment, parent) WHERE
 g AS (SELECT {K} FROM d GROUP BY ALL HAVING count(*) >= 3 AND min(tau) = 1)
 SELECT experiment, tau, avg(msd) AS msd, count(*) AS n_tracks FROM d SEMI JOIN g USING (experiment, parent) GROUP BY experiment, tau""", doubles="msd", digits=3)
 def msd_by_well(df: DataFrame) -> DataFrame:
-    return s.msd_by_well(df, 10)
+    return s.msd_by_well(df, None)
 
 
 @query("v_tracks", sql=f"""
@@ -61,7 +66,7 @@ WITH {_PAIRS}, d AS (SELECT c.* FROM c JOIN sp USING (experiment, parent) WHERE
 g AS (SELECT {K}, count(*) AS n, min(tau) AS least, regr_r2(msd, tau) AS linearity, sum(tau * msd) / (4 * sum(tau * tau)) AS brownian_d FROM d GROUP BY ALL)
 SELECT experiment, parent, linearity, brownian_d FROM g WHERE n >= 3 AND least = 1""", doubles="linearity brownian_d", digits=4)
 def msd_models_brownian(df: DataFrame) -> DataFrame:
-    return s.msd_models(s.msd_by_track(df, 10)).select("experiment", "parent", "linearity", "brownian_d")
+    return s.msd_models(s.msd_by_track(df, None)).select("experiment", "parent", "linearity", "brownian_d")
 
 
 @query("v_tracks")
@@ -90,16 +95,16 @@ e AS (SELECT {K}, arg_min(y_pos, time_index) AS y0 FROM v_tracks GROUP BY ALL),
 z AS (SELECT {K}, CAST(least(floor(abs(y0 - (lo + hi) / 2) / ((hi - lo) / 6)), 2) AS INT) + 1 AS zone FROM e JOIN h USING (experiment))
 SELECT experiment, zone, tau, avg(msd) AS msd, count(*) AS n_tracks FROM d JOIN z USING (experiment, parent) GROUP BY experiment, zone, tau""", doubles="msd", digits=3)
 def msd_by_zone(df: DataFrame) -> DataFrame:
-    return s.msd_by_zone(df, 10)
+    return s.msd_by_zone(df, None)
 
 
 @query("v_tracks", "v_tracks_full", sql="""
-WITH o AS (SELECT experiment, time_index, l_partkey AS object, x_pos + 3 AS x_pos, y_pos - 2 AS y_pos FROM v_tracks WHERE time_index <= 12),
+WITH o AS (SELECT experiment, time_index, l_partkey AS object, x_pos + 3 AS x_pos, y_pos - 2 AS y_pos FROM v_tracks),
 p AS (SELECT o.experiment, o.time_index, o.object, b.parent, sqrt(power(o.x_pos - b.x_pos, 2) + power(o.y_pos - b.y_pos, 2)) AS distance, b.x_pos - o.x_pos AS offset_x_pos, b.y_pos - o.y_pos AS offset_y_pos
   FROM o JOIN v_tracks_full b USING (experiment, time_index) WHERE power(o.x_pos - b.x_pos, 2) + power(o.y_pos - b.y_pos, 2) <= 2500)
 SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY experiment, time_index, object ORDER BY distance, parent) = 1""", doubles="distance offset_x_pos offset_y_pos")
 def nearest_within(df: DataFrame, full: DataFrame) -> DataFrame:
-    objects = df.where("time_index <= 12").select("experiment", "time_index", F.col("l_partkey").alias("object"), (F.col("x_pos") + 3).alias("x_pos"), (F.col("y_pos") - 2).alias("y_pos"))
+    objects = df.select("experiment", "time_index", F.col("l_partkey").alias("object"), (F.col("x_pos") + 3).alias("x_pos"), (F.col("y_pos") - 2).alias("y_pos"))
     return s.nearest_within(objects, full.select("experiment", "time_index", "parent", "x_pos", "y_pos"), 50.0, ["experiment", "time_index"], "object", "parent")
 
 
@@ -132,13 +137,13 @@ def remap_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 @query("v_tracks", sql="""
-WITH a AS (SELECT experiment, time_index, parent, x_pos, y_pos FROM v_tracks WHERE time_index <= 10), b AS (SELECT experiment, time_index, parent, x_pos + 4 AS x_pos, y_pos - 1 AS y_pos FROM a)
+WITH a AS (SELECT experiment, time_index, parent, x_pos, y_pos FROM v_tracks), b AS (SELECT experiment, time_index, parent, x_pos + 4 AS x_pos, y_pos - 1 AS y_pos FROM a)
 SELECT CAST(round(b.x_pos - a.x_pos) AS BIGINT) AS shift_x_pos, CAST(round(b.y_pos - a.y_pos) AS BIGINT) AS shift_y_pos, count(*) AS votes FROM a JOIN b USING (experiment, time_index)
-WHERE abs(b.x_pos - a.x_pos) <= 10 AND abs(b.y_pos - a.y_pos) <= 10 GROUP BY 1, 2 HAVING count(*) > 20""")
+WHERE abs(b.x_pos - a.x_pos) <= 10 AND abs(b.y_pos - a.y_pos) <= 10 GROUP BY 1, 2""")
 def offset_vote(df: DataFrame) -> DataFrame:
-    a = df.where("time_index <= 10").select("experiment", "time_index", "parent", "x_pos", "y_pos")
+    a = df.select("experiment", "time_index", "parent", "x_pos", "y_pos")
     b = a.withColumns({"x_pos": F.col("x_pos") + 4, "y_pos": F.col("y_pos") - 1})
-    return s.offset_vote(a, b, ["experiment", "time_index"]).where("votes > 20")
+    return s.offset_vote(a, b, ["experiment", "time_index"])
 
 
 @query("v_tracks")
