@@ -373,6 +373,7 @@ def met(members: DataFrame, least: float) -> DataFrame:
                 yield links_of(shard[:cut], sets[:cut], sketches[:cut])
                 shard, sets, sketches = shard[cut:], sets[cut:], sketches[cut:]
         yield links_of(shard, sets, sketches)
+        pa.default_memory_pool().release_unused()
 
     return members.select("shard", "set", "sketch").repartition("shard").sortWithinPartitions("shard", "set").mapInArrow(run, "a long, b long, alike double")
 
@@ -385,6 +386,7 @@ def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
         seen: set[int] = set()
         for batch in slices(batches, 1_000_000):
             yield rows([batch.column(i) for i in range(len(names))], texts_as_bytes(batch), seen)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*names, "text").mapInArrow(run, schema)
 
@@ -449,7 +451,7 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
     first = kept(judged(same.unionByName(near).distinct()))
 
     sampled = _by_set(docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), "doc_id", tokens, "set long, token long").distinct()
-    often = sampled.groupBy("token").count().where(F.col("count") >= common).orderBy(F.desc("count"), "token").limit(1_000_000).toPandas().sort_values("token")
+    often = sampled.groupBy("token").count().where(F.col("count") >= common).orderBy(F.desc("count"), "token").limit(200_000).toPandas().sort_values("token")
     hot = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
 
     def firsts(given, texts, seen):

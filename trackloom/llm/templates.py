@@ -42,6 +42,8 @@ UNITS = frozenset(
     ml cl l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
     hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar c f k mph kmh percent dollars euros pounds cents eur usd gbp""".split()
 )
+#: Written words that a task remembers.
+WORDS = 200_000
 NUMBER_LIKE = re.compile(rb"[+-]?\d[\d.,]*(?:st|nd|rd|th)?|\d+[a-z]{1,3}")
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*-_~`/\\=+"
 _NUM, _NAME, _UNIT = (xxhash.xxh64_intdigest(x) for x in (b"<num>", b"<name>", b"<unit>"))
@@ -150,7 +152,7 @@ def _windowed(df: DataFrame, names: str, schema: str, sizes: list[int] | None =
             first[(wanted.value >> np.uint64(42)).astype(np.int64)] = True
             hashes = (wanted.value, first)
         for batch in slices(batches, 1_000_000):
-            if len(words) > 500_000:
+            if len(words) > WORDS:
                 words = Words()
             owner, out = windows(texts_as_bytes(batch), words, sizes, hashes)
             for low in range(0, max(1, len(owner)), 50_000):
