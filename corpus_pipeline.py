@@ -15,10 +15,17 @@ from trackloom.llm.shared import new_folder, remove, table
 
 #: Bytes of the stretches that a worker of the last stage keeps: less than by default, beside what the stages before have left in memory.
 REMEMBER = 16_000_000
+#: Rows of an Arrow batch: stages run one after the other in the same workers, which keep what large batches took.
+BATCH = 2_000
+
+
+def _batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; all of them where labels hold no two classes. Null texts are judged as empty ones."""
+    _batches(spark)
     return preference.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -27,21 +34,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are alike; rows without doc_id stay, and rows of one doc_id stay or go together.
     """
+    _batches(spark)
     return near.one_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark, re-parameterised ones included; items of one to four words drop nothing."""
+    _batches(spark)
     return templates.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by the kind's name and n_chars made to agree; null texts stay null."""
+    _batches(spark)
     return credentials.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (with the end id) and decoded (what the ids give) of each document; a null text has the end id only."""
+    _batches(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), remember=REMEMBER)
 
 
