@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 from trackloom.llm import packed
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", " ", "a  b", "it's one\n\n two \t x", "the of" * 400, "é ü 一二 \U0001f600 \x1c x", "<|endoftext|> y", "don 't  'll  z", "1 2 33 a1 _b", "x \ny z\n w", " lead", "tail "]
+UNTOUCHED = Tokenizer.from_file(FILE)
+TEXTS = ["", " ", "a  b", "it's one\n\n two \t x", "the of" * 400, "é ü 一二 \U0001f600 \x1c x", "<|endoftext|> y", "x <|endoftext|>", "a b<|endoftext|>c  d <|endoftext| > e", "don 't  'll  z", "1 2 33 a1 _b", "x \ny z\n w", " lead", "tail "]
 
 
 @given(st.integers(1, 32), st.data())
@@ -25,7 +26,6 @@ def test_any_range_comes_back(bits, data):
 
 def test_stretches_equal_the_library():
     library = Tokenizer.from_file(FILE)
-    library.encode_special_tokens = True
     got = packed.Encoder(FILE).encode(TEXTS)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in TEXTS]
 
@@ -33,14 +33,13 @@ def test_stretches_equal_the_library():
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aeth T.,'s\n -_É1² ")), max_size=40))
 def test_any_text_equals_the_library(text):
-    library = packed.encoder(FILE).library
+    library = UNTOUCHED
     assert np.frombuffer(packed.encoder(FILE).encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [1, 5])
 def test_files(spark, tmp_path, n):
     library = Tokenizer.from_file(FILE)
-    library.encode_special_tokens = True
     rows = [(i * 7 % 12 - 3, x) for i, x in enumerate(TEXTS)] + [(40, None), (40, None), (41, "twice"), (41, "twice")]
     docs = spark.createDataFrame([(i, x, "clash") for i, x in rows], "doc_id long, text string, start string").repartition(3)
     folder = str(tmp_path / "set")
@@ -74,10 +73,15 @@ def test_blank_lines_equal_the_library():
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="\n\n\n\r\t aT.,'7\xe9\u4e00", max_size=30))
 def test_any_line_feeds_equal_the_library(text):
-    library = packed.encoder(FILE).library
+    library = UNTOUCHED
     assert np.frombuffer(packed.encoder(FILE).encode(["x " + text])[0], "<u4").tolist() == library.encode("x " + text, add_special_tokens=False).ids
 
 
+def test_quoted_end_marks_are_one_id():
+    assert np.frombuffer(packed.Encoder(FILE).encode(["one <|endoftext|> two"])[0], "<u4").tolist() == UNTOUCHED.encode("one <|endoftext|> two", add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(packed.Encoder(FILE).encode(["one <|endoftext|> two"])[0], "<u4")
+
+
 def test_ids_of_any_type(spark, tmp_path):
     docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "none")], "doc_id string, text string")
     packed.write(docs, FILE, 2, str(tmp_path / "p"), 2)

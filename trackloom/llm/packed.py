@@ -94,17 +94,18 @@ class Bytes(dict):
 class Encoder:
     """The tokenizers library on stretches between GAPs, each encoded once while it is remembered (so many met last, and as many before).
 
-    A stretch of letters of one script is a single pre-token and goes straight to the library's model; others pass its whole pipeline.
+    A stretch of letters of one script is a single pre-token and goes straight to the library's model; others pass its whole pipeline. Texts that
+    quote one of the vocabulary's added tokens, which the library finds wherever they stand, are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.library.encode_special_tokens = True
         told = json.loads(self.library.to_str())
-        if told["normalizer"] or (told["pre_tokenizer"] or {}).get("type") != "ByteLevel" or told["pre_tokenizer"].get("add_prefix_space") or not all(t["special"] for t in told["added_tokens"]):
+        if told["normalizer"] or (told["pre_tokenizer"] or {}).get("type") != "ByteLevel" or told["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only byte-level vocabularies can be cut at spaces")
+        self.added = [t["content"] for t in told["added_tokens"]]
         self.model, self.letters = self.library.model, Bytes()
         self.remember = remember
         self.known: dict[str, bytes] = {}
@@ -135,7 +136,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers. A text's first stretch has no space before it and is not remembered."""
-        cuts = [cut(text) for text in texts]
+        cuts = [[text] if any(x in text for x in self.added) else cut(text) for text in texts]
         first = [x.ids for x in self.library.encode_batch_fast([x[0] for x in cuts], add_special_tokens=False)]
         rest = [x[1:] for x in cuts]
         self.learn(set().union(*rest))
