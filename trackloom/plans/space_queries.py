@@ -181,6 +181,13 @@ def scratch_bands_per_time(df: DataFrame) -> DataFrame:
     return s.scratch_bands(df).select("experiment", "time_index", "n_bands")
 
 
-@query("v_tracks")
+@query("v_tracks", sql="""
+WITH g AS (SELECT experiment, time_index, lag(y_pos) OVER w AS low, y_pos AS high, y_pos - lag(y_pos) OVER w AS gap FROM v_tracks WINDOW w AS (PARTITION BY experiment, time_index ORDER BY y_pos, parent)),
+s AS (SELECT experiment, time_index, avg(gap) + 2 * stddev_pop(gap) AS cut FROM g WHERE gap IS NOT NULL GROUP BY ALL),
+e AS (SELECT experiment, time_index, count(*) FILTER (WHERE gap >= cut AND gap > 0) AS n_bands, max(struct_pack(gap := gap, low := low, high := high)) FILTER (WHERE gap >= cut AND gap > 0) AS w
+  FROM g JOIN s USING (experiment, time_index) WHERE gap IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, n_bands = 0 AND max(CAST(n_bands > 0 AS INT)) OVER (PARTITION BY experiment ORDER BY time_index) = 1 AS shut FROM e),
+c AS (SELECT *, max(CAST(shut AS INT)) OVER (PARTITION BY experiment ORDER BY time_index) = 1 AS closed FROM b)
+SELECT experiment, time_index, n_bands, CASE WHEN NOT closed THEN w.low END AS band_bottom, CASE WHEN NOT closed THEN w.high END AS band_top, closed FROM c""", doubles="band_bottom band_top")
 def scratch_detect(df: DataFrame) -> DataFrame:
     return s.scratch_bands(df)
