@@ -197,3 +197,59 @@ def test_shard_in_blocks(spark):
     for r in marked.collect():
         groups.setdefault(root.get(r.set, r.set), set()).add(r.doc_id)
     assert sorted(map(len, groups.values())) == [1] * 40 + [40]
+
+
+def test_forest_joins_what_links_join():
+    """A row between two crowds joins them, though each crowd has a centre of its own; the links are the most alike ones."""
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 40, 150):
+        centres = rng.integers(1, 256, (3, near.PLACES), np.uint8)
+        rows = centres[rng.integers(0, 3, n)].copy()
+        for row in rows:
+            at = rng.choice(near.PLACES, rng.integers(0, 120), replace=False)
+            row[at] = rng.integers(1, 256, len(at))
+        for i in range(0, n - 1, 7):  # half of one, half of another
+            rows[i] = np.where(np.arange(near.PLACES) < 128, centres[0], centres[1])
+        how = near.alike(rows, rows)
+        for least in (0.4, 0.6, 0.8):
+            a, b, h = near.forest(rows, least)
+            assert np.allclose(h, how[a, b]) and (h >= least).all()
+            for bound in (least, least + 0.1):
+                assert parts(n, a[h >= bound], b[h >= bound]) == parts(n, *np.nonzero(how >= bound))
+            assert len(a) == n - len(parts(n, a, b))
+
+
+def parts(n, a, b):
+    root = list(range(n))
+    for i, j in zip(a, b, strict=True):
+        root = [root[i] if x == root[j] else x for x in root]
+    return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+
+@pytest.mark.parametrize("block", [9, 1536])
+def test_all_links_between_crowds(spark, block):
+    """Crowds whose members are near the bound to each other: every pair that is alike enough counts, not only the likeliest by its sketch."""
+    rng = random.Random(5)
+    rows, sets = [], []
+    for g in range(25):
+        base = [f"g{g}_{i}" for i in range(120)]
+        for c in range(8):
+            copy = list(base)
+            for at in rng.sample(range(120), rng.choice([1, 2, 3])):
+                copy[at] = f"x{g}_{c}_{at}"
+            rows.append((g * 10 + c, " ".join(copy)))
+    ids = [i for i, _ in rows]
+    least = {i: i for i in ids}
+    for i, x in rows:
+        for k, y in rows:
+            if k < i and k // 10 == i // 10 and similarity(x, y) >= 0.8:
+                old, new = max(least[i], least[k]), min(least[i], least[k])
+                least = {v: new if r == old else r for v, r in least.items()}
+    assert 30 < len(set(least.values())) < 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked, edges = near.similar(docs, share=1, common=2, block=block)
+    root = {r.v: r.root for r in near.components(edges).collect()}
+    for r in marked.collect():
+        sets.append((root.get(r.set, r.set), r.doc_id))
+    groups = {frozenset(d for s, d in sets if s == r) for r, _ in sets}
+    assert groups == {frozenset(i for i in ids if least[i] == r) for r in set(least.values())}

@@ -330,52 +330,89 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row but the first of its kind the row most like it among those with more rows alike (at least `least`), and how alike: at most one link for each row."""
+    """Rows, the row that each is linked to, and how alike: a spanning forest of most alike links among those of at least `least`.
+
+    What any links join, these join, and two rows are joined by links above a bound if any such links join them.
+    """
     n = len(sketches)
     found = np.empty((n, n), np.float32)
     for low in range(0, n, 128):
         found[low : low + 128] = alike(sketches[low : low + 128], sketches)
     np.fill_diagonal(found, -1)
-    order = np.argsort(-(found >= least).sum(axis=1), kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    found[place[None, :] >= place[:, None]] = -1
-    best = found.argmax(axis=1)
-    how = found[np.arange(n), best]
-    rows = np.flatnonzero(how >= least)
-    return rows, best[rows], how[rows]
+    active = np.flatnonzero((found >= least).any(axis=1))
+    best, to, open_ = np.full(n, -2.0, np.float32), np.zeros(n, np.int64), np.zeros(n, bool)
+    best[active], open_[active] = -1, True
+    rows, how = [], []
+    for _ in active:  # the open row most like a row that is done comes next
+        i = int(best.argmax())
+        if best[i] >= least:
+            rows.append(i)
+            how.append(best[i])
+        best[i], open_[i] = -2, False
+        nearer = open_ & (found[i] > best)
+        best[nearer] = found[i][nearer]
+        to[nearer] = i
+    return np.array(rows, np.int64), to[rows] if rows else np.zeros(0, np.int64), np.array(how, np.float32)
+
+
+def in_shards(members: DataFrame, run_whole, schema: str) -> DataFrame:
+    """The Arrow batches that a function makes of whole shards: shard (sorted), set, root and sketch. A shard's rows fit in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, PLACES), np.uint8)]
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, PLACES))
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            shard = held[0]
+            if len(shard) and shard[0] != shard[-1]:
+                cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on in the next batch
+                yield from run_whole(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        yield from run_whole(*held)
+        pa.default_memory_pool().release_unused()
+
+    return members.select("shard", "set", "root", "sketch").repartition("shard").sortWithinPartitions("shard", "set").mapInArrow(run, schema)
+
+
+def starts_of(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each shard of sorted rows starts, and its rows."""
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(shard)))
 
 
 def met(members: DataFrame, least: float) -> DataFrame:
-    """a, b, alike: the forests of the sets that share a shard (columns shard, set, sketch; a shard's rows fit in a task)."""
+    """shard, a, b, alike: the forests of the sets that share a shard."""
 
-    def links_of(shard: np.ndarray, sets: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(shard)))
+    def links_of(shard: np.ndarray, sets: np.ndarray, _: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, sizes = starts_of(shard)
         two = starts[sizes == 2]
         x, y = sketches[two], sketches[two + 1]
         either = ((x > 0) | (y > 0)).sum(axis=1)
         how = np.where(either > 0, (((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1) - 1 / 255) * 255 / 254, 1.0)
-        a, b, h = [sets[two][how >= least]], [sets[two + 1][how >= least]], [how[how >= least]]
+        two, how = two[how >= least], how[how >= least]
+        s, a, b, h = [shard[two]], [sets[two]], [sets[two + 1]], [how]
         for low, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             i, j, found = forest(sketches[low : low + n], least)
-            a, b, h = [*a, sets[low + i]], [*b, sets[low + j]], [*h, found]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, [v.astype(np.float64) for v in h])], ["a", "b", "alike"])
+            s, a, b, h = [*s, shard[low + i]], [*a, sets[low + i]], [*b, sets[low + j]], [*h, found.astype(np.float64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (s, a, b, h)], ["shard", "a", "b", "alike"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, sets, sketches = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint8)
-        for batch in batches:
-            new = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, PLACES)
-            shard = np.concatenate([shard, batch.column(0).to_numpy(zero_copy_only=False)])
-            sets, sketches = np.concatenate([sets, batch.column(1).to_numpy(zero_copy_only=False)]), np.concatenate([sketches, new])
-            if len(shard) and shard[0] != shard[-1]:
-                cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on in the next batch
-                yield links_of(shard[:cut], sets[:cut], sketches[:cut])
-                shard, sets, sketches = shard[cut:], sets[cut:], sketches[cut:]
-        yield links_of(shard, sets, sketches)
-        pa.default_memory_pool().release_unused()
+    return in_shards(members, links_of, "shard long, a long, b long, alike double")
 
-    return members.select("shard", "set", "sketch").repartition("shard").sortWithinPartitions("shard", "set").mapInArrow(run, "a long, b long, alike double")
+
+def apart_in(members: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of sets of different roots that share a shard and whose sketches are at least so alike."""
+
+    def pairs_of(shard: np.ndarray, sets: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low, n in zip(*(x.tolist() for x in starts_of(shard)), strict=True):
+            own, name, root = sketches[low : low + n], sets[low : low + n], roots[low : low + n]
+            for at in range(0, n, 128):
+                some = slice(at, at + 128)
+                i, j = np.nonzero((alike(own[some], own) >= least) & (root[some, None] != root[None]) & (name[some, None] < name[None]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(name[some][i]), pa.array(name[j])], ["a", "b"])
+
+    return in_shards(members, pairs_of, "a long, b long")
 
 
 def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
@@ -403,9 +440,10 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
     """doc_id and set (set_key of the shingles) of each row, and edges a, b between sets whose Jaccard similarity is least hundredths or more.
 
     First the sets whose fingerprints are linked through the vantage-point trees; then those that share a shingle of their prefixes, which all sets so similar do.
-    Sets that share one are a shard, compared by sketches all with all (in blocks where they are more than `block`), and each is linked to the one most like it
-    among those that have more like them. Links that the sketches leave unsure (so much below or above the similarity) are tested shingle by shingle, where
-    surer ones do not join the two already. A sketch's standard error is 0.025 at most, so the bounds are four of them.
+    Sets that share one are a shard, compared by sketches all with all (in blocks where they are more than `block`), and joined by the most alike links.
+    Links that the sketches leave unsure (so much below or above the similarity) are tested shingle by shingle, where surer ones do not join the two already.
+    Where one fails, others of its shard may hold: all unsure pairs of that shard whose ends are still apart are tested, so no link between components is lost.
+    A sketch's standard error is 0.025 at most, so the bounds are four of them.
     share, common: shingles met so often in one of so many texts come last in the prefixes; that changes the time, not the links.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -428,7 +466,7 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
     def judged(pairs: DataFrame) -> DataFrame:
         """a, b and alike of pairs a, b: each is a shard."""
         shards = pairs.select(F.xxhash64("a", "b").alias("shard"), F.explode(F.array("a", "b")).alias("set"))
-        return met(shards.join(sketches, "set"), low)
+        return met(shards.withColumn("root", F.col("set")).join(sketches, "set"), low).select("a", "b", "alike")
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs)
@@ -471,13 +509,25 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
     many = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("set", F.lit(1)), many).cast("int")
     places = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.xxhash64("token", F.least(own, i), F.greatest(own, i)))
-    members = mixed.select("set", F.explode(F.when(many == 1, F.array(F.col("token"))).otherwise(places)).alias("shard"))
-    found = kept(met(members.join(sketches, "set"), low).unionByName(first).groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    members = mixed.select("set", "root", F.explode(F.when(many == 1, F.array(F.col("token"))).otherwise(places)).alias("shard"))
+
+    def between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+        """pairs whose ends are in different components of edges."""
+        roots = components(edges)
+        ends = [roots.select(F.col("v").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+        return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
+
+    in_a_shard = kept(met(members.join(sketches, "set"), low))
+    found = kept(in_a_shard.select("a", "b", "alike").unionByName(first).groupBy("a", "b").agg(F.max("alike").alias("alike")))
     sure = found.where(F.col("alike") >= high).select("a", "b")
-    roots = components(sure)
-    a, b = roots.select(F.col("v").alias("a"), F.col("root").alias("p")), roots.select(F.col("v").alias("b"), F.col("root").alias("q"))
-    apart = found.where(F.col("alike") < high).join(a, "a", "left").join(b, "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b"))
-    return marked.select("doc_id", "set"), sure.unionByName(tested(apart.select("a", "b")))
+    edges = kept(sure.unionByName(tested(between(found.where(F.col("alike") < high).select("a", "b"), sure))))
+    # the links of a shard's forest that failed: the only shards that may hold other links between components
+    failed = kept(between(in_a_shard.where(F.col("alike") < high), edges).select("shard").distinct())
+    if failed.isEmpty():
+        return marked.select("doc_id", "set"), edges
+    roots = components(edges).select(F.col("v").alias("set"), F.col("root").alias("now"))
+    again = members.join(small(failed), "shard", "left_semi").join(roots, "set", "left").select("shard", "set", F.coalesce("now", "set").alias("root"))
+    return marked.select("doc_id", "set"), edges.unionByName(tested(apart_in(again.join(sketches, "set"), low).distinct()))
 
 
 def one_of_similar(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
