@@ -182,6 +182,10 @@ def test_sketches():
             x, y = (np.frombuffer(near.sketch(v), np.uint8)[None] for v in (a, b))
             places = ((x > 0) | (y > 0)).sum()
             true = common / (2 * n - common)
+            fine = [np.frombuffer(near.sketch(v, near.FINE), np.uint8)[None] for v in (a, b)]
+            assert (near.coarse(fine[0]) == x).all() and (near.coarse(fine[1]) == y).all()
+            assert abs(near.alike_rows(x, y)[0] - near.alike(x, y)[0, 0]) < 1e-5
+            assert abs(near.alike_rows(*fine)[0] - true) < 4.5 * (max(true * (1 - true), 0.004) / near.FINE) ** 0.5 + 0.01
             assert abs(near.alike(x, y)[0, 0] - true) < 4.5 * (max(true * (1 - true), 0.004) / places) ** 0.5 + 0.01
 
 

@@ -302,21 +302,33 @@ def prefix(shingles: np.ndarray, least: int, common: tuple[np.ndarray, np.ndarra
     return shingles[:many]
 
 
-#: Places of a sketch.
-PLACES = 256
+#: Places of a sketch, and of a fine one (a multiple).
+PLACES, FINE = 256, 2048
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """For each of PLACES ranges of the hashes, a byte (1 to 255) of the least shingle within it; 0 where there is none. shingles: sorted."""
+def sketch(shingles: np.ndarray, places: int = PLACES) -> bytes:
+    """For each of so many ranges of the hashes, a byte (1 to 255) of the least shingle within it; 0 where there is none. shingles: sorted."""
     if not len(shingles):
-        return bytes(PLACES)
-    edges = np.linspace(-(2.0**63), 2.0**63, PLACES + 1)[:-1].astype(np.int64)
+        return bytes(places)
+    edges = np.linspace(-(2.0**63), 2.0**63, places + 1)[:-1].astype(np.int64)
     at = np.searchsorted(shingles, edges)
     held = np.diff(np.append(at, len(shingles))) > 0
     least = shingles[np.minimum(at, len(shingles) - 1)].view(np.uint64)
     return np.where(held, least % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
 
 
+def coarse(fine: np.ndarray) -> np.ndarray:
+    """The sketches of which rows of fine ones are made: the first place held in each range."""
+    cells = fine.reshape(len(fine), PLACES, FINE // PLACES)
+    return np.take_along_axis(cells, (cells > 0).argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+
+
+def alike_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of each row of a to the same row of b."""
+    either = ((a > 0) | (b > 0)).sum(axis=1)
+    return np.where(either > 0, (((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1) - 1 / 255) * 255 / 254, 1.0)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of the sketches in the rows of a to all those of b: of the places that either holds, how many are equal (less the equal bytes of chance)."""
     equal, either = np.zeros((len(a), len(b)), np.int16), np.zeros((len(a), len(b)), np.int16)
@@ -355,14 +367,14 @@ def forest(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray,
     return np.array(rows, np.int64), to[rows] if rows else np.zeros(0, np.int64), np.array(how, np.float32)
 
 
-def in_shards(members: DataFrame, run_whole, schema: str) -> DataFrame:
+def in_shards(members: DataFrame, run_whole, schema: str, places: int = PLACES) -> DataFrame:
     """The Arrow batches that a function makes of whole shards: shard (sorted), set, root and sketch. A shard's rows fit in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, PLACES), np.uint8)]
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, places), np.uint8)]
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, PLACES))
+            new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, places))
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             shard = held[0]
             if len(shard) and shard[0] != shard[-1]:
@@ -387,9 +399,7 @@ def met(members: DataFrame, least: float) -> DataFrame:
     def links_of(shard: np.ndarray, sets: np.ndarray, _: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts, sizes = starts_of(shard)
         two = starts[sizes == 2]
-        x, y = sketches[two], sketches[two + 1]
-        either = ((x > 0) | (y > 0)).sum(axis=1)
-        how = np.where(either > 0, (((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1) - 1 / 255) * 255 / 254, 1.0)
+        how = alike_rows(sketches[two], sketches[two + 1])
         two, how = two[how >= least], how[how >= least]
         s, a, b, h = [shard[two]], [sets[two]], [sets[two + 1]], [how]
         for low, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -400,19 +410,22 @@ def met(members: DataFrame, least: float) -> DataFrame:
     return in_shards(members, links_of, "shard long, a long, b long, alike double")
 
 
-def apart_in(members: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs of sets of different roots that share a shard and whose sketches are at least so alike."""
+def apart_in(members: DataFrame, least: float, fine_least: float) -> DataFrame:
+    """a, b: all pairs of sets of different roots that share a shard and are at least so alike by sketches and by fine sketches (members have the latter)."""
 
-    def pairs_of(shard: np.ndarray, sets: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs_of(shard: np.ndarray, sets: np.ndarray, roots: np.ndarray, fine: np.ndarray) -> Iterator[pa.RecordBatch]:
         for low, n in zip(*(x.tolist() for x in starts_of(shard)), strict=True):
-            own, name, root = sketches[low : low + n], sets[low : low + n], roots[low : low + n]
+            own, name, root = fine[low : low + n], sets[low : low + n], roots[low : low + n]
+            rough = coarse(own)
             for at in range(0, n, 128):
                 some = slice(at, at + 128)
-                i, j = np.nonzero((alike(own[some], own) >= least) & (root[some, None] != root[None]) & (name[some, None] < name[None]))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(name[some][i]), pa.array(name[j])], ["a", "b"])
+                i, j = np.nonzero((alike(rough[some], rough) >= least) & (root[some, None] != root[None]) & (name[some, None] < name[None]))
+                for few in range(0, len(i), 2048):
+                    x, y = i[few : few + 2048] + at, j[few : few + 2048]
+                    hit = alike_rows(own[x], own[y]) >= fine_least
+                    yield pa.RecordBatch.from_arrays([pa.array(name[x[hit]]), pa.array(name[y[hit]])], ["a", "b"])
 
-    return in_shards(members, pairs_of, "a long, b long")
+    return in_shards(members, pairs_of, "a long, b long", FINE)
 
 
 def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
@@ -442,8 +455,8 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
     First the sets whose fingerprints are linked through the vantage-point trees; then those that share a shingle of their prefixes, which all sets so similar do.
     Sets that share one are a shard, compared by sketches all with all (in blocks where they are more than `block`), and joined by the most alike links.
     Links that the sketches leave unsure (so much below or above the similarity) are tested shingle by shingle, where surer ones do not join the two already.
-    Where one fails, others of its shard may hold: all unsure pairs of that shard whose ends are still apart are tested, so no link between components is lost.
-    A sketch's standard error is 0.025 at most, so the bounds are four of them.
+    Where one fails, others of its shard may hold: all pairs of that shard whose ends are still apart are tested, so no link between components is lost
+    (but those that finer sketches, with the same number of standard errors, show to be too far apart). A sketch's standard error is 0.025 at most, so the bounds are four of them.
     share, common: shingles met so often in one of so many texts come last in the prefixes; that changes the time, not the links.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -468,11 +481,14 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
         shards = pairs.select(F.xxhash64("a", "b").alias("shard"), F.explode(F.array("a", "b")).alias("set"))
         return met(shards.withColumn("root", F.col("set")).join(sketches, "set"), low).select("a", "b", "alike")
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        """Rows of docs that have some sets (column set)."""
+        return docs.join(small(kept(sets.join(some.select("set").distinct(), "set", "left_semi").select("doc_id").distinct())), "doc_id", "left_semi")
+
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs)
-        ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-        wanted = small(kept(sets.join(ends, "set", "left_semi").select("doc_id").distinct()))
-        held = kept(_by_set(docs.join(wanted, "doc_id", "left_semi"), "doc_id", shingles, "set long, shingles array<long>").dropDuplicates(["set"]))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("set"))
+        held = kept(_by_set(texts_of(ends), "doc_id", shingles, "set long, shingles array<long>").dropDuplicates(["set"]))
         left, right = held.select(F.col("set").alias("a"), F.col("shingles").alias("x")), held.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
         return kept(both.where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * least).select("a", "b"))
@@ -481,6 +497,10 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
         found = [shingle_set(x, words) for x in texts]
         return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tolist() for s in found], pa.list_(pa.int64()))], ["set", "shingles"])
 
+    def fines(given, texts, _):
+        found = [shingle_set(x, words) for x in texts]
+        return pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([sketch(s, FINE) for s in found], pa.binary())], ["set", "sketch"])
+
     # links of fingerprints, as pairs of the least sets that have them
     heads = kept(sets.groupBy("fp").agg(F.min("set").alias("head")))
     ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_set")) for x in "ab"]
@@ -526,8 +546,9 @@ def similar(docs: DataFrame, words: int = 5, least: int = 80, share: int = 16, c
     if failed.isEmpty():
         return marked.select("doc_id", "set"), edges
     roots = components(edges).select(F.col("v").alias("set"), F.col("root").alias("now"))
-    again = members.join(small(failed), "shard", "left_semi").join(roots, "set", "left").select("shard", "set", F.coalesce("now", "set").alias("root"))
-    return marked.select("doc_id", "set"), edges.unionByName(tested(apart_in(again.join(sketches, "set"), low).distinct()))
+    again = kept(members.join(small(failed), "shard", "left_semi").join(roots, "set", "left").select("shard", "set", F.coalesce("now", "set").alias("root")))
+    fine = _by_set(texts_of(again), "doc_id", fines, "set long, sketch binary").dropDuplicates(["set"])
+    return marked.select("doc_id", "set"), edges.unionByName(tested(apart_in(again.join(fine, "set"), low, least / 100 - unsure[0] * (PLACES / FINE) ** 0.5).distinct()))
 
 
 def one_of_similar(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
