@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed: the marks before the three parts.
@@ -31,6 +33,8 @@ PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 PLACE = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
 #: Units of a piece, and the bytes that a piece with longer units is cut to.
 UNITS, BYTES = 8_192, 65_536
+#: Bytes of text that a sorting task should get.
+PART = 64_000_000
 #: Per cent of the rows that are transformed, and of those with the suffix first.
 RATE, SPM = 90, 20
 
@@ -187,9 +191,11 @@ def _texts(pairs: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def _sorted(docs: DataFrame, partitions: int | None) -> tuple[RDD, int]:
-    """The pieces of all outputs, those of a row together and in order, and the number of partitions (by default the session's for shuffles)."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("doc_id", "text").rdd.mapPartitions(_emit).repartitionAndSortWithinPartitions(n, _partition), n
+    """The pieces of all outputs, those of a row together and in order, and the number of partitions: the session's for shuffles, or more, so that each gets about PART bytes of text."""
+    if partitions is None:
+        size = docs.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART))
+    return docs.select("doc_id", "text").rdd.mapPartitions(_emit).repartitionAndSortWithinPartitions(partitions, _partition), partitions
 
 
 def transform(docs: DataFrame, partitions: int | None = None) -> DataFrame:
