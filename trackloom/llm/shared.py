@@ -41,9 +41,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df, to be broadcast in a join if it has at most so many (short) rows; else as it is, so that the join shuffles. For kept frames."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = 100_000, most_bytes: int = 64_000_000) -> DataFrame:
+    """df, to be broadcast in a join if it has at most so many rows and bytes (as JSON); else as it is, so that the join shuffles. For kept frames."""
+    if df.limit(most + 1).count() > most:
+        return df
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most_bytes else df
 
 
 def unused(df: DataFrame, name: str) -> str:
