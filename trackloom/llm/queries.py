@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import chat, credentials, infill, near, packed, pieces, preference, rules, shards, suffix, templates
+from trackloom.llm import chat, credentials, divergence, infill, near, packed, personal, pieces, preference, rules, shards, suffix, templates
 from trackloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,14 +57,23 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.transform(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_secret_scan, op3_suffix_tree_score, op4_quality_rules, op5_template_decontamination,
         op6_sentencepiece, op7_chat_format, op8_quality_classifier, op9_packed_tokens, op10_extendible_shards,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_source_divergence, op13_personal_data,
     )
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": rules.ORACLE, "op7_chat_format": chat.ORACLE, "op10_extendible_shards": shards.ORACLE, "op11_fill_in_middle": infill.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
