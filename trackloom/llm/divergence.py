@@ -31,6 +31,8 @@ from trackloom.llm.shared import kept, slices, small, texts_as_bytes
 LEAST_DOCS, TOP = 3, 200
 #: What an expected frequency is a whole number of.
 SCALE = 1_000_000_000
+#: Counts whose product with SCALE fits 64 bits.
+FITS = 9_000_000_000
 #: Terms that a task holds before it hands on their sums, and pairs of frequencies that it corrects at once.
 HELD, BLOCK = 200_000, 65_536
 #: Fixed: what separates terms becomes a space, A-Z lower case.
@@ -39,7 +41,7 @@ WIDE = "decimal(38,0)"
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (rows that hold it), with partial sums of the reading tasks added up; an empty term stands for the rows."""
+    """lang, source, term, n (occurrences) and docs (rows that hold it), with partial sums of the reading tasks added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -58,7 +60,7 @@ def counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, 2_000_000):
             langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for lang, source, text in zip(langs, sources, texts_as_bytes(batch), strict=True):
-                n, d = held.setdefault((lang or "", source or ""), (Counter({b"": 0}), Counter()))
+                n, d = held.setdefault((lang or "", source or ""), (Counter(), Counter()))
                 words = text.translate(_FOLD).split()
                 before = len(n)
                 n.update(words)
@@ -75,9 +77,9 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def frequency(n: Column | str, total: Column | str, terms: Column | str) -> Column:
     """1 + floor(SCALE * (n + 1) / (total + terms)), exactly."""
-    n, total, terms = (F.col(x) if isinstance(x, str) else x for x in (n, total, terms))
-    above = F.lit(SCALE).cast(WIDE) * (n.cast("decimal(27,0)") + 1)
-    return F.call_function("div", above.cast(WIDE), (total + terms).cast("decimal(27,0)")) + 1
+    n, total, terms = ((F.col(x) if isinstance(x, str) else x).cast("long") for x in (n, total, terms))
+    wide = F.call_function("div", (F.lit(SCALE).cast(WIDE) * (n.cast("decimal(27,0)") + 1)).cast(WIDE), (total + terms).cast("decimal(27,0)"))
+    return F.when(n < FITS, F.call_function("div", (n + 1) * SCALE, total + terms)).otherwise(wide) + 1
 
 
 def excess(p: Column, q: Column) -> Column:
@@ -87,15 +89,16 @@ def excess(p: Column, q: Column) -> Column:
 
 def kept_terms(summed: DataFrame) -> DataFrame:
     """lang, term, row (array of source, n; by source) of the terms that enough documents of the lang hold."""
-    by_term = summed.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("row"))
+    by_term = summed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("row"))
     return by_term.where(F.col("docs") >= LEAST_DOCS).select("lang", "term", "row")
 
 
-def groups(summed: DataFrame, terms: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """lang, source, total (occurrences of kept terms), terms (kept ones of the lang), whole (their occurrences in the lang) and p0 (the frequency of a term that does not occur; null without kept terms) of each occurring group."""
     totals = terms.select("lang", F.explode("row").alias("r")).groupBy("lang", F.col("r.source").alias("source")).agg(F.sum("r.n").alias("total"))
     langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum(F.aggregate("row", F.lit(0).cast("long"), lambda a, r: a + r["n"])).alias("whole"))
-    every = summed.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(small(langs), "lang", "left")
+    occurring = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    every = occurring.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     filled = every.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "terms", "whole")])
     return filled.withColumn("p0", F.when(F.col("terms") > 0, frequency(F.lit(0), "total", "terms")))
 
@@ -199,13 +202,14 @@ def pair_values(terms: DataFrame, known: DataFrame) -> DataFrame:
     numbers = terms.select("lang", F.explode("row").alias("r")).groupBy("lang", F.col("r.source").alias("source"), F.col("r.n").alias("n")).agg(F.count("*").alias("m"))
     real = numbers.join(small(known.drop("whole")), ["lang", "source"]).select("lang", "source", "p0", "m", frequency("n", "total", "terms").alias("p"))
     ones = real.join(other, "lang").where("source <> item")
+    ways = lambda there, back: F.explode(F.array(F.struct("source", "item", there.alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), back.alias("value"))))
     p, p0, q0, m = (F.col(x) for x in ("p", "p0", "q0", "m"))
     more = lambda a, b: (wide(excess(*a)) - wide(excess(*b))) * wide(m)
     summed = ones.groupBy("lang", "source", "item").agg(F.sum(more((p, q0), (p0, q0))).alias("there"), F.sum(more((q0, p), (q0, p0))).alias("back"))
-    single = summed.select("lang", "source", "item", F.col("there").cast(WIDE).alias("value")).unionAll(summed.select("lang", F.col("item"), F.col("source"), F.col("back").cast(WIDE)))
-    total = tree_pairs(terms, known).groupBy("lang", "a", "b").agg(*[F.sum(wide(F.col(c))).alias(c) for c in _SUMS])
+    single = summed.select("lang", ways(wide(F.col("there")), wide(F.col("back"))).alias("w")).select("lang", "w.*")
+    total = tree_pairs(terms, known).withColumnsRenamed({"a": "source", "b": "item"}).groupBy("lang", "source", "item").agg(*[F.sum(wide(F.col(c))).alias(c) for c in _SUMS])
     both = lambda w: (F.col(f"{w}_11") - F.col(f"{w}_10") - F.col(f"{w}_01") + F.col(f"{w}_00")).cast(WIDE)
-    double = total.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), both("ab").alias("value")).unionAll(total.select("lang", F.col("b"), F.col("a"), both("ba")))
+    double = total.select("lang", ways(both("ab"), both("ba")).alias("w")).select("lang", "w.*")
     return base.unionAll(single).unionAll(double).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
 
 
@@ -224,9 +228,8 @@ def _order() -> WindowSpec:
 
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value and rank of op12."""
-    summed = kept(counts(docs))
-    terms = kept(kept_terms(summed))
-    known = kept(groups(summed, terms))
+    terms = kept(kept_terms(counts(docs)))
+    known = kept(groups(docs, terms))
     pairs = pair_values(terms, known).withColumn("rank", F.row_number().over(_order()))
     return pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank").unionAll(top_terms(terms, known).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
 
