@@ -144,7 +144,7 @@ def test_files(spark, tmp_path):
     assert rows == {("p1", 1): (2.5, None), ("p1", 2): (None, None), ("p2", 1): (None, None)}
     assert both.schema["TimeIndex"].dataType.simpleString() == "int" and io.features(both) == ["Area", "Speed"]
     io.write_tracks(both.withColumn("Experiment", F.lit("e")), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert io.read_tracks(spark, str(tmp_path / "out")).count() == 3
     assert io.file_paths(spark, str(tmp_path), "*.csv").count() == 2
 
 

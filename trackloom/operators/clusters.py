@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -13,6 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators import grouped, order
+from trackloom.operators.storage import kept
 from trackloom.operators.tables import contingency, corr_matrix, standardize
 from trackloom.operators.tracks import KEY
 
@@ -101,20 +104,24 @@ def gmm(df: DataFrame, columns: Sequence[str], k: int, seed: int = 42) -> DataFr
 
 
 def cluster_by_group(df: DataFrame, features: Sequence[str], group: str, k: int, n_components: int = 2) -> DataFrame:
-    """Components and clusters within each group on its own; groups of fewer rows than k are left out. Groups are few, each is computed by Spark."""
-    names = [r[0] for r in df.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= k).orderBy(group).collect()]
-    parts = []
-    for name in names:
-        scores, *_ = pca(df.where(F.col(group) == name), features, n_components)
-        parts.append(kmeans(scores, [f"pc{i + 1}" for i in range(n_components)], k, restarts=2)[0])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Components and clusters within each group on its own, all groups at once; groups of fewer rows than k are left out."""
+    scores, _ = grouped.components(df, features, [group], n_components)
+    labelled, _ = grouped.kmeans(scores, [f"pc{i + 1}" for i in range(n_components)], [group], k)
+    return labelled.where(F.col("cluster").isNotNull()).drop(*features)
+
+
+def euclidean_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 11), by: Sequence[str] = ()) -> DataFrame:
+    """by, k and silhouette (Euclidean, over all pairs of a group) of each group's own clusters, for every k below its number of rows."""
+    labelled = df
+    for k in ks:
+        labelled = grouped.kmeans(labelled, columns, by, k, label=f"__k{k}")[0]
+    filled = labelled.fillna(0, subset=[f"__k{k}" for k in ks])  # a group too small for k: one cluster, which has no silhouette
+    found = grouped.silhouettes(filled, columns, [f"__k{k}" for k in ks], by)
+    return found.select(*by, F.substr("labelling", F.lit(4)).cast("int").alias("k"), "silhouette", "n")
 
 
 def hierarchy(profiles: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
-    """Top-down hierarchical clusters of condition profiles (bisecting k-means)."""
+    """Top-down hierarchical clusters of condition profiles (bisecting k-means); linkage.ward has the bottom-up ones."""
     ready = as_vector(profiles, features, "__v")
     return BisectingKMeans(k=k, seed=seed, featuresCol="__v", predictionCol="branch").fit(ready).transform(ready).drop("__v")
 
@@ -167,29 +174,75 @@ def _scores(predicted: DataFrame, by: Sequence[str]) -> DataFrame:
     return each.groupBy(*by).agg(F.avg(F.col("hit") / F.col("actual")).alias("balanced_accuracy"), F.avg(2 * F.col("hit") / (F.col("actual") + F.col("said"))).alias("macro_f1"), F.sum("actual").alias("n"))
 
 
-def group_cv(df: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 5, reg: float = 0.1) -> DataFrame:
-    """fold, balanced accuracy and macro F1 of an L1 logistic model with balanced weights; whole groups are held out, dealt to folds by size."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).collect()
-    load, fold_of = [0] * min(folds, len(sizes)), {}
-    for r in sizes:
-        i = load.index(min(load))
-        load[i] += r.n
-        fold_of[r[0]] = i
-    fold = F.element_at(F.create_map(*[F.lit(x) for pair in fold_of.items() for x in pair]), F.col(group))
-    ready = df.withColumn("fold", fold).withColumn("label", F.col(label).cast("double")).na.drop(subset=[*features, label])
-    out = None
-    for i in range(len(load)):
-        train, test = ready.where(F.col("fold") != i), ready.where(F.col("fold") == i)
-        stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-        scale = lambda x: as_vector(x.withColumns({c: (F.col(c) - float(stats[f"m_{c}"])) / float(stats[f"s_{c}"] or 1.0) for c in features}), features, "features")
-        weights = train.withColumn("w", F.lit(1.0))
-        share = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        total = sum(share.values())
-        weight = F.element_at(F.create_map(*[F.lit(x) for k, n in share.items() for x in (float(k), total / (len(share) * n))]), F.col("label"))
-        model = LogisticRegression(elasticNetParam=1.0, regParam=reg / 10, weightCol="w", maxIter=50).fit(scale(weights.withColumn("w", weight)))
-        scored = _scores(model.transform(scale(test)).select("label", "prediction", F.lit(i).alias("fold")), ["fold"])
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def _balanced_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """df with fold: groups in the order of their size are dealt to the folds forth and back, so whole groups stay together and folds are alike in size."""
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg((-F.count("*")).alias("__size"), F.lit(1).alias("__one"))
+    place = order.cumulative(sizes, [], ["__size", group], place="__one").select(group, "place_before")
+    turn = F.pmod(F.col("place_before"), F.lit(2 * folds))
+    return df.join(place.select(group, F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold")), group)
+
+
+def group_cv(df: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 5, reg: float = 0.1, steps: int = 80) -> DataFrame:
+    """fold, balanced accuracy and macro F1 of an L1 logistic model with balanced weights; whole groups are held out.
+
+    The models of all folds are fitted together by accelerated proximal steps: a step is one pass over the rows, whose blocks give the gradients of all models at once. Only
+    models (folds by features by classes) and their statistics are held by the driver.
+    """
+    n = len(features)
+    ready = df.withColumn("label", F.col(label).cast("double")).na.drop(subset=[*features, "label", group])
+    rows = kept(_balanced_folds(ready, group, folds).select("fold", "label", F.array(*[F.col(c).cast("double") for c in features]).alias("x")))
+    each = rows.groupBy("fold", "label").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("x", F.lit(i))) for i in range(n)]).alias("s"), F.array(*[F.sum(F.pow(F.get("x", F.lit(i)), 2)) for i in range(n)]).alias("q")).collect()  # folds by classes
+    classes, present = sorted({r.label for r in each}), sorted({r.fold for r in each})
+    mean, std, weight = (np.zeros((len(present), n)), np.ones((len(present), n)), np.zeros((len(present), len(classes))))
+    for f, fold in enumerate(present):
+        train = [r for r in each if r.fold != fold] or each
+        total = sum(r.n for r in train)
+        mean[f] = np.sum([r.s for r in train], axis=0) / total
+        spread = np.sqrt(np.maximum(np.sum([r.q for r in train], axis=0) / total - mean[f] ** 2, 0.0))
+        std[f] = np.where(spread > 1e-12 * (1 + np.abs(mean[f])), spread, 1.0)
+        counts = np.array([sum(r.n for r in train if r.label == c) for c in classes], float)
+        weight[f] = np.where(counts > 0, total / (np.maximum(counts, 1) * (counts > 0).sum()), 0.0) / total
+
+    def gradients(w: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros_like(w)
+            for pdf in batches:
+                if len(pdf):
+                    x, y = np.stack(pdf["x"].to_list()), np.searchsorted(classes, pdf["label"].to_numpy())
+                    for f, fold in enumerate(present):
+                        mine = (pdf["fold"].to_numpy() != fold) | (len(present) == 1)
+                        z = np.hstack([(x[mine] - mean[f]) / std[f], np.ones((mine.sum(), 1))])
+                        p = z @ w[f]
+                        p = np.exp(p - p.max(axis=1, keepdims=True))
+                        p /= p.sum(axis=1, keepdims=True)
+                        p[np.arange(len(p)), y[mine]] -= 1.0
+                        out[f] += z.T @ (p * weight[f][y[mine], None])
+            yield pd.DataFrame({"i": np.arange(out.size), "g": out.ravel()})
+
+        got = rows.mapInPandas(part, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()  # a number for each weight
+        out = np.zeros(w.size)
+        for r in got:
+            out[r.i] = r.g
+        return out.reshape(w.shape)
+
+    w = np.zeros((len(present), n + 1, len(classes)))
+    ahead, t, step, push = w, 1.0, 2.0 / (n + 1), reg / 10
+    for _ in range(steps):
+        new = ahead - step * gradients(ahead)
+        new[:, :n] = np.sign(new[:, :n]) * np.maximum(np.abs(new[:, :n]) - step * push, 0.0)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, moved, w = new + (before - 1) / t * (new - w), float(np.abs(new - w).max()), new
+        if moved < 1e-4:
+            break
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                f = np.searchsorted(present, pdf["fold"].to_numpy())
+                z = np.hstack([(np.stack(pdf["x"].to_list()) - mean[f]) / std[f], np.ones((len(pdf), 1))])
+                yield pd.DataFrame({"label": pdf["label"], "prediction": np.array(classes)[np.einsum("ri,rik->rk", z, w[f]).argmax(axis=1)], "fold": pdf["fold"]})
+
+    return _scores(rows.mapInPandas(predict, "label double, prediction double, fold int"), ["fold"])
 
 
 def rf_compare(df: DataFrame, sets: dict[str, Sequence[str]], label: str, id_columns: Sequence[str], trees: int = 20, test: float = 0.15, seed: int = 42) -> DataFrame:

@@ -6,11 +6,15 @@ Joins by distance are equi-joins on grid cells: an object is copied to the cells
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators import matching, order
+from trackloom.operators.storage import kept
 from trackloom.operators.tracks import KEY, TIME
 
 
@@ -40,30 +44,57 @@ def _distance2(axes: Sequence[str]) -> Column:
     return sum((F.pow(F.col(c) - F.col(f"r_{c}"), 2) for c in axes), F.lit(0.0))
 
 
-def min_distance(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"), having: str | None = "speed", first_reach: float = 50.0, key: Sequence[str] = KEY) -> DataFrame:
+#: Bits of a cell's number on an axis, and how many levels of cells lie between two that are used.
+BITS, STRIDE = 20, 2
+
+
+def _code(cells: Sequence[str]) -> Column:
+    """The bits of cell numbers in turn: cells that share a larger cell share the leading bits."""
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.shiftright(F.col(c), k).bitwiseAND(F.lit(1).cast("long")), k * len(cells) + i) for k in range(BITS) for i, c in enumerate(cells)])
+
+
+def min_distance(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"), having: str | None = "speed", key: Sequence[str] = KEY) -> DataFrame:
     """min_distance of each row to the nearest other track at its experiment and time; null where it is alone.
 
-    Only rows with a value of `having` count, on either side (a row of a track's first frame has no speed); None: all rows.
+    Only rows with a value of `having` count, on either side (a row of a track's first frame has no speed); None: all rows. Rows without position have none.
 
-    The reach grows fourfold for rows that have found none, so few rows ever meet a whole frame: beyond the frame's extent nobody is left.
+    Places of a frame are numbered by the codes of nested cells. The distance to the neighbours in the order of codes bounds that to the nearest place, so this lies in a cell
+    of at least that width that touches the circle: a few cells for each place, of a level that suits how dense it is there. Places of several tracks are at distance 0 and never compared.
     """
-    by = [key[0], TIME]
-    spots = (df.where(F.col(having).isNotNull()) if having else df).select(*key, TIME, *axes)
-    extent = spots.groupBy(*by).agg(*[(F.max(c) - F.min(c)).alias(f"e{i}") for i, c in enumerate(axes)]).agg(*[F.max(f"e{i}") for i in range(len(axes))]).first()
-    largest = max((x or 0.0) for x in extent)
-    open_, done, reach = spots, None, first_reach
-    while True:
-        last = reach >= largest
-        pairs = within(open_, spots, by, axes, reach).where(F.col(key[1]) != F.col(f"r_{key[1]}"))
-        found = pairs.groupBy(*key, TIME).agg(F.min(F.sqrt(_distance2(axes))).alias("min_distance"))
-        if not last:
-            found = found.where(F.col("min_distance") <= reach)
-        done = found if done is None else done.unionByName(found)
-        if last:
-            break
-        open_ = open_.join(found.select(*key, TIME), [*key, TIME], "left_anti")
-        reach *= 4
-    return df.join(done, [*key, TIME], "left")
+    by, n = [key[0], TIME], len(axes)
+    cells, at_cell = [f"__i{i}" for i in range(n)], [f"__c{i}" for i in range(n)]
+    spots = df.where(_all([F.col(c).isNotNull() for c in [*axes, *([having] if having else [])]]))
+    places = spots.groupBy(*by, *axes).agg(F.min(key[1]).alias("__a"), F.max(key[1]).alias("__b"))
+    frames = places.groupBy(*by).agg(*[F.min(c).alias(f"__l{i}") for i, c in enumerate(axes)], F.greatest(F.lit(0.0), *[F.max(c) - F.min(c) for c in axes]).alias("__e"))
+    sized = frames.withColumn("__s", F.when(F.col("__e") > 0, F.col("__e") * (1 + 1e-9) / 2**BITS).otherwise(1.0)).drop("__e")
+    numbered = places.join(sized, by).withColumns({i: F.least(F.floor((F.col(c) - F.col(f"__l{k}")) / F.col("__s")), F.lit(2**BITS - 1)).cast("long") for k, (i, c) in enumerate(zip(cells, axes, strict=True))})
+    placed = kept(numbered.withColumn("__code", _code(cells)))
+    point = F.min(F.struct("__code", *axes)).alias("__point")
+    codes = order.cumulative(placed.groupBy(*by, "__code").agg(F.count("*").alias("__n"), point), by, ["__code"], around="__point")
+    to = lambda p: F.sqrt(sum((F.pow(F.col(c) - F.col(f"{p}.{c}"), 2) for c in axes), F.lit(0.0)))
+    bound = F.when(F.col("__n") > 1, F.col("__s") * math.sqrt(n)).otherwise(F.least(to("previous"), to("following"))) * (1 + 1e-9)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("__bound") / F.col("__s")) / STRIDE).cast("int") * STRIDE)
+    near = placed.where("__a = __b").join(codes.select(*by, "__code", "__n", "previous", "following"), [*by, "__code"]).withColumn("__bound", bound).where("__bound is not null")
+    asked = kept(near.withColumn("__level", level).select(*by, *axes, "__a", "__s", "__bound", "__level", *cells, *[f"__l{i}" for i in range(n)]))
+    used = asked.groupBy(*by).agg(F.collect_set("__level").alias("__levels"))  # BITS / STRIDE + 1 of them at most
+    at = lambda i: F.call_function("shiftright", F.col(i), F.col("__level"))  # noqa: E731  the cell's number at the level
+    width = F.col("__s") * F.pow(F.lit(2.0), F.col("__level"))
+    moves = [F.struct(*[(at(i) + d).alias(c) for c, i, d in zip(at_cell, cells, move, strict=True)]) for move in itertools.product((-1, 0, 1), repeat=n)]
+    around = asked.select(*by, *axes, "__a", "__s", "__bound", "__level", *[f"__l{i}" for i in range(n)], F.explode(F.array(*moves)).alias("__c")).select("*", "__c.*")
+    gaps = [F.greatest(F.col(f"__c{i}") * width + F.col(f"__l{i}") - F.col(c), F.col(c) - (F.col(f"__c{i}") + 1) * width - F.col(f"__l{i}"), F.lit(0.0)) for i, c in enumerate(axes)]
+    left = around.where(sum((g * g for g in gaps), F.lit(0.0)) <= F.pow("__bound", 2) * (1 + 1e-9)).select(*by, *axes, "__a", "__bound", "__level", *at_cell)
+    right = placed.join(used, by).select(*by, *[F.col(c).alias(f"r_{c}") for c in axes], F.col("__a").alias("__ra"), F.col("__b").alias("__rb"), *cells, F.explode("__levels").alias("__level"))
+    right = right.select(*by, *[f"r_{c}" for c in axes], "__ra", "__rb", "__level", *[at(i).alias(c) for i, c in zip(cells, at_cell, strict=True)])
+    other = (F.col("__ra") != F.col("__a")) | (F.col("__rb") != F.col("__a"))
+    distance = F.sqrt(F.min(_distance2(axes))).alias("min_distance")
+    met = left.join(right, [*by, "__level", *at_cell]).where(other & (_distance2(axes) <= F.pow("__bound", 2)))
+    found = kept(met.groupBy(*by, *axes).agg(distance))
+    lost = asked.join(found, [*by, *axes], "left_anti").select(*by, *axes, "__a")  # only where a track has several places in a frame: its neighbours were its own
+    everything = placed.select(*by, *[F.col(c).alias(f"r_{c}") for c in axes], F.col("__a").alias("__ra"), F.col("__b").alias("__rb"))
+    rest = lost.join(everything, by).where(other).groupBy(*by, *axes).agg(distance)
+    zero = placed.where("__a <> __b").select(*by, *axes, F.lit(0.0).alias("min_distance"))
+    joined = df.join(found.unionByName(rest).unionByName(zero), [*by, *axes], "left")
+    return joined.select(*df.columns, F.when(F.col(having).isNotNull(), F.col("min_distance")).alias("min_distance") if having else "min_distance")
 
 
 def collectivity(kinematics: DataFrame, radius: float = 200.0, shape: str = "radius", axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
@@ -90,42 +121,24 @@ def nearest_within(objects: DataFrame, tracks: DataFrame, reach: float, by: Sequ
     return ranked.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", *([f"r_{track_id}"] if track_id != object_id else []))
 
 
-def greedy_match(a: DataFrame, b: DataFrame, reach: float, by: Sequence[str], axes: Sequence[str] = ("x_pos", "y_pos"), candidates: int | None = None) -> DataFrame:
-    """One-to-one pairs (by, a, b, distance) of rows of a and b (columns id and axes) by ascending distance, then ids.
-
-    Rounds of mutual nearest: pairs that are each other's first under the same total order are the ones a global greedy pass would take.
-    candidates: only so many nearest of each row of a are considered. Rounds are checkpointed.
-    """
-    left, right = a.select(*by, "id", *axes), b.select(*by, "id", *axes)
+def candidate_edges(a: DataFrame, b: DataFrame, reach: float, by: Sequence[str], axes: Sequence[str] = ("x_pos", "y_pos"), candidates: int | None = None) -> DataFrame:
+    """by, a, b, distance of rows of a and b (columns id and axes) within reach; candidates: only so many nearest of each row of a."""
     d2 = _distance2(axes)
-    edges = within(left, right, by, axes, reach).where(d2 <= reach**2).select(*by, F.col("id").alias("a"), F.col("r_id").alias("b"), F.sqrt(d2).alias("distance"))
+    edges = within(a.select(*by, "id", *axes), b.select(*by, "id", *axes), by, axes, reach).where(d2 <= reach**2).select(*by, F.col("id").alias("a"), F.col("r_id").alias("b"), F.sqrt(d2).alias("distance"))
     if candidates:
         edges = edges.withColumn("__k", F.row_number().over(Window.partitionBy(*by, "a").orderBy("distance", "b"))).where(F.col("__k") <= candidates).drop("__k")
-    _checkpoints(a)
-    edges, matched = edges.checkpoint(), None
-    while not edges.isEmpty():
-        first = {s: F.row_number().over(Window.partitionBy(*by, s).orderBy("distance", "a", "b")) for s in ("a", "b")}
-        won = edges.withColumns({f"__{s}": w for s, w in first.items()}).where("__a = 1 and __b = 1").select(*by, "a", "b", "distance").checkpoint()
-        matched = won if matched is None else matched.unionByName(won)
-        edges = edges.join(won.select(*by, "a"), [*by, "a"], "left_anti").join(won.select(*by, "b"), [*by, "b"], "left_anti").checkpoint()
-    return edges if matched is None else matched
-
-
-def _checkpoints(df: DataFrame) -> None:
-    """The cluster's folder for checkpoints; only on one machine, as in tests, one of our own where none is named."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or "/tmp/checkpoints")
-
-
-def assign_tracks(a: DataFrame, b: DataFrame, reach: float, by: Sequence[str] = (), track: str = "parent", axes: Sequence[str] = ("x_pos", "y_pos")) -> DataFrame:
-    """Tracks of a and b matched one to one by mean position: greedily, so not always the least total distance."""
+    return edges
+
+
+def greedy_match(a: DataFrame, b: DataFrame, reach: float, by: Sequence[str], axes: Sequence[str] = ("x_pos", "y_pos"), candidates: int | None = None, most_cells: int = matching.CELLS) -> DataFrame:
+    """One-to-one pairs (by, a, b, distance) of rows of a and b (columns id and axes) by ascending distance, then ids."""
+    return matching.greedy_match(candidate_edges(a, b, reach, by, axes, candidates), by, most_cells)
+
+
+def assign_tracks(a: DataFrame, b: DataFrame, reach: float, by: Sequence[str] = (), track: str = "parent", axes: Sequence[str] = ("x_pos", "y_pos"), most_cells: int = matching.CELLS, epsilon: float = 1e-3) -> DataFrame:
+    """Tracks of a and b matched one to one by mean position: as many pairs within reach as possible, at the least total distance."""
     centre = lambda df: df.groupBy(*by, F.col(track).alias("id")).agg(*[F.avg(c).alias(c) for c in axes])
-    return greedy_match(centre(a), centre(b), reach, by, axes)
+    return matching.optimal_match(candidate_edges(centre(a), centre(b), reach, by, axes), by, most_cells, epsilon)
 
 
 def remap_ids(df: DataFrame, matches: DataFrame, id_column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -233,11 +246,9 @@ def msd_by_zone(df: DataFrame, max_tau: int | None, key: Sequence[str] = KEY) ->
 
 def quantile_layers(df: DataFrame, column: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """layer: the number (from 0) of the right-closed bin between the column's quantiles; the lowest value belongs to the first."""
-    edges = df.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, quantiles))).alias("__e"))
-    joined = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))
-    inner = [F.get("__e", i) for i in range(1, len(quantiles) - 1)]
-    layer = sum(((F.col(column) > e).cast("int") for e in inner), F.lit(0))
-    return joined.withColumn("layer", F.when(F.col(column).isNotNull(), layer)).drop("__e")
+    inner = {f"__e{i}": q for i, q in enumerate(quantiles[1:-1])}
+    layer = sum(((F.col(column) > F.col(e)).cast("int") for e in inner), F.lit(0))
+    return order.with_quantiles(df, column, inner, by).withColumn("layer", F.when(F.col(column).isNotNull(), layer)).drop(*inner)
 
 
 #: A row for each of so many groups at most is broadcast.

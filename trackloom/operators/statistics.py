@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from trackloom.functions import tails
 from trackloom.functions.columns import ratio
-from trackloom.operators.tables import average_ranks
+from trackloom.operators import order
 
 
 def with_p(df: DataFrame, name: str, tail, *columns: str) -> DataFrame:
@@ -78,6 +78,11 @@ def perm_test(df: DataFrame, group: str, label: str, block: str, n_perm: int = 2
     return observed.crossJoin(stats).groupBy("chi2").agg(((F.count_if(F.col("s") >= F.col("chi2") - 1e-9) + 1) / F.lit(n_perm + 1)).alias("p"), F.count("*").alias("n_perm"))
 
 
+def corr_tests(pairs: DataFrame) -> DataFrame:
+    """Rows of n and corr with the two-sided p of no correlation (Student's t); null for fewer than three values."""
+    return with_p(pairs, "p", lambda r, n: float("nan") if n < 3 else 0.0 if abs(r) >= 1 else tails.t_sf2(r * ((n - 2) / (1 - r * r)) ** 0.5, n - 2), "corr", "n")
+
+
 # ---- distributions -----------------------------------------------------------------------------------------------------------
 
 
@@ -93,8 +98,8 @@ def dist_shift(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) ->
     first = pairs.join(counts.withColumnRenamed(group, "a"), [*by, "a"]).select(*by, "a", "b", "n_a", "n_b", "v", (F.col("n") / F.col("n_a")).alias("w"))
     second = pairs.join(counts.withColumnRenamed(group, "b"), [*by, "b"]).select(*by, "a", "b", "n_a", "n_b", "v", (-F.col("n") / F.col("n_b")).alias("w"))
     steps = first.unionByName(second).groupBy(*by, "a", "b", "n_a", "n_b", "v").agg(F.sum("w").alias("w"))
-    order = Window.partitionBy(*by, "a", "b").orderBy("v")
-    gap = steps.withColumns({"d": F.sum("w").over(order), "width": F.lead("v").over(order) - F.col("v")})
+    summed = order.cumulative(steps, [*by, "a", "b", "n_a", "n_b"], ["v"], around="v", w="w")
+    gap = summed.withColumns({"d": F.col("w_before") + F.col("w"), "width": F.col("following") - F.col("v")})
     return gap.groupBy(*by, "a", "b", "n_a", "n_b").agg(
         F.sum(F.abs("d") * F.col("width")).alias("wasserstein"), F.max(F.abs("d")).alias("ks"), F.sqrt(2 * F.sum(F.col("d") * F.col("d") * F.col("width"))).alias("energy")
     )
@@ -120,16 +125,16 @@ def anova_oneway(df: DataFrame, value: str, group: str, by: Sequence[str] = ())
 
 def levene(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """Brown-Forsythe: F of the distances from each group's median."""
-    medians = df.groupBy(*by, group).agg(F.percentile(value, 0.5).alias("__m"))
+    medians = order.quantiles(df, value, {"__m": 0.5}, [*by, group])
     away = df.join(medians, [*by, group]).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
     return anova_oneway(away, "__d", group, by)
 
 
 def spread(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """n, variance, std, interquartile range, median and mean of each group."""
-    return df.groupBy(*by, group).agg(
-        F.count(value).alias("n"), F.var_samp(value).alias("var"), F.stddev_samp(value).alias("std"), (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("iqr"), F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean")
-    )
+    stats = df.groupBy(*by, group).agg(F.count(value).alias("n"), F.var_samp(value).alias("var"), F.stddev_samp(value).alias("std"), F.avg(value).alias("mean"))
+    both = order.beside(stats, order.quantiles(df, value, {"__q1": 0.25, "median": 0.5, "__q3": 0.75}, [*by, group]), [*by, group], "left")
+    return both.select(*stats.columns, (F.col("__q3") - F.col("__q1")).alias("iqr"), "median")
 
 
 def block_bootstrap(df: DataFrame, value: str, group: str, block: str, draws: int = 500, seed: int = 42) -> DataFrame:
@@ -150,27 +155,31 @@ def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), name: str = "q") -> Da
     """Benjamini-Hochberg q of the non-null p within each group."""
     known = F.col(p).isNotNull()
     within = Window.partitionBy(*by, known) if by else Window.partitionBy(known)  # a row for each test
-    order = within.orderBy(F.desc(p))
+    falling = within.orderBy(F.desc(p))
     rank = F.rank().over(within.orderBy(p)) + F.count("*").over(Window.partitionBy(*by, p)) - 1
     ranked = df.withColumn("__r", F.col(p) * F.count("*").over(within) / rank)
-    q = F.least(F.lit(1.0), F.min("__r").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    q = F.least(F.lit(1.0), F.min("__r").over(falling.rangeBetween(Window.unboundedPreceding, 0)))
     return ranked.withColumn(name, F.when(known, q)).drop("__r")
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, reference: str, by: Sequence[str] = ()) -> DataFrame:
     """u, z (tie-corrected, continuity-corrected) and Cohen's d (pooled variance of ddof 0) of each group against the reference."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     others = rows.where(F.col("g") != reference).select(*by, "g").distinct()
-    mine = rows.where(F.col("g") != reference).withColumn("side", F.lit(1))
+    mine = rows.where(F.col("g") != reference).select(*by, "g", "v", F.col("n").alias("one"), F.lit(0).cast("long").alias("zero"))
     base = rows.where(F.col("g") == reference).drop("g")
-    ref = (base.join(others, list(by)) if by else base.crossJoin(F.broadcast(others))).select(*by, "g", "v", F.lit(0).alias("side"))  # once for each other group
-    both = mine.select(*by, "g", "v", "side").unionByName(ref)
-    ranked = both.withColumns({"r": average_ranks(both, "v", [*by, "g"]), "t": F.count("*").over(Window.partitionBy(*by, "g", "v"))})
-    one, zero = F.col("side") == 1, F.col("side") == 0
+    ref = (base.join(others, list(by)) if by else base.crossJoin(F.broadcast(others))).select(*by, "g", "v", F.lit(0).cast("long").alias("one"), F.col("n").alias("zero"))  # counts, once for each other group
+    both = mine.unionByName(ref).groupBy(*by, "g", "v").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).withColumn("t", F.col("one") + F.col("zero"))
+    ranked = order.cumulative(both, [*by, "g"], ["v"], t="t").withColumn("r", F.col("t_before") + (F.col("t") + 1) / 2)
+    moment = lambda k, side: F.sum(F.pow("v", F.lit(float(k))) * F.col(side)) / F.nullif(F.sum(side), F.lit(0))
     s = ranked.groupBy(*by, "g").agg(
-        F.count_if(one).alias("n1"), F.count_if(zero).alias("n0"), F.sum(F.when(one, F.col("r"))).alias("r1"), F.sum(F.pow("t", 2) - 1).alias("ties"), F.avg(F.when(one, F.col("v"))).alias("m1"),
-        F.avg(F.when(zero, F.col("v"))).alias("m0"), F.var_pop(F.when(one, F.col("v"))).alias("v1"), F.var_pop(F.when(zero, F.col("v"))).alias("v0"),
+        F.sum("one").alias("n1"), F.sum("zero").alias("n0"), F.sum(F.col("r") * F.col("one")).alias("r1"), F.sum((F.pow("t", F.lit(2.0)) - 1) * F.col("t")).alias("ties"),
+        moment(1, "one").alias("m1"), moment(1, "zero").alias("m0"),
     )
+    # variances about the means, from the counts
+    about = order.beside(ranked, s.select(*by, "g", "m1", "m0"), [*by, "g"])
+    spread_ = lambda side, m: F.sum(F.pow(F.col("v") - F.col(m), F.lit(2.0)) * F.col(side)) / F.nullif(F.sum(side), F.lit(0))
+    s = order.beside(s, about.groupBy(*by, "g").agg(spread_("one", "m1").alias("v1"), spread_("zero", "m0").alias("v0")), [*by, "g"])
     n = F.col("n1") + F.col("n0")
     s = s.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     mu, sigma = F.col("n1") * F.col("n0") / 2, F.sqrt(F.col("n1") * F.col("n0") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.columns import base_of, padded_well, ratio
+from trackloom.functions.columns import base_of, padded_well, ratio, treatment_of
+from trackloom.operators import order
 from trackloom.operators.tracks import KEY, TIME
 
 
@@ -225,9 +226,9 @@ def robust_range(df: DataFrame, feature: str, by: Sequence[str] = (), sigmas: fl
 def clip_percentiles(df: DataFrame, features: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """feature, low, high and n_outside: rows outside the percentiles."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])).alias("x")).select("x.*")
-    edges = long.groupBy("feature").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("e"))
-    joined = long.join(F.broadcast(edges), "feature")  # one row for each feature
-    return joined.groupBy("feature").agg(F.first(F.get("e", 0)).alias("low"), F.first(F.get("e", 1)).alias("high"), F.count_if((F.col("value") < F.get("e", 0)) | (F.col("value") > F.get("e", 1))).alias("n_outside"))
+    edges = order.quantiles(long, "value", {"low": low, "high": high}, ["feature"])
+    joined = long.join(F.broadcast(edges), "feature", "left")  # one row for each feature
+    return joined.groupBy("feature").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("n_outside"))
 
 
 def feature_acf(df: DataFrame, feature: str, max_lag: int = 25) -> DataFrame:
@@ -237,12 +238,6 @@ def feature_acf(df: DataFrame, feature: str, max_lag: int = 25) -> DataFrame:
     return lags.agg(F.array(*[F.struct(F.lit(i).alias("lag"), F.corr("l0", f"l{i}").alias("acf")) for i in range(1, max_lag + 1)]).alias("x")).select(F.inline("x"))
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str]) -> Column:
-    """Column of the average rank of a value within its group."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def corr_matrix(df: DataFrame, features: Sequence[str], key: Sequence[str], method: str = "pearson") -> DataFrame:
     """a, b and corr of each pair of features (a < b) over rows that have both. key must identify rows.
 
@@ -250,12 +245,29 @@ def corr_matrix(df: DataFrame, features: Sequence[str], key: Sequence[str], meth
     """
     if method == "spearman":
         long = melt(df, key, features).where(F.col("value").isNotNull())
-        ranked = long.withColumn("value", average_ranks(long, "value", ["feature"]))
+        ranked = long.join(order.value_ranks(long, "value", ["feature"]), ["feature", "value"]).select(*key, "feature", F.col("rank").alias("value"))
         df = ranked.groupBy(*key).pivot("feature", list(features)).agg(F.first("value"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     return df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("x")).select(F.inline("x"))
 
 
+def corr_between(df: DataFrame, name: str, features: Sequence[str], method: str = "pearson") -> DataFrame:
+    """a, b, n and corr of each pair of rows (a < b by their name) over the features that both have; spearman: of their ranks within each row. Names must identify rows."""
+    long = melt(df, [name], features).where(F.col("value").isNotNull())
+    if method == "spearman":
+        long = long.join(order.value_ranks(long, "value", [name]), [name, "value"]).select(name, "feature", F.col("rank").alias("value"))
+    a = long.select(F.col(name).alias("a"), "feature", F.col("value").alias("x"))
+    b = long.select(F.col(name).alias("b"), "feature", F.col("value").alias("y"))
+    return a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+
+
+def treatments(df: DataFrame, column: str, overrides: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with treatment: what `overrides` (id, treatment) says of its id, else what the id itself says. The map is broadcast up to `most` ids, joined beyond."""
+    known = overrides.groupBy(F.col("id").alias("__id")).agg(F.min("treatment").alias("__known"))
+    joined = df.join(F.broadcast(known) if known.limit(most + 1).count() <= most else known, F.col(column) == F.col("__id"), "left")
+    return joined.withColumn("treatment", treatment_of(column, F.col("__known"))).drop("__id", "__known")
+
+
 def agreement_score(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """n, r2, mae, slope and intercept of b against a over pairs of both; null for fewer than 3 or without variance."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -275,10 +287,12 @@ def formula_rank(df: DataFrame, target: str, formulas: Mapping[str, Column]) ->
 
 def residual_stats(df: DataFrame, residual: str, by: Sequence[str] = (), threshold: float | None = None) -> DataFrame:
     """median, mean, p90 and p99, and the share of squared residuals under a threshold."""
-    out = [F.percentile(residual, 0.5).alias("median"), F.avg(residual).alias("mean"), F.percentile(residual, 0.9).alias("p90"), F.percentile(residual, 0.99).alias("p99")]
+    out = [F.avg(residual).alias("mean")]
     if threshold is not None:
         out.append(F.avg((F.pow(residual, 2) < threshold).cast("double")).alias("inlier_share"))
-    return df.groupBy(*by).agg(*out)
+    found = order.quantiles(df, residual, {"median": 0.5, "p90": 0.9, "p99": 0.99}, by)
+    stats = df.groupBy(*by).agg(*out)
+    return order.beside(stats, found, by, "left") if by else stats.join(F.broadcast(found), F.lit(True), "left")  # one row each
 
 
 def feature_agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -312,7 +326,8 @@ def standardize(df: DataFrame, features: Sequence[str], by: Sequence[str] = (),
 
 def normalised_intensity(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """norm: z-score with ddof 1 within groups, and the groups' q0.3, q0.7, mean and std."""
-    stats = df.groupBy(*by).agg(F.percentile(value, 0.3).alias("q30"), F.percentile(value, 0.7).alias("q70"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    stats = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    stats = order.beside(stats, order.quantiles(df, value, {"q30": 0.3, "q70": 0.7}, by), by, "left")
     return df.join(stats, list(by)).withColumn("norm", (F.col(value) - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)))
 
 

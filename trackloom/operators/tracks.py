@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.columns import ratio
+from trackloom.operators import order
 
 KEY = ("experiment", "parent")
 TIME = "time_index"
@@ -50,8 +51,8 @@ def length_report(df: DataFrame, n: int, key: Sequence[str] = KEY) -> DataFrame:
 
 def dedup_time(df: DataFrame, tiebreak: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
     """One row for each track and time: the first by the tiebreak."""
-    order = Window.partitionBy(*key, TIME).orderBy(*tiebreak)
-    return df.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    line = Window.partitionBy(*key, TIME).orderBy(*tiebreak)
+    return df.withColumn("__n", F.row_number().over(line)).where("__n = 1").drop("__n")
 
 
 def drop_report(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -62,8 +63,8 @@ def drop_report(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFram
 
 def sample_every(df: DataFrame, k: int, key: Sequence[str] = KEY) -> DataFrame:
     """Every k-th track in the order of its key, the first included."""
-    ids = df.select(*key).distinct().withColumn("__n", F.row_number().over(Window.orderBy(*key)))
-    return df.join(ids.where((F.col("__n") - 1) % k == 0).select(*key), list(key), "left_semi")
+    ids = order.cumulative(df.select(*key, F.lit(1).alias("__one")).distinct(), [], key, place="__one")
+    return df.join(ids.where(F.col("place_before") % k == 0).select(*key), list(key), "left_semi")
 
 
 def sample_tracks(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] = KEY) -> DataFrame:
@@ -161,6 +162,20 @@ def central_kinematics(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"),
     return out.withColumns({"central_speed": F.sqrt(sum((F.pow(f"cv_{a}", 2) for a in axes), F.lit(0.0))), "central_acceleration": F.lit(0.0)})
 
 
+def mean_speed_two_sided(df: DataFrame, max_gap: int = 1, axes: Sequence[str] = ("x_pos", "y_pos"), key: Sequence[str] = KEY) -> DataFrame:
+    """two_sided_speed: distance from the row before to the row after, per hour between them; null at the ends and where one of the gaps is larger than max_gap."""
+    w = over_track(key)
+    back, ahead = F.col(TIME) - F.lag(TIME).over(w), F.lead(TIME).over(w) - F.col(TIME)
+    hours = (back + ahead) * F.col("dt") / 60
+    distance = F.sqrt(sum((F.pow(F.lead(a).over(w) - F.lag(a).over(w), 2) for a in axes), F.lit(0.0)))
+    return df.withColumn("two_sided_speed", F.when((back <= max_gap) & (ahead <= max_gap), distance / hours))
+
+
+def track_order(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """df with position: its place (from 1) when all rows are sorted by key and time. (key, time) must identify rows; no task holds them all."""
+    return order.cumulative(df.withColumn("__one", F.lit(1).cast("long")), [], [*key, TIME], place="__one").withColumn("position", F.col("place_before") + 1).drop("__one", "place_before")
+
+
 def angles(df: DataFrame, axes: Sequence[str] = ("x_pos", "y_pos"), max_gap: int = 1, key: Sequence[str] = KEY) -> DataFrame:
     """angle of each step (three for three axes) and its change from the step before, which is not wrapped."""
     w = over_track(key)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.columns import flattened, ratio
+from trackloom.operators import order
 from trackloom.operators.tracks import KEY
 
 
@@ -74,9 +75,10 @@ def region_props(pixels: DataFrame, by: Sequence[str] = ("frame", "label"), axes
     i = F.col("intensity")
     s = pixels.groupBy(*by).agg(
         F.count("*").alias("n_pixels"), F.avg(y).alias("cy"), F.avg(x).alias("cx"), F.sum(i * F.col(y)).alias("__wy"), F.sum(i * F.col(x)).alias("__wx"), F.sum(i).alias("intensity_sum"), F.min(i).alias("intensity_min"),
-        F.max(i).alias("intensity_max"), F.avg(i).alias("intensity_mean"), F.percentile("intensity", 0.5).alias("intensity_median"), F.stddev_pop(i).alias("intensity_std"),
+        F.max(i).alias("intensity_max"), F.avg(i).alias("intensity_mean"), F.stddev_pop(i).alias("intensity_std"),
         F.var_samp(y).alias("__vy"), F.var_samp(x).alias("__vx"), F.covar_samp(y, x).alias("__c"),
     )
+    s = order.beside(s, order.quantiles(pixels, "intensity", {"intensity_median": 0.5}, by), by, "left")
     half, root = (F.col("__vy") + F.col("__vx")) / 2, F.sqrt(F.pow((F.col("__vy") - F.col("__vx")) / 2, 2) + F.pow("__c", 2))
     out = s.withColumns({
         "wy": F.coalesce(ratio("__wy", "intensity_sum"), F.col("cy")), "wx": F.coalesce(ratio("__wx", "intensity_sum"), F.col("cx")), "major_axis": 2 * F.sqrt(half + root), "minor_axis": 2 * F.sqrt(F.greatest(half - root, F.lit(0.0))),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import clusters as k
+from trackloom.operators import grouped, linkage
 from trackloom.operators import tables as j
 from trackloom.operators import vectors as v
 from trackloom.plans.registry import query
@@ -53,6 +54,47 @@ def hierarchy(df: DataFrame) -> DataFrame:
     return k.hierarchy(j.profile_matrix(df, ["area", "intensity", "x_pos"], ["experiment", "cha1_category"]), ["area", "intensity", "x_pos"], 4)
 
 
+CONDITIONS = ["area", "intensity", "x_pos", "y_pos"]
+
+
+def _profiles(df: DataFrame) -> DataFrame:
+    """Standardised means of each condition (experiment and a tenth of its tracks)."""
+    named = df.withColumn("name", F.concat_ws("|", "experiment", "cha1_category", (F.col("parent") % 10).cast("string")))
+    return j.profile_matrix(named, CONDITIONS, ["name"])
+
+
+@query("v_tracks")
+def ward_linkage(df: DataFrame) -> DataFrame:
+    return linkage.ward(_profiles(df), CONDITIONS, "name")
+
+
+@query("v_tracks")
+def ward_branches(df: DataFrame) -> DataFrame:
+    profiles = _profiles(df)
+    return linkage.branches(linkage.ward(profiles, CONDITIONS, "name"), profiles, "name", 4)
+
+
+@query("v_cells")
+def euclidean_sweep(df: DataFrame) -> DataFrame:
+    return k.euclidean_sweep(grouped.standardized(df.select(*K, *FEATURES), FEATURES, []), FEATURES, range(2, 7))
+
+
+@query("v_cells")
+def euclidean_sweep_by_group(df: DataFrame) -> DataFrame:
+    return k.euclidean_sweep(grouped.standardized(df.select(*K, *FEATURES), FEATURES, ["experiment"]), FEATURES, range(2, 6), ["experiment"])
+
+
+@query("embeddings", sql="""
+WITH e AS (SELECT vec_id, label % 3 AS c, embedding[1:4] AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.c AS own, b.c, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+r AS (SELECT vec_id, max(s / n) FILTER (WHERE c = own) AS a, min(s / n) FILTER (WHERE c <> own) AS b FROM d GROUP BY vec_id)
+SELECT 'cluster' AS labelling, count(*) AS n, avg((b - a) / greatest(a, b)) AS silhouette FROM r""", doubles="silhouette", digits=5)
+def silhouette_of_labels(df: DataFrame) -> DataFrame:
+    """Silhouette of a given labelling."""
+    rows = df.select((F.col("label") % 3).alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
+    return grouped.silhouettes(rows, ["e0", "e1", "e2", "e3"], ["cluster"])
+
+
 @query("v_tracks")
 def feature_selection(df: DataFrame) -> DataFrame:
     chosen = k.feature_selection(df, FEATURES, always=["area"])

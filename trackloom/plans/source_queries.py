@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.storage import new_folder
 from trackloom.plans.registry import query
 from trackloom.sources import io
 
@@ -69,6 +70,17 @@ def crosswalk_project(df: DataFrame) -> DataFrame:
     return io.crosswalk_project(df, targets, [*K, "time_index"])[0]
 
 
+@query("v_tracks", sql="""
+SELECT experiment, parent, time_index, sqrt(x_pos * x_pos + y_pos * y_pos) AS radius, CASE WHEN intensity > 30 THEN CASE WHEN area IS NOT NULL THEN least(greatest(intensity - area, -5), 20) END ELSE -abs(x_pos - y_pos) END AS bounded,
+  ln(area + 1) + exp(-intensity / 10) - power(x_pos, 1.5) % 7 AS mixed FROM v_tracks""", doubles="radius bounded mixed")
+def formula_project(df: DataFrame) -> DataFrame:
+    of = lambda text: io.formula(text, df.columns)
+    return df.select(
+        *K, "time_index", of('sqrt(COL("x_pos") ** 2 + `Y_POS` ** 2)').alias("radius"), of("where(intensity > 30, clip(intensity - area, -5, 20), -abs(x_pos - y_pos))").alias("bounded"),
+        of("log(area + 1) + exp(-intensity / 10) - x_pos ** 1.5 % 7").alias("mixed"),
+    )
+
+
 @query("v_tracks", sql="SELECT * FROM (VALUES ('a', 'copied'), ('b', 'missing volume'), ('c', 'formula'), ('d', 'not understood')) v(target, status)")
 def crosswalk_status(df: DataFrame) -> DataFrame:
     return io.crosswalk_project(df, [io.Target("a", source="area"), io.Target("b", source="volume"), io.Target("c", formula="area * 2"), io.Target("d", formula="area * (2")])[1]
@@ -110,3 +122,26 @@ SELECT parent, substr(experiment, 16, 3) AS well, CASE substr(experiment, 16, 1)
 def plate_layout(ids: DataFrame) -> DataFrame:
     layout = {"B": {c: ["METR", "GABY"] for c in range(2, 6)}, "C": {3: ["", "CON"]}}
     return io.plate_layout(ids.select("parent", F.substring("experiment", 16, 3).alias("well")), layout).select("parent", "well", "treatments")
+
+
+@query("v_tracks", sql="SELECT experiment, parent, time_index, l_orderkey, area FROM v_tracks", doubles="area", digits=9)
+def write_tracks(df: DataFrame) -> DataFrame:
+    """Written as a stored table, written again (which changes nothing), and read back."""
+    rows, path = df.select(*K, "time_index", "l_orderkey", "area"), new_folder(df, "tracks")
+    if not io.write_tracks(rows, path, "experiment") or io.write_tracks(rows, path, "experiment", "overwrite"):
+        raise ValueError("a first write must write, and a repeated one must not")
+    return io.read_tracks(df.sparkSession, path)
+
+
+@query("embeddings", sql="""
+SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN 'e' || label END AS experiment, CASE WHEN vec_id % 7 > 0 THEN CAST(vec_id AS VARCHAR) END AS parent, CASE WHEN vec_id % 7 > 0 THEN len(embedding) END AS n_values,
+  CASE WHEN vec_id % 7 > 0 THEN list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) END AS total, CASE WHEN vec_id % 7 > 0 THEN CAST(label AS DOUBLE) END AS label, vec_id % 7 = 0 AS corrupt FROM embeddings""", doubles="total label", digits=5)
+def embedding_records(embeddings: DataFrame) -> DataFrame:
+    """Rows written as JSON lines, some of them broken, and read back."""
+    vectors = F.create_map(F.lit("vector"), F.col("embedding").cast("array<double>"), F.lit("label"), F.array(F.col("label").cast("double")))
+    rows = embeddings.select("vec_id", F.concat(F.lit("e"), F.col("label")).alias("experiment"), F.col("vec_id").alias("parent"), vectors.alias("vectors"))
+    made = io.record_lines(rows, K, keep=["vec_id"])
+    broken = F.when(F.col("vec_id") % 14 == 0, F.expr("left(value, length(value) - 3)")).when(F.col("vec_id") % 7 == 0, F.replace(F.col("value"), F.lit('"vector":['), F.lit('"vector":["x",'))).otherwise(F.col("value"))
+    read = io.parse_records(made.withColumn("value", broken), K)
+    total = F.aggregate(F.element_at("vectors", F.lit("vector")), F.lit(0.0), lambda a, x: a + x)
+    return read.select("vec_id", *K, F.size(F.element_at("vectors", F.lit("vector"))).cast("long").alias("n_values"), total.alias("total"), F.get(F.element_at("vectors", F.lit("label")), F.lit(0)).alias("label"), F.col("corrupt").isNotNull().alias("corrupt"))

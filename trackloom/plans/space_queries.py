@@ -123,11 +123,18 @@ def greedy_match(df: DataFrame) -> DataFrame:
     return s.greedy_match(_objects(df, 0.0), _objects(df, 4.0), 60.0, ["experiment", "time_index"])
 
 
-@query("v_cells")
+#: All move alike, so no assignment has a smaller total than each with itself.
+@query("v_cells", sql="SELECT experiment, parent AS a, parent AS b, 1.5 AS distance FROM v_cells", doubles="distance")
 def assign_tracks(df: DataFrame) -> DataFrame:
     return s.assign_tracks(df, df.withColumn("x_pos", F.col("x_pos") + 1.5), 200.0, ["experiment"])
 
 
+@query("v_cells", sql="SELECT experiment, parent AS a, parent AS b, 65.0 AS distance FROM v_cells", doubles="distance")
+def assign_tracks_far(df: DataFrame) -> DataFrame:
+    """Most have another one nearer than their own."""
+    return s.assign_tracks(df, df.withColumns({"x_pos": F.col("x_pos") + 25, "y_pos": F.col("y_pos") - 60}), 400.0, ["experiment"])
+
+
 @query("v_a", "v_b", sql="""
 WITH m AS (SELECT a.experiment, a.parent AS a, b.parent + 1 AS b FROM v_a a JOIN v_b b USING (experiment, parent))
 SELECT v_a.experiment, m.b AS parent, v_a.area FROM v_a JOIN m ON v_a.experiment = m.experiment AND v_a.parent = m.a""", doubles="area")

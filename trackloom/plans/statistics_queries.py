@@ -9,6 +9,7 @@ from trackloom.functions import tails
 from trackloom.operators import statistics as s
 from trackloom.operators import tables as j
 from trackloom.plans.registry import query
+from trackloom.plans.table_queries import MEANS, conditions
 
 LONG = "l AS (SELECT experiment, cluster, 'area' AS feature, area AS value FROM v_cells UNION ALL SELECT experiment, cluster, 'intensity', intensity FROM v_cells)"
 ANOVA = """
@@ -21,6 +22,11 @@ def _long(cells: DataFrame) -> DataFrame:
     return j.melt(cells, ["experiment", "parent", "cluster"], ["area", "intensity"])
 
 
+@query("v_tracks")
+def corr_treatments_with_p(df: DataFrame) -> DataFrame:
+    return s.corr_tests(j.corr_between(conditions(df), "name", MEANS))
+
+
 @query("v_tracks", sql="""
 WITH c AS (SELECT experiment, cha1_category, count(*) AS n FROM v_tracks GROUP BY ALL), r AS (SELECT experiment, sum(n) AS r FROM c GROUP BY ALL), k AS (SELECT cha1_category, sum(n) AS k FROM c GROUP BY ALL), t AS (SELECT sum(n) AS t FROM c),
 x AS (SELECT coalesce(n, 0) AS n, r * k / t AS e, t FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c USING (experiment, cha1_category)),

@@ -213,6 +213,37 @@ def corr_matrix_spearman(df: DataFrame) -> DataFrame:
     return j.corr_matrix(df, ["area", "n_frames"], K, "spearman")
 
 
+#: Means of conditions, and their features as rows.
+_CONDITIONS = """
+p AS (SELECT experiment || '|' || cha1_category AS name, avg(area) AS area, avg(intensity) AS intensity, avg(x_pos) AS x_pos, avg(y_pos) AS y_pos, avg(cha1_norm) AS cha1_norm FROM v_tracks GROUP BY ALL),
+l AS (SELECT name, feature, value FROM p UNPIVOT (value FOR feature IN (area, intensity, x_pos, y_pos, cha1_norm)))"""
+MEANS = ["area", "intensity", "x_pos", "y_pos", "cha1_norm"]
+
+
+def conditions(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.concat_ws("|", "experiment", "cha1_category").alias("name")).agg(*[F.avg(x).alias(x) for x in MEANS])
+
+
+@query("v_tracks", sql=f"WITH {_CONDITIONS} SELECT a.name AS a, b.name AS b, count(*) AS n, corr(a.value, b.value) AS corr FROM l a JOIN l b ON a.feature = b.feature AND a.name < b.name GROUP BY 1, 2", doubles="corr")
+def corr_treatments(df: DataFrame) -> DataFrame:
+    return j.corr_between(conditions(df), "name", MEANS)
+
+
+@query("v_tracks", sql=f"""
+WITH {_CONDITIONS}, r AS (SELECT name, feature, rank() OVER (PARTITION BY name ORDER BY value) + (count(*) OVER (PARTITION BY name, value) - 1) / 2 AS value FROM l)
+SELECT a.name AS a, b.name AS b, count(*) AS n, corr(a.value, b.value) AS corr FROM r a JOIN r b ON a.feature = b.feature AND a.name < b.name GROUP BY 1, 2""", doubles="corr")
+def corr_treatments_spearman(df: DataFrame) -> DataFrame:
+    return j.corr_between(conditions(df), "name", MEANS, "spearman")
+
+
+@query("v_ids", sql="SELECT parent, CASE WHEN parent % 3 = 0 THEN 'T' || (parent % 2) ELSE split_part(substr(experiment, 23), 'NOCO', 1) END AS treatment FROM v_ids")
+def treatment_overrides(ids: DataFrame) -> DataFrame:
+    """Ids that a map names, beside ids that speak for themselves."""
+    own = ids.withColumn("experiment", F.when(F.col("parent") % 3 == 0, F.concat("experiment", F.col("parent").cast("string"))).otherwise(F.col("experiment")))
+    known = own.where("parent % 3 = 0").select(F.col("experiment").alias("id"), F.concat(F.lit("T"), (F.col("parent") % 2).cast("string")).alias("treatment"))
+    return j.treatments(own, "experiment", known).select("parent", "treatment")
+
+
 _SCORE = "count(*) AS n, regr_r2(y, x) AS r2, avg(abs(y - x)) AS mae, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept"
 
 

@@ -146,6 +146,18 @@ def central_kinematics(df: DataFrame) -> DataFrame:
     return t.central_kinematics(df).select("experiment", "parent", "time_index", "cv_x_pos", "cv_y_pos", "central_speed", "central_acceleration")
 
 
+@query("v_tracks", sql=f"""
+WITH g AS (SELECT experiment, parent, time_index, dt, time_index - lag(time_index) OVER w AS b, lead(time_index) OVER w - time_index AS a, lead(x_pos) OVER w - lag(x_pos) OVER w AS dx, lead(y_pos) OVER w - lag(y_pos) OVER w AS dy FROM v_tracks WINDOW w AS ({W}))
+SELECT experiment, parent, time_index, CASE WHEN a <= 1 AND b <= 1 THEN sqrt(dx * dx + dy * dy) / ((a + b) * dt / 60) END AS two_sided_speed FROM g""", doubles="two_sided_speed")
+def mean_speed_two_sided(df: DataFrame) -> DataFrame:
+    return t.mean_speed_two_sided(df).select("experiment", "parent", "time_index", "two_sided_speed")
+
+
+@query("v_tracks", sql="SELECT experiment, parent, time_index, row_number() OVER (ORDER BY experiment, parent, time_index) AS position FROM v_tracks")
+def track_order(df: DataFrame) -> DataFrame:
+    return t.track_order(df).select("experiment", "parent", "time_index", "position")
+
+
 @query("v_tracks", sql=f"""
 WITH a AS (SELECT experiment, parent, time_index, CASE WHEN time_index - lag(time_index) OVER w <= 1 THEN atan2(y_pos - lag(y_pos) OVER w, x_pos - lag(x_pos) OVER w) END AS angle FROM v_tracks WINDOW w AS ({W}))
 SELECT *, angle - lag(angle) OVER ({W}) AS angle_change FROM a""", doubles="angle angle_change")

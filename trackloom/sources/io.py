@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import json
 import operator
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.functions.columns import finite
+from trackloom.operators import order
 
 #: Fixed: the key columns of a track table and their types; every other column is a feature.
 TRACK_KEYS = {"Experiment": T.StringType(), "Parent": T.StringType(), "TimeIndex": T.IntegerType(), "dt": T.DoubleType(), "ID": T.LongType()}
@@ -67,15 +70,128 @@ def well_map(df: DataFrame, names: DataFrame, column: str, most: int = 100_000)
     return joined.withColumn(column, F.coalesce("full", column)).drop("short", "full")
 
 
-def write_tracks(df: DataFrame, path: str, by: str = "Experiment", mode: str = "errorifexists") -> None:
-    """Parquet with a folder for each experiment; rows of one are brought together first, in several files where it is large."""
-    df.repartition(F.col(by), F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(4))).write.mode(mode).partitionBy(by).parquet(path)
+# ---- stored tables -----------------------------------------------------------------------------------------------------------
+#
+# A stored table is a folder of versions, each written once, and a folder of numbered manifests. The table is what its last manifest names: a
+# version is there as a whole or not at all, and of two writers of the same number one fails.
+
+#: Bytes that a file of a stored table should have, before compression.
+FILE_BYTES = 256_000_000
+#: Bytes of a value, and of one of any other type.
+WIDTHS, LOOSE = {"double": 8, "long": 8, "integer": 4, "float": 4, "boolean": 1, "date": 4, "timestamp": 8}, 32
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function from names to its paths."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark._jsc.hadoopConfiguration()), lambda *names: p("/".join([path, *names]))
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """The number of the last manifest (0: none) and what it says."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at("manifests")):
+        return 0, None
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at("manifests")))
+    if not names:
+        return 0, None
+    stream = fs.open(at("manifests", names[-1]))
+    try:
+        return int(names[-1].split(".")[0]), json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _contents(df: DataFrame) -> dict:
+    """What tells tables apart: number of rows and a sum of their hashes, whatever their order."""
+    columns = sorted(df.columns)
+    row = df.select(F.count("*").alias("rows"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)")).alias("hash")).first()
+    return {"rows": row["rows"], "hash": str(row["hash"]), "columns": [f"{c} {df.schema[c].dataType.simpleString()}" for c in columns]}
+
+
+def write_tracks(df: DataFrame, path: str, by: str = "Experiment", mode: str = "errorifexists", file_bytes: int = FILE_BYTES) -> bool:
+    """df as a stored table with a folder for each value of `by`, in as many files as its rows ask for. False: the table holds these rows already, and nothing is written.
+
+    mode: errorifexists, or overwrite, which adds a version and makes it the table. A writer that is lost leaves a version that no manifest names.
+    An empty string in `by` is read back as null, as it has no folder of its own.
+    """
+    spark = df.sparkSession
+    number, last = _manifest(spark, path)
+    contents = _contents(df)
+    if last is not None and {k: last[k] for k in contents} == contents and last["by"] == by:
+        return False
+    if last is not None and mode != "overwrite":
+        raise ValueError(f"{path} holds another table")
+    width = sum(WIDTHS.get(f.dataType.typeName(), LOOSE) for f in df.schema)
+    sizes = df.groupBy(by).agg(F.ceil(F.count("*") * width / file_bytes).alias("__files"))
+    spread = order.beside(df, sizes if sizes.limit(100_001).count() > 100_000 else F.broadcast(sizes), [by])
+    version = uuid.uuid4().hex
+    rows = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != by])
+    spread.withColumn("__file", F.pmod(rows, F.col("__files"))).repartition(by, "__file").drop("__file", "__files").write.option("maxRecordsPerFile", max(1, file_bytes // width)).partitionBy(by).parquet(f"{path}/versions/{version}")
+    fs, at = _files(spark, path)
+    stream = fs.create(at("manifests", f"{number + 1:012d}.json"), False)  # fails if another writer was first
+    try:
+        stream.write(bytearray(json.dumps({**contents, "by": by, "type": df.schema[by].dataType.simpleString(), "version": version}).encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table as its last manifest names it."""
+    _, last = _manifest(spark, path)
+    if last is None:
+        raise ValueError(f"no table is stored in {path}")
+    kinds = dict(c.rsplit(" ", 1) for c in last["columns"])
+    df = spark.read.schema(", ".join(f"`{c}` {t}" for c, t in kinds.items())).parquet(f"{path}/versions/{last['version']}")
+    return df.withColumn(last["by"], F.col(last["by"]).cast(last["type"]))
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Versions that the last manifest does not name go, those of lost writers too; how many there were. Not for use while others read or write."""
+    _, last = _manifest(spark, path)
+    fs, at = _files(spark, path)
+    old = [x.getPath() for x in fs.listStatus(at("versions")) if last is None or x.getPath().getName() != last["version"]]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
+# ---- records -----------------------------------------------------------------------------------------------------------------
 
 
 def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def record_lines(df: DataFrame, keys: Sequence[str] = ("Experiment", "Parent"), vectors: str = "vectors", keep: Sequence[str] = ()) -> DataFrame:
+    """value (beside the columns `keep`): one JSON object for each row, of its keys and of the lists in a map column, side by side as in an embedding file."""
+    head, body = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), F.to_json(F.coalesce(vectors, F.create_map().cast("map<string,array<double>>")))
+    return df.select(*keep, F.when(body == "{}", head).otherwise(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substr(body, F.lit(2)))).alias("value"))
+
+
+def parse_records(lines: DataFrame, keys: Sequence[str] = ("Experiment", "Parent"), line: str = "value") -> DataFrame:
+    """lines with their keys (strings), vectors (map of name to list of doubles) and corrupt: the line itself where it is no object, lacks a key or holds anything but lists of numbers beside the keys.
+
+    A corrupt line has null keys and vectors. Blank lines go.
+    """
+    parsed = lines.where(F.col(line).isNotNull() & (F.trim(line) != "")).withColumn("__m", F.from_json(line, "map<string,string>"))
+    named = F.array(*[F.lit(k) for k in keys])
+    lists = F.transform_values(F.map_filter("__m", lambda k, v: ~F.array_contains(named, k)), lambda k, v: F.from_json(v, "array<double>"))
+    read = parsed.withColumn("__v", lists)
+    whole = F.coalesce(F.forall(F.map_values("__v"), lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull())) & F.forall(named, lambda k: F.element_at("__m", k).isNotNull()), F.lit(False))
+    rest = [c for c in lines.columns if c != line]
+    return read.select(*rest, *[F.when(whole, F.element_at("__m", F.lit(k))).alias(k) for k in keys], F.when(whole, F.col("__v")).alias("vectors"), F.when(~whole, F.col(line)).alias("corrupt"))
+
+
+def read_records(spark: SparkSession, path: str | Sequence[str], keys: Sequence[str] = ("Experiment", "Parent"), array: bool = False) -> DataFrame:
+    """parse_records of files with one object in each line; array: of files that hold one list of objects each (read whole, a file by a task)."""
+    if not array:
+        return parse_records(spark.read.text(path), keys)
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+    return parse_records(whole, keys)
+
+
 # ---- sheets ------------------------------------------------------------------------------------------------------------------
 
 
@@ -106,12 +222,12 @@ def repair_duplicate_ids(sheets: DataFrame, reference: str) -> DataFrame:
 
     Keys of the reference sheet are numbered first, keys that only others have come after.
     """
-    order = Window.partitionBy("sheet", "parent", "time").orderBy("id", "value")
-    placed = sheets.withColumn("occurrence", F.row_number().over(order))
+    line = Window.partitionBy("sheet", "parent", "time").orderBy("id", "value")
+    placed = sheets.withColumn("occurrence", F.row_number().over(line))
     keys = placed.groupBy("parent", "time", "occurrence").agg(F.min((F.col("sheet") != reference).cast("int")).alias("late"))
     # numbers that are dense over all keys: counts before each (late, parent), then places within
     per = keys.groupBy("late", "parent").agg(F.count("*").alias("n"))
-    before = per.select("late", "parent", (F.sum("n").over(Window.orderBy("late", "parent")) - F.col("n")).alias("before"))  # a row for each track
+    before = order.cumulative(per, [], ["late", "parent"], n="n").select("late", "parent", F.col("n_before").alias("before"))
     within = F.row_number().over(Window.partitionBy("late", "parent").orderBy("time", "occurrence"))
     numbered = keys.withColumn("place", within).join(before, ["late", "parent"]).select("parent", "time", "occurrence", (F.col("before") + F.col("place")).alias("new_id"))
     return placed.join(numbered, ["parent", "time", "occurrence"]).drop("occurrence")
@@ -143,7 +259,7 @@ _BINARY = {
     ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Pow: F.pow, ast.Div: lambda a, b: a / F.nullif(b, F.lit(0.0)), ast.Mod: lambda a, b: a % F.nullif(b, F.lit(0.0)),
     ast.Lt: operator.lt, ast.Gt: operator.gt, ast.LtE: operator.le, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne,
 }
-_FUNCTIONS = {"sqrt": F.sqrt, "log": F.ln, "exp": F.exp, "abs": F.abs, "clip": lambda x, low, high: F.greatest(F.least(x, high), low), "where": lambda c, a, b: F.when(c, a).otherwise(b)}
+_FUNCTIONS = {"sqrt": F.sqrt, "log": F.ln, "exp": F.exp, "abs": F.abs, "clip": lambda x, low, high: F.when(x.isNotNull(), F.greatest(F.least(x, high), low)), "where": lambda c, a, b: F.when(c, a).otherwise(b)}
 
 
 def formula(text: str, columns: Sequence[str]) -> Column:
