@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from trackloom.llm import credentials as c
 
@@ -81,6 +82,32 @@ def test_long_secrets_whole(spark):
     assert [s[0] for s in c.weak("HOST=db.example.com Server: x.example.com hosT=abc", [])] == ["endpoint"] * 3
 
 
+def test_weak_spans_over_sure_ones(spark):
+    """A weak secret that holds or touches a sure span is reported and removed whole; the base spans stay."""
+    k = "0123456789abcdef0123456789abcdef01234567"
+    mixed = "Zz9Qq8Xx7Ww6" + k + "Kk3Ll4Mm5Nn6Oo7"
+    texts = {
+        1: f"user: alice pwd=Zz9Qq8Xx7Ww6-{k}-Kk3Ll4Mm5Nn6Oo7", 2: f"{K} {mixed} end", 3: "login=bob pass: abcpassword=hunter2secretZZZ", 4: "user=al token=abcdefghi-jk", 5: "user=bob verylongschemename.and-more+x://host/path pin=12345",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in c.redact(docs).collect()}
+    assert got == {1: "<identifier> <weak_secret>", 2: "<access> <weak_secret> end", 3: "<identifier> <weak_secret>", 4: "user=al <assign>", 5: "<identifier> <endpoint> <weak_secret>"}
+    for r in c.query(docs).collect():
+        b = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(b).encode()).hexdigest() and set(b) <= set(r.spans.split(","))
+    assert c.redact(docs.limit(0)).count() == 0 == c.query(docs.limit(0)).count()
+
+
+def test_spans_of_long_texts_in_linear_time():
+    began = time.time()
+    assert len(c.weak("user=abc1 " * 200_000, [])) == 200_000
+    many = "user=abc1 password=abcdefgh " * 50_000
+    assert len(c.weak(many, c.sure(many))) == 50_000
+    for text in ("a" * 1_000_000, "a." * 500_000, "user" + " " * 1_000_000, "1" * 1_000_000 + "://", "host " * 200_000 + "://x"):
+        c.weak(text, c.sure(text))
+    assert time.time() - began < 20
+
+
 def test_clashing_columns_and_many_spans(spark):
     long = " ".join(["password=abcdefgh é"] * 4000)
     docs = spark.createDataFrame([(1, "token=abcdefgh", "k", "s", "f"), (2, long, "k", "s", "f")], "doc_id long, text string, span_key string, spans_found string, `__key` string")

@@ -25,6 +25,8 @@ from trackloom.llm.shared import in_batches, kept, key_of, slices, small, texts_
 
 #: The order of kinds that begin at the same place.
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
+#: Kinds that are sure.
+SURE = 3
 #: Fixed patterns of the sure kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_HINT = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -35,7 +37,7 @@ IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name|_?id)?|login|accoun
 IDENTIFIER_HINT = ("user", "login", "account", "client", "key")
 PHRASE = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:phrase|code)?|pwd|pin)["']?\x20*[:=]\x20*["']?([^\s"']{4,})""", re.IGNORECASE | re.ASCII)
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z0-9])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{2,}""", re.ASCII)
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]{3,}|(?<![A-Za-z0-9])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{2,}""", re.ASCII)
 ENDPOINT_HINT = ("://", "host", "endpoint", "server")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -62,7 +64,7 @@ def sure(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of weak identifiers, secrets and endpoints outside the sure spans. Without any complement in the text, secrets are not looked for."""
+    """Spans of weak identifiers, secrets and endpoints but those that lie within another span; ones that only overlap stay. Without any complement in the text, secrets are not looked for."""
     lower = text.lower()
     out = []
     if any(h in lower for h in IDENTIFIER_HINT):
@@ -72,12 +74,11 @@ def weak(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, i
     if out or any(k == "access" for k, _, _ in found):
         out += [("weak_secret", *m.span()) for m in PHRASE.finditer(text)]
         out += [("weak_secret", *m.span()) for m in MIXED.finditer(text) if _random_looking(m[0])]
-    known: list[tuple[int, int]] = sorted((a, b) for _, a, b in found)
-    clear = []
-    for kind, a, b in sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), -s[2])):
-        if all(b <= x or a >= y for x, y in known):
-            clear.append((kind, a, b))
-            known.append((a, b))
+    clear, reached = [], 0
+    for a, b, rank in sorted((a, -b, KINDS.index(kind)) for kind, a, b in {*found, *out}):
+        if -b > reached and rank >= SURE:
+            clear.append((KINDS[rank], a, -b))
+        reached = max(reached, -b)
     return clear
 
 
