@@ -64,11 +64,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over documents."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for _, stage in STAGES:
-        folder = new_folder(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
-        if before:
-            remove(spark, before)  # the next stage's documents are written
-        before = folder
+    records = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for _, stage in STAGES:
+            folder = new_folder(spark, "stage")
+            stage(spark, docs, sf_dir).write.parquet(folder)
+            docs = spark.read.parquet(folder)
+            if before:
+                remove(spark, before)  # the next stage's documents are written
+            before = folder
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)  # other queries of the session keep theirs
     return docs
