@@ -84,5 +84,5 @@ def test_group_cv(spark):
     df = spark.createDataFrame(rows, "g string, x double, noise double, still double, c string").withColumn("label", F.substring("c", 2, 1).cast("int")).repartition(3)
     folds = clusters._balanced_folds(df, "g", 4).groupBy("g").agg(F.countDistinct("fold").alias("n"), F.first("fold").alias("fold"), F.count("*").alias("rows")).collect()
     assert all(r.n == 1 for r in folds) and len({r.fold for r in folds}) == 4 and len(folds) == 11
-    got = clusters.group_cv(df.withColumn("l", F.col("label")), ["x", "noise", "still"], "l", "g", 4, reg=0.01).collect()
+    got = clusters.group_cv(df.withColumn("l", F.col("label")), ["x", "noise", "still"], "l", "g", 4, reg=0.01, steps=30).collect()
     assert len(got) == 4 and sum(r.n for r in got) == 600 and min(r.balanced_accuracy for r in got) > 0.9

@@ -66,16 +66,16 @@ def test_groups_are_matched_apart(spark):
 
 def test_auction_over_all_tasks_is_as_good(spark):
     """The same edges with no unit small enough for a task."""
-    edges = random_edges(random.Random(6), 4, 5, 0.6) + [(10, "z", 3.0)]
+    edges = random_edges(random.Random(6), 3, 3, 0.8) + [(10, "z", 3.0)]
     df = spark.createDataFrame(edges, "a long, b string, distance double").coalesce(1)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     try:
-        rows = m.optimal_match(df, [], most_cells=0, epsilon=0.05).collect()
+        rows = m.optimal_match(df, [], most_cells=0, epsilon=0.2).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     n, total = best(edges)
     assert len(rows) == n == len({r.a for r in rows}) == len({r.b for r in rows})
-    assert total - 1e-9 <= sum(r.distance for r in rows) <= total + 0.05 * 11
+    assert total - 1e-9 <= sum(r.distance for r in rows) <= total + 0.2 * 8
     assert {(r.a, r.b, r.distance) for r in rows} <= set(edges)
 
 

@@ -53,6 +53,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in doubles(df)})
 
 
+def significant(df: DataFrame, digits: int = 11) -> DataFrame:
+    """All doubles rounded to so many significant digits, whatever their size."""
+
+    def cut(c: Column) -> Column:
+        scale = F.pow(F.lit(10.0), F.floor(F.log10(F.nullif(F.abs(c), F.lit(0.0)))))
+        return F.when(c == 0, 0.0).otherwise(F.round(c / scale, digits - 1) * scale)
+
+    return df.withColumns({c: cut(F.col(c).cast("double")) for c in doubles(df)})
+
+
 # ---- ids ---------------------------------------------------------------------------------------------------------------------
 
 

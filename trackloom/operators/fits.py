@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import tails
 from trackloom.functions.columns import padded, ratio, signed_log
+from trackloom.operators.tables import melt
 from trackloom.operators.tracks import KEY, TIME, densify
 
 # ---- linear family -----------------------------------------------------------------------------------------------------------
@@ -40,27 +41,31 @@ def fit_linear_family(long: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     sums = power_sums(long, 4, key)
     names = [*key, "feature"]
 
+    def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least-norm solutions of a stack of symmetric systems."""
+        return (np.linalg.pinv(a, rcond=np.finfo(float).eps * a.shape[-1], hermitian=True) @ b[:, :, None])[:, :, 0] if len(a) else b
+
     def solve(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                n, total = r["n"], r["yy"]
-                s = [n, *[r[f"s{i}"] for i in range(1, 9)]]
-                t = [r[f"t{i}"] for i in range(5)]
-                fits = {}
-                for model, d in DEGREES.items():
-                    if n > d + 1:
-                        a = np.array([[s[i + j] for j in range(d + 1)] for i in range(d + 1)])
-                        w, *_ = np.linalg.lstsq(a, np.array(t[: d + 1]), rcond=None)
-                        fits[model] = (d + 1, [float(c) / r["span"] ** i + (r["m"] if i == 0 else 0.0) for i, c in enumerate(w)], r["yy"] - float(w @ t[: d + 1]))
-                if n > 2:
-                    a, b = np.array([[r["l2"], r["l1"]], [r["l1"], n]]), np.array([r["ly"], t[0]])
-                    w, *_ = np.linalg.lstsq(a, b, rcond=None)
-                    fits["log"] = (2, [float(w[0]), float(w[1]) + r["m"]], r["yy"] - float(w @ b))
-                for model, (k, params, rss) in fits.items():
-                    rss = max(0.0, rss)
-                    rows.append({**{c: r[c] for c in names}, "model": model, "n": n, "k": k, "r2": 1 - rss / total if total > 1e-12 else None, "rmse": (rss / n) ** 0.5, "rss": rss, "range": r["range"], "params": params})
-            yield pd.DataFrame(rows, columns=[*names, "model", "n", "k", "r2", "rmse", "rss", "range", "params"])
+            column = lambda c: pdf[c].to_numpy(float)  # noqa: B023, E731
+            n, total, span, mean = (column(c) for c in ("n", "yy", "span", "m"))
+            s, t = np.stack([n, *[column(f"s{i}") for i in range(1, 9)]], axis=1), np.stack([column(f"t{i}") for i in range(5)], axis=1)
+            parts = []
+
+            def add(model: str, k: int, ok: np.ndarray, a: np.ndarray, b: np.ndarray, to_params) -> None:
+                w = least(a, b)
+                rss = np.maximum(0.0, total[ok] - (w * b).sum(axis=1))  # noqa: B023
+                r2 = np.where(total[ok] > 1e-12, 1 - rss / np.where(total[ok] > 1e-12, total[ok], 1.0), np.nan)  # noqa: B023
+                parts.append(pdf.loc[ok, names].assign(model=model, n=pdf.loc[ok, "n"], k=k, r2=r2, rmse=np.sqrt(rss / n[ok]), rss=rss, range=pdf.loc[ok, "range"], params=list(to_params(w))))  # noqa: B023
+
+            for model, d in DEGREES.items():
+                ok = n > d + 1
+                powers = np.arange(d + 1)
+                add(model, d + 1, ok, s[ok][:, np.add.outer(powers, powers)], t[ok, : d + 1], lambda w, ok=ok, powers=powers: w / span[ok, None] ** powers + np.where(powers == 0, mean[ok, None], 0.0))  # noqa: B023
+            ok = n > 2
+            l1, l2 = column("l1")[ok], column("l2")[ok]
+            add("log", 2, ok, np.stack([np.stack([l2, l1], axis=1), np.stack([l1, n[ok]], axis=1)], axis=1), np.stack([column("ly")[ok], t[ok, 0]], axis=1), lambda w, ok=ok: w + np.stack([np.zeros(ok.sum()), mean[ok]], axis=1))  # noqa: B023
+            yield pd.concat(parts)
 
     kinds = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in names)
     return sums.mapInPandas(solve, f"{kinds}, model string, n long, k long, r2 double, rmse double, rss double, range double, params array<double>")
@@ -225,24 +230,29 @@ def predicted(model: str, params: str, t: str):
 
 
 def impute(df: DataFrame, fits: DataFrame, feature: str, key: Sequence[str] = KEY) -> DataFrame:
-    """A dense grid with the feature's gaps filled inside its first and last value: by the track's best model, else linearly. Nothing outside.
+    """impute_all of one feature, its values under its own name."""
+    return impute_all(df, fits, [feature], key).select(*key, TIME, "filled", F.col("value").alias(feature))
+
+
+def impute_all(df: DataFrame, fits: DataFrame, features: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
+    """key, time, feature, value, filled: a dense grid with each feature's gaps filled inside its first and last value: by the track's best model, else linearly. Nothing outside.
 
-    filled: observed, model, line, or null where it stays empty; tracks with fewer than two values are left as they are.
+    filled: observed, model, line, or null where it stays empty; tracks with fewer than two values are left as they are. All features take one pass.
     """
-    best = nrmse_select(fits.where(F.col("feature") == feature), 1, key=key).select(*key, "model", "params")
-    dense = densify(df.select(*key, TIME, feature), key).join(best, list(key), "left")
-    w = Window.partitionBy(*key).orderBy(TIME)
+    best = nrmse_select(fits.where(F.col("feature").isin(*features)), 1, key=key).select(*key, "feature", "model", "params")
+    dense = melt(densify(df.select(*key, TIME, *features), key), [*key, TIME], features).join(best, [*key, "feature"], "left")
+    w = Window.partitionBy(*key, "feature").orderBy(TIME)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(feature).isNotNull(), F.col(TIME))
-    whole = Window.partitionBy(*key)
-    marked = dense.withColumns({"__first": F.min(at).over(whole), "__n": F.count(feature).over(whole), "__t0": F.last(at, True).over(back), "__t1": F.first(at, True).over(ahead), "__v0": F.last(feature, True).over(back), "__v1": F.first(feature, True).over(ahead)})
+    known = F.col("value").isNotNull()
+    at = F.when(known, F.col(TIME))
+    whole = Window.partitionBy(*key, "feature")
+    marked = dense.withColumns({"__first": F.min(at).over(whole), "__n": F.count("value").over(whole), "__t0": F.last(at, True).over(back), "__t1": F.first(at, True).over(ahead), "__v0": F.last("value", True).over(back), "__v1": F.first("value", True).over(ahead)})
     marked = marked.withColumn("__t", F.col(TIME) - F.col("__first"))
     inside = (F.col("__n") >= 2) & F.col("__t0").isNotNull() & F.col("__t1").isNotNull()
     curve = predicted("model", "params", "__t")
     line = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * (F.col(TIME) - F.col("__t0")) / F.nullif(F.col("__t1") - F.col("__t0"), F.lit(0))
-    filled = F.when(F.col(feature).isNotNull(), "observed").when(inside & curve.isNotNull(), "model").when(inside, "line")
-    value = F.when(F.col(feature).isNotNull(), F.col(feature)).when(inside, F.coalesce(curve, line))
-    return marked.select(*key, TIME, filled.alias("filled"), value.alias(feature))
+    filled = F.when(known, "observed").when(inside & curve.isNotNull(), "model").when(inside, "line")
+    return marked.select(*key, TIME, "feature", F.when(known, F.col("value")).when(inside, F.coalesce(curve, line)).alias("value"), filled.alias("filled"))
 
 
 def impute_log(imputed: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

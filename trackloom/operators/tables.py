@@ -235,7 +235,13 @@ def feature_acf(df: DataFrame, feature: str, max_lag: int = 25) -> DataFrame:
     """lag and acf: correlation of the per-time mean with itself so many rows before."""
     means = df.groupBy(TIME).agg(F.avg(feature).alias("m"))
     lags = means.select(*[F.lag("m", i).over(Window.orderBy(TIME)).alias(f"l{i}") for i in range(max_lag + 1)])  # a row for each frame number
-    return lags.agg(F.array(*[F.struct(F.lit(i).alias("lag"), F.corr("l0", f"l{i}").alias("acf")) for i in range(1, max_lag + 1)]).alias("x")).select(F.inline("x"))
+    return lags.agg(F.array(*[F.struct(F.lit(i).alias("lag"), correlation("l0", f"l{i}").alias("acf")) for i in range(1, max_lag + 1)]).alias("x")).select(F.inline("x"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation of two columns over rows that have both; null (not an error) where one does not vary."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def corr_matrix(df: DataFrame, features: Sequence[str], key: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -248,7 +254,7 @@ def corr_matrix(df: DataFrame, features: Sequence[str], key: Sequence[str], meth
         ranked = long.join(order.value_ranks(long, "value", ["feature"]), ["feature", "value"]).select(*key, "feature", F.col("rank").alias("value"))
         df = ranked.groupBy(*key).pivot("feature", list(features)).agg(F.first("value"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    return df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("x")).select(F.inline("x"))
+    return df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("corr")) for a, b in pairs]).alias("x")).select(F.inline("x"))
 
 
 def corr_between(df: DataFrame, name: str, features: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -258,7 +264,7 @@ def corr_between(df: DataFrame, name: str, features: Sequence[str], method: str
         long = long.join(order.value_ranks(long, "value", [name]), [name, "value"]).select(name, "feature", F.col("rank").alias("value"))
     a = long.select(F.col(name).alias("a"), "feature", F.col("value").alias("x"))
     b = long.select(F.col(name).alias("b"), "feature", F.col("value").alias("y"))
-    return a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+    return a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), correlation("x", "y").alias("corr"))
 
 
 def treatments(df: DataFrame, column: str, overrides: DataFrame, most: int = 100_000) -> DataFrame:

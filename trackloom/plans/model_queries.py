@@ -57,9 +57,7 @@ def model_shares(long: DataFrame) -> DataFrame:
 
 def _imputed(df: DataFrame, long: DataFrame) -> DataFrame:
     """Both features, one below the other."""
-    fits = f.fit_linear_family(long)
-    each = [f.impute(df, fits, c).withColumn("feature", F.lit(c)).withColumnRenamed(c, "value") for c in ("area", "intensity")]
-    return each[0].unionByName(each[1])
+    return f.impute_all(df, f.fit_linear_family(long), ["area", "intensity"])
 
 
 @query("v_tracks", "v_long")
@@ -79,8 +77,6 @@ def fit_vectors(long: DataFrame) -> DataFrame:
 
 # ---- forecasts ---------------------------------------------------------------------------------------------------------------
 
-#: Values that lie exactly between two roundings are rounded up: so much of the last digit is added first, in both languages.
-HALF = 0.1234
 DENSE = """
 e AS (SELECT unique_id, min(ds) AS a, max(ds) AS b FROM v_series GROUP BY unique_id), g AS (SELECT unique_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS ds FROM e),
 d AS (SELECT g.unique_id, g.ds, coalesce(y, 0) AS y, row_number() OVER (PARTITION BY g.unique_id ORDER BY g.ds) - 1 AS n FROM g LEFT JOIN v_series s ON s.unique_id = g.unique_id AND s.ds = g.ds)"""
@@ -132,11 +128,9 @@ def baseline_forecasts(df: DataFrame) -> DataFrame:
     return fc.baseline_forecasts(*_windows(df))
 
 
-@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS BIGINT) AS origin, n, round(mse + {HALF} / 1e6, 6) AS mse, rmse, round(mae + {HALF} / 1e6, 6) AS mae, smape, round(mape, 1) AS mape FROM s", doubles="rmse smape")
+@query("v_series", sql=f"WITH {METRICS} SELECT unique_id, model, CAST(origin AS BIGINT) AS origin, n, mse, rmse, mae, smape, mape FROM s", doubles="mse rmse mae smape mape", digits=10, significant=True)
 def forecast_metrics(df: DataFrame) -> DataFrame:
-    # a day at zero divides by the metric's epsilon, so mape is up to 1e11 and has few digits behind the point
-    up = lambda c: F.round(F.col(c) + HALF / 1e6, 6)
-    return _metrics(df).withColumns({"mape": F.round("mape", 1), "mse": up("mse"), "mae": up("mae")})
+    return _metrics(df)
 
 
 @query("v_series")
@@ -167,11 +161,10 @@ def percent_lower(df: DataFrame) -> DataFrame:
 
 @query("v_series", sql=f"""
 WITH {METRICS}, a AS (SELECT unique_id, model, avg(mae) AS metric FROM s GROUP BY ALL), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY metric, model) = 1)
-SELECT m.unique_id, model, CAST(origin AS BIGINT) AS origin, step, ds, actual, forecast, round(metric + {HALF} / 1e4, 4) AS metric FROM m JOIN b USING (unique_id, model)""", doubles="actual forecast", digits=4)
+SELECT m.unique_id, model, CAST(origin AS BIGINT) AS origin, step, ds, actual, forecast, metric FROM m JOIN b USING (unique_id, model)""", doubles="actual forecast metric", digits=10, significant=True)
 def forecast_best_join(df: DataFrame) -> DataFrame:
     forecasts = fc.baseline_forecasts(*_windows(df))
-    best = j.forecast_best_join(fc.forecast_metrics(forecasts, horizon=4).select("unique_id", "model", F.col("mae").alias("metric")), forecasts)
-    return best.withColumn("metric", F.round(F.col("metric") + HALF / 1e4, 4))
+    return j.forecast_best_join(fc.forecast_metrics(forecasts, horizon=4).select("unique_id", "model", F.col("mae").alias("metric")), forecasts)
 
 
 @query("v_tracks")

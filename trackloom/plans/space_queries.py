@@ -14,9 +14,9 @@ K = "experiment, parent"
 
 
 @query("v_tracks", sql=f"""
-WITH {KIN}, m AS (SELECT experiment, parent, time_index, x_pos, y_pos FROM k3 WHERE speed IS NOT NULL),
-d AS (SELECT a.experiment, a.parent, a.time_index, min(sqrt(power(a.x_pos - b.x_pos, 2) + power(a.y_pos - b.y_pos, 2))) AS min_distance FROM m a JOIN m b ON a.experiment = b.experiment AND a.time_index = b.time_index AND a.parent <> b.parent GROUP BY ALL)
-SELECT experiment, parent, time_index, min_distance FROM v_tracks LEFT JOIN d USING (experiment, parent, time_index)""", doubles="min_distance")
+WITH {KIN}, m AS MATERIALIZED (SELECT experiment, parent, time_index, CASE WHEN speed IS NOT NULL THEN x_pos END AS x, y_pos AS y FROM k3),
+d AS (SELECT a.experiment, a.parent, a.time_index, min(power(a.x - b.x, 2) + power(a.y - b.y, 2)) FILTER (WHERE a.parent <> b.parent) AS d FROM m a JOIN m b ON a.experiment = b.experiment AND a.time_index = b.time_index GROUP BY ALL)
+SELECT experiment, parent, time_index, sqrt(d) AS min_distance FROM d""", doubles="min_distance")
 def min_distance(df: DataFrame) -> DataFrame:
     return s.min_distance(t.backward_kinematics(df)).select("experiment", "parent", "time_index", "min_distance")
 
@@ -69,7 +69,16 @@ def msd_models_brownian(df: DataFrame) -> DataFrame:
     return s.msd_models(s.msd_by_track(df, None)).select("experiment", "parent", "linearity", "brownian_d")
 
 
-@query("v_tracks")
+@query("v_tracks", sql=f"""
+WITH {_PAIRS}, d AS (SELECT experiment, parent, CAST(tau AS DOUBLE) AS t, msd AS m FROM c JOIN sp USING (experiment, parent) WHERE tau <= floor(span / 2.0)),
+s AS (SELECT {K}, count(*) AS n, regr_r2(m, t) AS linearity, sum(t * t) AS s2, sum(t * t * t) AS s3, sum(t * t * t * t) AS s4, sum(t * m) AS m1, sum(t * t * m) AS m2, sum(m * m) AS mm,
+  regr_slope(CASE WHEN m > 0 THEN ln(m) END, ln(t)) AS power_alpha, exp(regr_intercept(CASE WHEN m > 0 THEN ln(m) END, ln(t))) AS power_d FROM d GROUP BY ALL HAVING count(*) >= 3 AND min(t) = 1),
+f AS (SELECT *, m1 / (4 * s2) AS brownian_d, (m1 * s4 - m2 * s3) / (s2 * s4 - s3 * s3) AS p, (m2 * s2 - m1 * s3) / (s2 * s4 - s3 * s3) AS q, greatest(m2 / s4, 1) AS qv, greatest((m1 - s3) / s2, 0) AS pd FROM s),
+g AS (SELECT *, CASE WHEN p >= 0 AND q >= 1 THEN p WHEN -2 * qv * m2 + qv * qv * s4 <= -2 * (pd * m1 + m2) + pd * pd * s2 + 2 * pd * s3 + s4 THEN 0 ELSE pd END AS a,
+  CASE WHEN p >= 0 AND q >= 1 THEN q WHEN -2 * qv * m2 + qv * qv * s4 <= -2 * (pd * m1 + m2) + pd * pd * s2 + 2 * pd * s3 + s4 THEN qv ELSE 1 END AS b FROM f)
+SELECT experiment, parent, n, linearity, brownian_d, n * ln(greatest(mm - 8 * brownian_d * m1 + 16 * brownian_d * brownian_d * s2, 1e-12) / n) + ln(n) AS brownian_bic, a / 4 AS directed_d, sqrt(b) AS directed_v,
+  n * ln(greatest(mm - 2 * (a * m1 + b * m2) + a * a * s2 + 2 * a * b * s3 + b * b * s4, 1e-12) / n) + 2 * ln(n) AS directed_bic, power_d, power_alpha FROM g""",
+       doubles="linearity brownian_d brownian_bic directed_d directed_v directed_bic power_d power_alpha", digits=3)
 def msd_models(df: DataFrame) -> DataFrame:
     return s.msd_models(s.msd_by_track(df, None))
 

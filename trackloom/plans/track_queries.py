@@ -18,9 +18,9 @@ k3 AS (SELECT *, (speed - lag(speed) OVER w) / h AS speed_change, (vx - lag(vx)
 
 
 @query("v_tracks", sql=f"""
-WITH g AS (SELECT experiment, parent, time_index - lag(time_index) OVER ({W}) AS gap FROM v_tracks),
-ok AS (SELECT experiment, parent FROM g GROUP BY ALL HAVING count(*) >= 95 AND coalesce(max(gap), 0) <= 2)
-SELECT experiment, parent, time_index, x_pos, area FROM v_tracks SEMI JOIN ok USING (experiment, parent)""", doubles="x_pos area")
+WITH g AS (SELECT experiment, parent, time_index, x_pos, area, time_index - lag(time_index) OVER ({W}) AS gap FROM v_tracks),
+k AS (SELECT *, count(*) OVER w AS n, max(gap) OVER w AS widest FROM g WINDOW w AS (PARTITION BY experiment, parent))
+SELECT experiment, parent, time_index, x_pos, area FROM k WHERE n >= 95 AND coalesce(widest, 0) <= 2""", doubles="x_pos area")
 def valid_tracks(df: DataFrame) -> DataFrame:
     return t.valid_tracks(df, 95, 2).select("experiment", "parent", "time_index", "x_pos", "area")
 
@@ -179,24 +179,32 @@ def running_msd1(df: DataFrame) -> DataFrame:
     return t.running_msd1(df).select("experiment", "parent", "time_index", "msd1")
 
 
-@query("v_tracks", sql=f"""
-WITH {KIN}, v AS (SELECT experiment, parent, time_index * dt AS t0, speed AS s0, lead(time_index * dt, 1) OVER w AS t1, lead(speed, 1) OVER w AS s1, lead(time_index * dt, 2) OVER w AS t2, lead(speed, 2) OVER w AS s2, row_number() OVER w AS n FROM k3 WHERE speed IS NOT NULL WINDOW w AS ({W})),
+#: The peak of each track's smoothed speed and where it falls to half, in SQL.
+WAVES = f"""
+{KIN}, v AS (SELECT experiment, parent, time_index * dt AS t0, speed AS s0, lead(time_index * dt, 1) OVER w AS t1, lead(speed, 1) OVER w AS s1, lead(time_index * dt, 2) OVER w AS t2, lead(speed, 2) OVER w AS s2, row_number() OVER w AS n FROM k3 WHERE speed IS NOT NULL WINDOW w AS ({W})),
 m AS (SELECT *, (s0 + s1 + s2) / 3 AS m, max((s0 + s1 + s2) / 3) OVER (PARTITION BY experiment, parent) AS peak FROM v WHERE s2 IS NOT NULL), a AS (SELECT *, min(CASE WHEN m = peak THEN n END) OVER (PARTITION BY experiment, parent) AS at_ FROM m),
 p AS (SELECT experiment, parent, greatest(s0, s1, s2) AS s, CASE WHEN s0 >= greatest(s1, s2) THEN t0 WHEN s1 >= s2 THEN t1 ELSE t2 END AS t FROM a WHERE n = at_),
 l AS (SELECT experiment, parent, CASE WHEN s2 <= peak / 2 THEN s2 WHEN s1 <= peak / 2 THEN s1 ELSE s0 END AS s, CASE WHEN s2 <= peak / 2 THEN t2 WHEN s1 <= peak / 2 THEN t1 ELSE t0 END AS t FROM a WHERE n < at_ AND m <= peak / 2 QUALIFY row_number() OVER (PARTITION BY experiment, parent ORDER BY n DESC) = 1),
-r AS (SELECT experiment, parent, CASE WHEN s0 <= peak / 2 THEN s0 WHEN s1 <= peak / 2 THEN s1 ELSE s2 END AS s, CASE WHEN s0 <= peak / 2 THEN t0 WHEN s1 <= peak / 2 THEN t1 ELSE t2 END AS t FROM a WHERE n > at_ AND m <= peak / 2 QUALIFY row_number() OVER (PARTITION BY experiment, parent ORDER BY n) = 1)
-SELECT e.experiment, e.parent, coalesce(p.s, 0) AS wave_peak, coalesce(p.t, 0) AS wave_time, coalesce(l.t, 0) AS wave_left, coalesce(l.s, 0) AS wave_left_speed, coalesce(r.t, 0) AS wave_right, coalesce(r.s, 0) AS wave_right_speed, coalesce(p.t - l.t, 0) + coalesce(r.t - p.t, 0) AS fwhm
-FROM (SELECT DISTINCT experiment, parent FROM v_tracks) e LEFT JOIN p USING (experiment, parent) LEFT JOIN l USING (experiment, parent) LEFT JOIN r USING (experiment, parent)""", doubles="wave_peak wave_time wave_left wave_left_speed wave_right wave_right_speed fwhm")
+r AS (SELECT experiment, parent, CASE WHEN s0 <= peak / 2 THEN s0 WHEN s1 <= peak / 2 THEN s1 ELSE s2 END AS s, CASE WHEN s0 <= peak / 2 THEN t0 WHEN s1 <= peak / 2 THEN t1 ELSE t2 END AS t FROM a WHERE n > at_ AND m <= peak / 2 QUALIFY row_number() OVER (PARTITION BY experiment, parent ORDER BY n) = 1),
+waves AS (SELECT e.experiment, e.parent, coalesce(p.s, 0) AS wave_peak, coalesce(p.t, 0) AS wave_time, coalesce(l.t, 0) AS wave_left, coalesce(l.s, 0) AS wave_left_speed, coalesce(r.t, 0) AS wave_right, coalesce(r.s, 0) AS wave_right_speed, coalesce(p.t - l.t, 0) + coalesce(r.t - p.t, 0) AS fwhm
+FROM (SELECT DISTINCT experiment, parent FROM v_tracks) e LEFT JOIN p USING (experiment, parent) LEFT JOIN l USING (experiment, parent) LEFT JOIN r USING (experiment, parent))"""
+COLUMNS = "wave_peak wave_time wave_left wave_left_speed wave_right wave_right_speed fwhm"
+
+
+@query("v_tracks", sql=f"WITH {WAVES} SELECT * FROM waves", doubles=COLUMNS)
 def speed_wave(df: DataFrame) -> DataFrame:
     return t.speed_wave(t.backward_kinematics(df))
 
 
-@query("v_tracks")
+@query("v_tracks", sql=f"WITH {WAVES} SELECT * FROM waves WHERE wave_left > 0 AND wave_right > 0", doubles=COLUMNS)
 def wave_filter(df: DataFrame) -> DataFrame:
     return t.wave_filter(t.speed_wave(t.backward_kinematics(df)), "double")
 
 
-@query("v_tracks")
+@query("v_tracks", sql=f"""
+WITH {WAVES}, k AS (SELECT experiment, CASE WHEN wave_left > 0 AND wave_right > 0 THEN 'full' WHEN wave_left > 0 THEN 'left' WHEN wave_right > 0 THEN 'right' ELSE 'none' END AS kind FROM waves),
+c AS (SELECT experiment, count(*) AS n, count(*) FILTER (WHERE kind = 'none') AS n_none, count(*) FILTER (WHERE kind = 'left') AS n_left, count(*) FILTER (WHERE kind = 'right') AS n_right, count(*) FILTER (WHERE kind = 'full') AS n_full FROM k GROUP BY experiment)
+SELECT *, n_none * 100 / n AS pct_none, n_left * 100 / n AS pct_left, n_right * 100 / n AS pct_right, n_full * 100 / n AS pct_full FROM c""", doubles="pct_none pct_left pct_right pct_full")
 def wave_share(df: DataFrame) -> DataFrame:
     return t.wave_share(t.speed_wave(t.backward_kinematics(df)), "experiment")
 

@@ -55,7 +55,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{x: frame(spark, sf_dir, x) for x in _needs(name)})
 
 
-def with_views(sql: str, doubles: str = "", digits: int = 6) -> str:
+def with_views(sql: str, doubles: str = "", digits: int = 6, significant: bool = False) -> str:
     """SQL for the comparison: the views that it names go before it, and the named doubles are rounded."""
     order: list[str] = []
 
@@ -76,5 +76,7 @@ def with_views(sql: str, doubles: str = "", digits: int = 6) -> str:
     if body:
         sql = f"WITH {body}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {body} {sql}"
     if doubles:
-        sql = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql}) q"
+        scale = "power(10.0, floor(log10(nullif(abs(CAST({c} AS DOUBLE)), 0.0))))"
+        cut = f"CASE WHEN {{c}} = 0 THEN 0.0 ELSE round(CAST({{c}} AS DOUBLE) / {scale}, {digits - 1}) * {scale} END AS {{c}}" if significant else f"round(CAST({{c}} AS DOUBLE), {digits}) + 0.0 AS {{c}}"
+        sql = f"SELECT * REPLACE ({', '.join(cut.format(c=c) for c in doubles.split())}) FROM ({sql}) q"
     return sql
