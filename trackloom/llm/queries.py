@@ -75,5 +75,5 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": rules.ORACLE, "op7_chat_format": chat.ORACLE, "op10_extendible_shards": shards.ORACLE, "op11_fill_in_middle": infill.ORACLE,
-    "op12_source_divergence": divergence.ORACLE,
+    "op12_source_divergence": divergence.ORACLE, "op13_personal_data": personal.ORACLE,
 }
