@@ -56,7 +56,7 @@ def fit_linear_family(long: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
                 w = least(a, b)
                 rss = np.maximum(0.0, total[ok] - (w * b).sum(axis=1))  # noqa: B023
                 r2 = np.where(total[ok] > 1e-12, 1 - rss / np.where(total[ok] > 1e-12, total[ok], 1.0), np.nan)  # noqa: B023
-                parts.append(pdf.loc[ok, names].assign(model=model, n=pdf.loc[ok, "n"], k=k, r2=r2, rmse=np.sqrt(rss / n[ok]), rss=rss, range=pdf.loc[ok, "range"], params=list(to_params(w))))  # noqa: B023
+                parts.append(pdf.loc[ok, names].assign(model=model, n=pdf.loc[ok, "n"], k=k, r2=r2, rmse=np.sqrt(rss / n[ok]), rss=rss, range=pdf.loc[ok, "range"], params=pd.Series(list(to_params(w)), index=pdf.index[ok], dtype=object)))  # noqa: B023
 
             for model, d in DEGREES.items():
                 ok = n > d + 1
