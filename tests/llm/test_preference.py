@@ -101,3 +101,36 @@ def test_repeated_ids_are_learnt_alike(spark, world):
     more = docs.unionByName(docs.where("doc_id % 10 = 1").selectExpr("doc_id", "concat('| ', text) as text", "score"))
     first, second = (p.learnt(p.described(x), labels) for x in (more.orderBy("text"), more.repartition(7)))
     assert first.weights == pytest.approx(second.weights, rel=1e-6) and first.threshold == pytest.approx(second.threshold, rel=1e-6)
+
+
+def test_all_labelled_documents_are_learnt_from(spark):
+    """The second feature tells the classes apart only beyond the 20,000 documents of least hash of either class, and the threshold lies where all of them part."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window
+
+    rows = spark.range(0, 50_000, 1, 4).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
+    late = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) > 20_000
+    told = F.when(late, F.col("label").cast("double")).otherwise(0.0)
+    examples = rows.select("doc_id", "label", F.array(F.rand(1) + 0.1 * F.col("label"), told, F.lit(1.0)).alias("x"))
+    model = p.fit(examples)
+    assert model.weights[1] > 1 and model.weights[0] > 0 and model.weights[2] == 0
+
+
+def test_pairs_of_groups(spark, monkeypatch):
+    """Each document of the larger class meets 8 of the smaller, whatever the sizes of blocks and classes; no pair is lost or doubled."""
+    import numpy as np
+
+    for block, rounds, n_large, n_small in ((4, 2, 50, 13), (4, 1, 40, 40), (16, 2, 60, 3), (4096, 16, 30, 9), (5, 3, 1, 1)):
+        monkeypatch.setattr(p, "BLOCK", block)
+        monkeypatch.setattr(p, "ROUNDS", rounds)
+        large = spark.range(n_large).selectExpr("id as i", "array(id * 1000D, 0D) as x")
+        small = spark.range(n_small).selectExpr("id as i", "array(-id * 1D, 0D) as x")
+        batches = p.dealt(large, small, n_large, n_small, 8).coalesce(1).toArrow().to_batches(max_chunksize=7)
+        got = sorted(np.concatenate([d[:, 0] for d in p.differences(batches, n_small, 8)]).tolist())
+        assert got == sorted(float(i * 1000 + (i * 8 + k) % n_small) for i in range(n_large) for k in range(min(8, n_small)))
+
+
+def test_numbered(spark):
+    rows, n = p.numbered(spark.range(1000, 0, -1, 5).withColumnRenamed("id", "s"), "s")
+    assert n == 1000 and sorted((r.s, r.i) for r in rows.collect()) == [(s, s - 1) for s in range(1, 1001)]
+    assert p.numbered(spark.range(0).withColumnRenamed("id", "s"), "s")[1] == 0

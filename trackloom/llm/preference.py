@@ -1,10 +1,11 @@
 """Quality classifier: a Bradley-Terry model of documents, learnt from pairs of which one is the better.
 
 Each document has a score w.x for its features x, and the better of a pair wins with probability 1 / (1 + exp(-(score - score'))), so w
-is fitted by logistic loss on feature differences (Spark's logistic regression without intercept, every pair both ways). Pairs are made
-from a bounded sample of labelled documents: each document of either class meets `meets` of the other.
+is fitted by logistic loss on feature differences with a small penalty. All labelled documents are learnt from: each document of the larger class
+meets `meets` of the other, round and round. Pairs are not stored: both classes are dealt to groups of a bounded size, and the tasks
+of each step of Newton's method form the pairs of their groups and sum loss, slope and curvature, whose size depends on the features alone.
 
-The threshold is a quantile of the scores of the labelled documents, at the level (of LEVELS around the share of label 0) that parts the two classes best;
+The threshold is an exact quantile of the scores of all labelled documents, at the level (of LEVELS around the share of label 0) that parts the two classes best;
 documents below are rejected. Probabilities are logistic in score minus threshold, shifted so that the threshold has probability CUT.
 
 Features: rates of symbols, marks, capitals, digits, lines, stop words, distinct words, repeated lines and shapes of words, lengths, the entropy of bytes, and shares
@@ -18,14 +19,13 @@ the one of least features is learnt from.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.rules import STOP_WORDS
@@ -35,6 +35,10 @@ from trackloom.llm.shared import fold, kept, slices, texts_as_bytes
 CUT = 0.3
 #: Levels of the quantile, as multiples of the share of label 0.
 LEVELS = (0.5, 0.75, 0.9, 1.0, 1.1, 1.25, 1.5)
+#: Documents of the smaller class in a group, and how often a group goes through them.
+BLOCK, ROUNDS = 4096, 16
+#: Weight of the penalty.
+PENALTY = 1e-4
 #: Groups of pairs of bytes.
 HASHED = 32
 NAMES = (
@@ -104,35 +108,126 @@ class Model:
         return 1 / (1 + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(self.threshold) - score))) * float((1 - CUT) / CUT))
 
 
-def fit(examples: DataFrame, most: int = 20_000, meets: int = 8) -> Model:
-    """A model from examples (doc_id, x, label 0 or 1). most: documents of either class that are used, those of least hash of doc_id."""
-    numbered = []
-    for label in (0, 1):
-        chosen = examples.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        numbered.append(kept(chosen.select("x", "label", (F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - 1).alias("i"))))
-    bad, good = numbered
-    n_bad, n_good = bad.count(), good.count()
+def numbered(rows: DataFrame, *order: Column | str) -> tuple[DataFrame, int]:
+    """rows with i, their place in an order (from 0), and how many they are. No task takes more than a range of the order."""
+    low = (1 << 33) - 1  # monotonically_increasing_id() has the partition above these bits
+    placed = kept(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()))
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    if not sizes:
+        return placed.withColumnRenamed("place", "i"), 0
+    ends = list(accumulate(n for _, n in sizes))
+    before = rows.sparkSession.createDataFrame([(part, end - n) for (part, n), end in zip(sizes, ends, strict=True)], "part long, before long")
+    named = placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(before), "part")
+    return named.withColumn("i", F.col("before") + F.col("place").bitwiseAND(F.lit(low))).drop("part", "place", "before"), ends[-1]
+
+
+def dealt(large: DataFrame, small: DataFrame, n_large: int, n_small: int, meets: int) -> DataFrame:
+    """group, of_small, i and x: document i of the larger class stands in the groups that hold documents i * meets ... of the smaller, which it meets."""
+    # a part is so many rounds through a block that a group is bounded however uneven the classes are
+    rounds = max(1, ROUNDS * BLOCK // min(BLOCK, n_small))
+    parts = (n_large * meets - 1) // n_small // rounds + 1
+    start = F.col("i") * meets
+    part = F.floor(F.floor(start / n_small) / rounds)
+    blocks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(min(meets, n_small) - 1)), lambda k: F.floor((start + k) % n_small / BLOCK)))
+    first = large.select("i", "x", part.alias("part"), F.explode(blocks).alias("block")).select((F.col("block") * parts + F.col("part")).alias("group"), F.lit(False).alias("of_small"), "i", "x")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    second = small.select("i", "x", copies.alias("part")).select((F.floor(F.col("i") / BLOCK) * parts + F.col("part")).alias("group"), F.lit(True).alias("of_small"), "i", "x")
+    return kept(first.unionByName(second).repartition("group").sortWithinPartitions("group", "of_small", "i"))
+
+
+def differences(batches: Iterable[pa.RecordBatch], n_small: int, meets: int) -> Iterator[np.ndarray]:
+    """Feature differences (larger class less smaller) of the pairs of a partition of dealt()."""
+
+    def of_group(of_small: np.ndarray, i: np.ndarray, x: np.ndarray) -> Iterator[np.ndarray]:
+        n = int((~of_small).sum())
+        own, other, names = x[:n], x[n:], i[n:]
+        if not n or not len(names):
+            return
+        for k in range(min(meets, n_small)):
+            at = (i[:n] * meets + k) % n_small - names[0]
+            here = (at >= 0) & (at < len(names))  # others are in the group of the next block
+            yield own[here] - other[at[here]]
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+        new.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        starts = np.flatnonzero(np.diff(held[0])) + 1
+        for low, high in pairwise([0, *starts.tolist()]):
+            yield from of_group(*[x[low:high] for x in held[1:]])
+        held = [x[starts[-1] :] for x in held] if len(starts) else held  # the last group may go on in the next batch
+    if held is not None:
+        yield from of_group(*held[1:])
+
+
+def sums(groups: DataFrame, weights: np.ndarray, n_small: int, meets: int) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Number of pairs, and the sums over them of the logistic loss, its slope and its curvature."""
+    p = len(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + p + p * p)
+        for d in differences(batches, n_small, meets):
+            s = d @ weights
+            wins = 1 / (1 + np.exp(np.minimum(-s, 500.0)))
+            total[0] += len(d)
+            total[1] += np.logaddexp(0, -s).sum()
+            total[2 : 2 + p] += (wins - 1) @ d
+            total[2 + p :] += ((d * (wins * (1 - wins))[:, None]).T @ d).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+
+    found = np.zeros(2 + p + p * p)
+    for r in groups.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        found[r.k] = r.v
+    return found[0], found[1], found[2 : 2 + p], found[2 + p :].reshape(p, p)
+
+
+def newton(groups: DataFrame, p: int, n_small: int, meets: int) -> np.ndarray:
+    """The weights of least mean loss with the penalty, PENALTY / 2 times each squared weight times the variance of its differences, pairs taken both ways."""
+    w = np.zeros(p)
+    n, loss, slope, curve = sums(groups, w, n_small, meets)
+    penalty = PENALTY * 2 * 4 * np.diag(curve) / max(1.0, 2 * n - 1)  # at weights of zero the curvature is a quarter of the squares
+    used = penalty > 0  # features that are the same everywhere have no weight
+    value = lambda loss, w: loss / n + penalty @ (w * w) / 2
+    for _ in range(60):
+        rise = slope / n + penalty * w
+        step = np.zeros(p)
+        step[used] = np.linalg.lstsq((curve / n + np.diag(penalty))[np.ix_(used, used)], rise[used], rcond=None)[0]
+        gain, part = rise @ step, 1.0
+        if gain < 1e-12:
+            break
+        while part > 1e-6:
+            found = sums(groups, w - part * step, n_small, meets)
+            if value(found[1], w - part * step) <= value(loss, w) - 1e-4 * part * gain:
+                break
+            part /= 2
+        else:
+            break  # no lower value within the precision of the sums
+        w = w - part * step
+        _, loss, slope, curve = found
+    return w
+
+
+def fit(examples: DataFrame, meets: int = 8) -> Model:
+    """A model from examples (doc_id, x, label 0 or 1), all of which are learnt from."""
+    (bad, n_bad), (good, n_good) = (numbered(examples.where(F.col("label") == label).select("doc_id", "x", "label"), F.xxhash64("doc_id"), "doc_id") for label in (0, 1))
     if not n_bad or not n_good:
         return Model()
     # document i of the larger class meets documents i * meets ... of the smaller, round and round
-    large, small, n_small = (good, bad, n_bad) if n_good >= n_bad else (bad, good, n_good)
-    met = large.select("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(min(meets, n_small) - 1)), lambda k: (F.col("i") * meets + k) % n_small)).alias("i"))
-    pairs = met.join(small.select("i", F.col("x").alias("y")), "i")
-    sign = 1.0 if n_good >= n_bad else -1.0
-    differences = kept(pairs.select(F.zip_with("x", "y", lambda a, b: (a - b) * sign).alias("d")))
-    both = differences.select("d", F.lit(1.0).alias("label")).unionByName(differences.select(F.transform("d", lambda v: -v).alias("d"), F.lit(0.0).alias("label")))
-    fitted = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60).fit(both.select(array_to_vector("d").alias("features"), "label"))
-    weights = tuple(float(w) for w in fitted.coefficients)
+    large, small, n_large, n_small, sign = (good, bad, n_good, n_bad, 1.0) if n_good >= n_bad else (bad, good, n_bad, n_good, -1.0)
+    p = len(small.select("x").first().x)
+    weights = tuple((sign * newton(dealt(large, small, n_large, n_small, meets), p, n_small, meets)).tolist())
     score = sum((F.get("x", i) * w for i, w in enumerate(weights)), F.lit(0.0))
-    scored = bad.unionByName(good).select("label", score.alias("s"))
-    # the classes are weighed as they occur, however many of each were taken
-    shares = {r.label: r.n for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = shares[0] / (shares[0] + shares[1])
-    as_taken = n_bad / (n_bad + n_good)
-    levels = sorted({min(0.999, max(0.001, m * as_taken)) for m in LEVELS})
-    cuts = scored.agg(F.percentile("s", F.array(*map(F.lit, levels))).alias("q")).first().q
-    wrong = scored.agg(*[(F.sum(F.when((F.col("label") == 1) & (F.col("s") < c), (1 - share) / n_good).when((F.col("label") == 0) & (F.col("s") >= c), share / n_bad).otherwise(0.0))).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
-    best = min(range(len(cuts)), key=lambda i: (wrong[i], abs(levels[i] - as_taken)))
+    scored, n = numbered(bad.unionByName(good).select("doc_id", "label", score.alias("s")), "s", "doc_id")
+    share = n_bad / n
+    levels = sorted({min(0.999, max(0.001, m * share)) for m in LEVELS})
+    at = [level * (n - 1) for level in levels]
+    near = {r.i: r.s for r in scored.where(F.col("i").isin(sorted({int(x) for x in at} | {math.ceil(x) for x in at}))).select("i", "s").collect()}
+    cuts = [near[int(x)] + (x - int(x)) * (near[math.ceil(x)] - near[int(x)]) for x in at]
+    wrong = scored.agg(*[F.count(F.when((F.col("label") == 1) == (F.col("s") < c), 1)).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+    best = min(range(len(cuts)), key=lambda i: (wrong[i], abs(levels[i] - share)))
     low, high = scored.agg(F.max(F.when(F.col("s") < cuts[best], F.col("s"))), F.min(F.when(F.col("s") >= cuts[best], F.col("s")))).first()
     return Model(weights, cuts[best] if low is None or high is None else (low + high) / 2)
 
