@@ -46,3 +46,18 @@ def test_spark_rows(spark, library):
     assert sorted((r.doc_id or 0, r.ids) for r in full) == sorted((i or 0, x) for i, x in ids)
     assert {r.decoded for r in full} == {library.decode(x) for _, x in ids}
     assert pieces.digests(docs.limit(0), MODEL).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("einthaors.▁é1\U0001f600"), min_size=1, max_size=120))
+def test_both_agendas_agree(own, text):
+    """Short stretches have a list for an agenda and long ones a heap; both merge the leftmost of the best pairs."""
+    short = list(text)
+    own.merge_short(short)
+    assert short == own.merge_long(list(text))
+
+
+def test_short_stretches_need_no_heap(own, monkeypatch):
+    """The heap cost more than the budget on texts of many different words."""
+    monkeypatch.setattr(own, "merge_long", None)
+    assert own.agenda("▁unheard-of")[-1] == own.library.encode("unheard-of")[-1]

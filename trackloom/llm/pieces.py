@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ from trackloom.llm.shared import slices, texts_as_strings
 MARK = "▁"
 
 
+#: Characters of a stretch whose agenda is a list by place, in which a pair is looked for by min(); that is faster than a heap, but goes with the square.
+SHORT = 48
 #: Bytes of the stretches that a worker keeps, those met last; as many before them are kept as well.
 REMEMBER = 96_000_000
 
@@ -44,11 +48,12 @@ class Pieces:
         n = len(self.library)
         self.names = [self.library.id_to_piece(i) for i in range(n)]
         special = [self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) for i in range(n)]
-        self.scored = {name: (-self.library.get_score(i), i) for i, name in enumerate(self.names) if not special[i]}
+        self.number = {name: i for i, name in enumerate(self.names) if not special[i]}
+        self.rank = {name: -self.library.get_score(i) for name, i in self.number.items()}
         self.end, self.unknown = self.library.eos_id(), self.library.unk_id()
         self.byte = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.value = {i: b for b, i in enumerate(self.byte) if i != self.unknown}
-        if any(MARK in name.lstrip(MARK) for name in self.scored):
+        if any(MARK in name.lstrip(MARK) for name in self.number):
             raise ValueError("pieces of this vocabulary span spaces, so its texts can't be cut at spaces")
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -57,13 +62,38 @@ class Pieces:
 
     def agenda(self, stretch: str) -> tuple[int, ...]:
         """Ids of a stretch that already has the space mark for spaces."""
-        symbols, scored = list(stretch), self.scored
+        symbols = list(stretch)
+        if len(symbols) <= SHORT:
+            self.merge_short(symbols)
+        else:
+            symbols = self.merge_long(symbols)
+        try:
+            return tuple(map(self.number.__getitem__, symbols))
+        except KeyError:  # characters that are no piece
+            return tuple(chain.from_iterable([self.number[x]] if x in self.number else [self.byte[b] for b in x.encode()] for x in symbols))
+
+    def merge_short(self, symbols: list[str]) -> None:
+        """Merge symbols in place, with an agenda that has the order of each pair of neighbours by its place."""
+        order, none = self.rank.get, math.inf
+        waiting = list(map(order, map(add, symbols, symbols[1:]), repeat(none)))
+        while waiting and (best := min(waiting)) is not none:
+            i = waiting.index(best)
+            symbols[i] = merged = symbols[i] + symbols.pop(i + 1)
+            del waiting[i]
+            if i < len(waiting):
+                waiting[i] = order(merged + symbols[i + 1], none)
+            if i:
+                waiting[i - 1] = order(symbols[i - 1] + merged, none)
+
+    def merge_long(self, symbols: list[str]) -> list[str]:
+        """The merged symbols, by a heap; the right one of two is emptied and left out at the end."""
+        rank = self.rank
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = []
         for i in range(n - 1):
-            if found := scored.get(symbols[i] + symbols[i + 1]):
-                waiting.append((found[0], i, len(symbols[i]) + len(symbols[i + 1])))
+            if (order := rank.get(symbols[i] + symbols[i + 1])) is not None:
+                waiting.append((order, i, len(symbols[i]) + len(symbols[i + 1])))
         heapq.heapify(waiting)
         while waiting:
             _, left, length = heapq.heappop(waiting)
@@ -74,16 +104,11 @@ class Pieces:
             after[left] = following = after[right]
             if following < n:
                 before[following] = left
-                if found := scored.get(symbols[left] + symbols[following]):
-                    heapq.heappush(waiting, (found[0], left, len(symbols[left]) + len(symbols[following])))
-            if (previous := before[left]) >= 0 and (found := scored.get(symbols[previous] + symbols[left])):
-                heapq.heappush(waiting, (found[0], previous, len(symbols[previous]) + len(symbols[left])))
-        ids: list[int] = []
-        for symbol in symbols:
-            if symbol:
-                found = scored.get(symbol)
-                ids += [found[1]] if found else [self.byte[b] for b in symbol.encode()]
-        return tuple(ids)
+                if (order := rank.get(symbols[left] + symbols[following])) is not None:
+                    heapq.heappush(waiting, (order, left, len(symbols[left]) + len(symbols[following])))
+            if (previous := before[left]) >= 0 and (order := rank.get(symbols[previous] + symbols[left])) is not None:
+                heapq.heappush(waiting, (order, previous, len(symbols[previous]) + len(symbols[left])))
+        return [x for x in symbols if x]
 
     def learn(self, stretches: set[str]) -> None:
         """Encode stretches (without their leading mark) that are not known, and check them."""
