@@ -257,3 +257,16 @@ def test_all_links_between_crowds(spark, block):
         sets.append((root.get(r.set, r.set), r.doc_id))
     groups = {frozenset(d for s, d in sets if s == r) for r, _ in sets}
     assert groups == {frozenset(i for i in ids if least[i] == r) for r in set(least.values())}
+
+
+def test_few_edges_are_joined_without_shuffle_files_for_every_partition(spark):
+    """The same components either way; few edges end in few partitions, however many a shuffle has."""
+    edges = spark.createDataFrame([(1, 2), (3, 2), (5, 4), (9, 9)], "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few, many = near.components(edges), near.components(edges, few=0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+    assert few.select("v").rdd.getNumPartitions() < many.select("v").rdd.getNumPartitions()

@@ -210,20 +210,28 @@ def links(distinct: DataFrame, r: int = 4, parts: int = 3, capacity: int = 512,
     return met.groupBy("shard", "visitors", "own").applyInPandas(meet, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: So many edges are joined in one task.
+FEW_EDGES = 200_000
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """v, root: every end of an edge a, b and the least value of its component (as signed).
 
     Each round makes all larger neighbours of a value point to the least of its neighbours, then the value and its smaller
     neighbours; both keep components whole. Every component is a star when a round changes nothing.
+
+    Up to `few` edges are one partition, as each of the shuffles of each round would else write files for every shuffle partition, which take more
+    space than the edges.
     """
     now = kept(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct())
+    dealt = (lambda df: df.coalesce(1)) if now.count() <= few else (lambda df: df)
     state = None
     while True:
-        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        both = dealt(now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u"))))
         least = both.groupBy("v").agg(F.min("u").alias("m"))
         large = both.join(least, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.least("m", "v").alias("u")).where("v <> u").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(down.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
+        small = dealt(large.join(down, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(down.select("v", F.col("m").alias("u"))).where("v <> u")).distinct()
         now = kept(small)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
