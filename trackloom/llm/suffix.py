@@ -144,6 +144,7 @@ def counted(docs: DataFrame) -> DataFrame:
             values = distinct(code[held])
             yield from rows(sums.add(values, np.zeros(len(values), np.int64)))
         yield from rows(sums.all())
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text", "held_out").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -179,7 +180,7 @@ def questions_of(table: pa.Table) -> pa.Table:
     for batch in slices(table.select(["text", "held_out"]).to_batches(), SLICE):
         split = [x.lower().split() for x in texts_as_bytes(batch)]
         parts.append(distinct(grams(split)[0]))
-        if len(parts) == 12:
+        if len(parts) == 6:
             parts = [distinct(np.concatenate(parts))]
         for words, held in zip(split, batch.column(1).to_pylist(), strict=True):
             if held:
