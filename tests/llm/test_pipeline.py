@@ -52,5 +52,16 @@ def test_stages_keep_the_columns(spark, corpus):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_all_tasks_give_their_memory_back(spark, corpus, monkeypatch):
+    folder, _ = corpus
+    given = []
+    kind = type(spark.range(1))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, function, *args, **named: given.append(function) or plain(self, function, *args, **named))
+    corpus_pipeline.run(spark, folder)
+    assert len(given) > len(corpus_pipeline.STAGES)
+    assert {f.__qualname__.split(".")[0] for f in given} == {"releasing"}
+
+
 def test_the_tokenizers_are_outside_the_repository():
     assert importlib.util.find_spec("public_tokenizers") is not None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import in_batches, kept, key_of, slices, small, texts_as_strings, unused
+from trackloom.llm.shared import in_batches, kept, key_of, releasing, slices, small, texts_as_strings, unused
 
 #: The order of kinds that begin at the same place.
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
@@ -176,4 +176,4 @@ def redact(docs: DataFrame, scope: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, docs_names)
 
     docs_names = docs.columns
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(releasing(run), docs.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import kept, slices, small, texts_as_bytes, unused
+from trackloom.llm.shared import kept, releasing, slices, small, texts_as_bytes, unused
 
 #: Fixed: the seed of the shingles' hash.
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             found = np.array([fingerprint(x, words) for x in texts_as_bytes(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), f"doc_id {kind}, fp long")
 
 
 def stretches(n: int) -> list[int]:
@@ -189,7 +189,7 @@ def links(distinct: DataFrame, r: int = 4, parts: int = 3, capacity: int = 512,
                     rows, leaf, home = tree.visits(values, within)
                     yield pa.RecordBatch.from_arrays([pa.array((leaf + offset).astype(np.int32)), pa.array(values[rows].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
+    dealt = distinct.select("fp").mapInArrow(releasing(deal), "shard int, fp long, home boolean")
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("m"), F.ceil(F.count_if("home") / block).cast("int").alias("k")).where(F.col("m") > 1)
     # one row at most for each leaf of trees that were grown from the bounded sample
     cut = dealt.join(F.broadcast(sizes), "shard", "left").withColumns({"m": F.coalesce("m", F.lit(1)), "k": F.greatest(F.coalesce("k", F.lit(1)), F.lit(1))})
@@ -390,9 +390,8 @@ def in_shards(members: DataFrame, run_whole, schema: str, places: int = PLACES)
                 yield from run_whole(*[x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         yield from run_whole(*held)
-        pa.default_memory_pool().release_unused()
 
-    return members.select("shard", "set", "root", "sketch").repartition("shard").sortWithinPartitions("shard", "set").mapInArrow(run, schema)
+    return members.select("shard", "set", "root", "sketch").repartition("shard").sortWithinPartitions("shard", "set").mapInArrow(releasing(run), schema)
 
 
 def starts_of(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -444,9 +443,8 @@ def _by_set(docs: DataFrame, columns: str, rows, schema: str) -> DataFrame:
         seen: set[int] = set()
         for batch in slices(batches, 1_000_000):
             yield rows([batch.column(i) for i in range(len(names))], texts_as_bytes(batch), seen)
-        pa.default_memory_pool().release_unused()
 
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return docs.select(*names, "text").mapInArrow(releasing(run), schema)
 
 
 def fingerprint_of(shingles: np.ndarray) -> int:

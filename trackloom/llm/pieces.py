@@ -18,14 +18,13 @@ import hashlib
 import heapq
 import math
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain, repeat
 from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackloom.llm.shared import slices, texts_as_strings
+from trackloom.llm.shared import of_worker, releasing, slices, texts_as_strings
 
 #: Fixed: how vocabularies of this kind write a space.
 MARK = "▁"
@@ -176,9 +175,9 @@ class Pieces:
         return text.removeprefix(MARK).replace(MARK, " ")
 
 
-@cache
+@of_worker
 def vocabulary(model_file: str, check: str, remember: int = REMEMBER) -> Pieces:
-    """One for each worker process, so that what it remembers outlives a task."""
+    """One for each worker process, so that what it remembers outlives a task; other stages' tasks drop it."""
     return Pieces(model_file, check, remember)
 
 
@@ -192,7 +191,7 @@ def encode(docs: DataFrame, model_file: str, check: str = "stretches", remember:
             ids = pieces.encode(texts_as_strings(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(pieces.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run, "vocabulary"), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model_file: str, check: str = "stretches") -> DataFrame:
@@ -207,4 +206,4 @@ def digests(docs: DataFrame, model_file: str, check: str = "stretches") -> DataF
             decoded = [hashlib.sha256(pieces.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run, "vocabulary"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.rules import STOP_WORDS
-from trackloom.llm.shared import fold, kept, slices, texts_as_bytes
+from trackloom.llm.shared import fold, kept, releasing, slices, texts_as_bytes
 
 #: Probability of a document at the threshold: predictions are 1 from here on.
 CUT = 0.3
@@ -81,7 +81,7 @@ def described(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, 1_000_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x) for x in texts_as_bytes(batch)], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), f"doc_id {kind}, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -179,7 +179,7 @@ def sums(groups: DataFrame, weights: np.ndarray, n_small: int, meets: int) -> tu
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
     found = np.zeros(2 + p + p * p)
-    for r in groups.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in groups.mapInArrow(releasing(run), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         found[r.k] = r.v
     return found[0], found[1], found[2 : 2 + p], found[2 + p :].reshape(p, p)
 
@@ -255,4 +255,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [model.of(features(x)) >= CUT for x in texts_as_bytes(batch)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +100,41 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4_000_000) -> It
                 yield batch.slice(low, high - low)
 
 
+_OF_WORKER: list = []
+
+
+def of_worker(make: Callable) -> Callable:
+    """make, whose results a worker keeps for its next tasks, until one begins whose releasing() does not name it."""
+    _OF_WORKER.append(kept_results := cache(make))
+    return kept_results
+
+
+def drop_all_but(name: str | None) -> None:
+    """Forget what this worker keeps for other tasks than those that use the function of that name."""
+    for results in _OF_WORKER:
+        if results.__name__ != name and results.cache_info().currsize:
+            results.cache_clear()
+            gc.collect()
+
+
+def give_back() -> None:
+    """Give the memory that Arrow and the C library (glibc) hold free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in tasks that leave no memory behind: workers outlive tasks and stages, and would keep it. keeps: the of_worker() function that run uses."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_all_but(keeps)
+        yield from run(batches)
+        give_back()
+
+    return released
+
+
 def in_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
@@ -104,7 +142,7 @@ def in_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
         for batch in slices(batches, 2_000_000):
             yield function(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def fold(doc_id: Column | str) -> Column:

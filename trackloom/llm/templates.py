@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.shared import kept, key_of, slices, small, texts_as_bytes, unused
+from trackloom.llm.shared import kept, key_of, releasing, slices, small, texts_as_bytes, unused
 
 WINDOW = 8
 #: Words that an item must have to be found as a template, and words besides placeholders that a template window of WINDOW words must have.
@@ -159,7 +159,7 @@ def _windowed(df: DataFrame, names: str, schema: str, sizes: list[int] | None =
                 part = pa.array(owner[low : low + 50_000], pa.int64())
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).take(part) for i in range(len(columns))], *[pa.array(out[f.name][low : low + 50_000], f.type) for f in _SCHEMA]], [*columns, *_SCHEMA.names])
 
-    return df.select(*columns, "text").mapInArrow(run, f"{schema}, {_ROW}")
+    return df.select(*columns, "text").mapInArrow(releasing(run), f"{schema}, {_ROW}")
 
 
 def matches(docs: DataFrame, items: DataFrame, filter_windows: int = 2_000_000, broadcast_windows: int = 50_000, one_to_one: bool = True) -> DataFrame:
