@@ -88,3 +88,48 @@ def test_ids_of_any_type(spark, tmp_path):
     rows = packed.digests(spark, str(tmp_path / "p")).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, "a", "b"] and rows[0].start == 0
     assert [r.doc_id for r in packed.documents(spark, str(tmp_path / "p")).orderBy("start").collect()] == [None, "a", "b"]
+
+
+class Counted:
+    """The library or its model, with the number of calls that encode."""
+
+    def __init__(self, own, calls):
+        self.own, self.calls = own, calls
+
+    def __getattr__(self, name):
+        if name in ("encode", "encode_batch_fast", "tokenize"):
+            self.calls.append(name)
+        return getattr(self.own, name)
+
+
+def test_new_stretches_take_few_calls_of_the_library():
+    """The cost of a text of new words was one call for each of them."""
+    words = [f"w{i}x{i % 7}{'.,!'[i % 3]}" if i % 2 else f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}ing" for i in range(1000)]
+    enc, calls = packed.Encoder(FILE), []
+    enc.library = Counted(enc.library, calls)
+    if hasattr(enc, "model"):
+        enc.model = Counted(enc.model, calls)
+    text = "one " + " ".join(words)
+    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == UNTOUCHED.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 10
+
+
+LINES = ["end.\nThe next, it's\nhere!", "a\n", "\nb c", "x,\n(y) z...\n'tis", "a.\n\nb\nc, d", "one,  two.\nthree", "the\n1,\n2\n***\nthe end.***", "7%, é!? ñ. _x_ ×, 'll, n't. 一, ².", "a\n\nb c.\n\nD", "a b\n\n", "\n\na b", "x y\n\n\nz w\n\nv"]
+
+
+def test_line_feeds_and_marks_at_ends_equal_the_library():
+    got = packed.Encoder(FILE).encode(LINES)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [UNTOUCHED.encode(x, add_special_tokens=False).ids for x in LINES]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="\n  aT.,'7\xe9!一\xa0", max_size=20) | st.text(alphabet="\n\nab,.'", max_size=20), max_size=6), st.integers(0, 3))
+def test_many_texts_at_once_equal_the_library(texts, remember):
+    """Plain, odd and quoting texts side by side, with a memory that forgets between calls."""
+    enc = packed.encoder(FILE)
+    kept, enc.remember = enc.remember, remember
+    for some in (texts, ["x " + x for x in texts] + TEXTS[:3] + ["q <|endoftext|> a"], texts[::-1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(some)] == [UNTOUCHED.encode(x, add_special_tokens=False).ids for x in some]
+    enc.remember = kept
+    ids, starts = enc.encode_all(texts, np.array([2], "<u4").tobytes())
+    assert ids.tolist() == [i for x in texts for i in [*UNTOUCHED.encode(x, add_special_tokens=False).ids, 2]] and len(starts) == len(texts) + 1
