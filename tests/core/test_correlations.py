@@ -32,3 +32,19 @@ def test_two_sided_speed_and_order(spark):
     assert {r.time_index: r.two_sided_speed for r in tracks.mean_speed_two_sided(df, 3).collect()}[3] == 7 / 3.0
     more = df.unionByName(df.withColumn("experiment", F.lit("a")))
     assert [(r.experiment, r.time_index) for r in tracks.track_order(more).orderBy("position").collect()] == [(e, t) for e in "ae" for t in (1, 2, 3, 6, 7, 8)]
+
+
+def test_ranks_of_values_that_are_not_the_same_when_computed_again(spark):
+    """Means differ in the last digit from run to run, by the order in which parts arrive."""
+
+    def shaken(batches):
+        import random
+
+        for pdf in batches:
+            yield pdf.assign(**{c: pdf[c] + random.random() * 1e-9 for c in "wxyz"})
+
+    rows = [(n, *[float((i * 7 + j * 3) % 11) for j in range(4)]) for i, n in enumerate("abc")]
+    df = spark.createDataFrame(rows, "name string, w double, x double, y double, z double")
+    df = df.mapInPandas(shaken, df.schema)
+    assert [r.n for r in tables.corr_between(df, "name", ["w", "x", "y", "z"], "spearman").collect()] == [4, 4, 4]
+    assert all(r["corr"] is not None for r in tables.corr_matrix(df, ["w", "x", "y", "z"], ["name"], "spearman").collect())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.columns import base_of, padded_well, ratio, treatment_of
 from trackloom.operators import order
+from trackloom.operators.storage import kept
 from trackloom.operators.tracks import KEY, TIME
 
 
@@ -250,7 +251,7 @@ def corr_matrix(df: DataFrame, features: Sequence[str], key: Sequence[str], meth
     Spearman ranks each feature over its own values, by a sort distributed over features.
     """
     if method == "spearman":
-        long = melt(df, key, features).where(F.col("value").isNotNull())
+        long = kept(melt(df, key, features).where(F.col("value").isNotNull()))  # values that are computed again may differ in the last digit and miss their rank
         ranked = long.join(order.value_ranks(long, "value", ["feature"]), ["feature", "value"]).select(*key, "feature", F.col("rank").alias("value"))
         df = ranked.groupBy(*key).pivot("feature", list(features)).agg(F.first("value"))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
@@ -261,6 +262,7 @@ def corr_between(df: DataFrame, name: str, features: Sequence[str], method: str
     """a, b, n and corr of each pair of rows (a < b by their name) over the features that both have; spearman: of their ranks within each row. Names must identify rows."""
     long = melt(df, [name], features).where(F.col("value").isNotNull())
     if method == "spearman":
+        long = kept(long)  # as in corr_matrix
         long = long.join(order.value_ranks(long, "value", [name]), [name, "value"]).select(name, "feature", F.col("rank").alias("value"))
     a = long.select(F.col(name).alias("a"), "feature", F.col("value").alias("x"))
     b = long.select(F.col(name).alias("b"), "feature", F.col("value").alias("y"))
