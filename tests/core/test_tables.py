@@ -195,3 +195,19 @@ def test_direct_forecasts_do_not_look_ahead(spark):
     assert {r.unique_id: r.model for r in best.collect()}["b"] == "ridge"
     with pytest.raises(KeyError):
         forecast.forecast(df, forecast.backtest_windows(df, 3, 30, 10), ["unknown"])
+
+
+def test_nonlinear_fits_of_many_series_at_once(spark):
+    rng = np.random.default_rng(3)
+    ts = [np.arange(n, dtype=float) * step for n, step in ((5, 1), (30, 2), (11, 1))]
+    ys = [3 + 2 * np.exp(-0.1 * t) + rng.normal(0, 0.01, len(t)) for t in ts]
+    for name, model in fits.MODELS.items():
+        with np.errstate(all="ignore"):
+            together = fits.least_squares_of_many(model, ts, ys)
+            alone = [fits.least_squares(model, t, y) for t, y in zip(ts, ys, strict=True)]
+        assert np.allclose(together[1], [rss for _, rss in alone], rtol=0.05), name
+    long = spark.createDataFrame([("e", i, "area", int(t), float(y)) for i, (x, v) in enumerate(zip(ts, ys, strict=True)) for t, y in zip(x, v, strict=True)] + [("e", 9, "area", 0, 1.0)], "experiment string, parent long, feature string, time_index int, value double")
+    found = fits.fit_nonlinear_family(long)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()  # no call for each series
+    best = {r.parent: r.rmse for r in found.where("model = 'plateau'").collect()}
+    assert best.keys() == {0, 1, 2} and max(best.values()) < 0.02

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,32 +120,59 @@ MODELS = {
 }
 
 
+#: Series that are fitted at once.
+TOGETHER = 256
+
+
 def least_squares(model: Model, t: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[list[float], float]:
     """Levenberg-Marquardt with steps clipped to the bounds; parameters and the sum of squared residuals."""
+    params, rss = least_squares_of_many(model, [t], [y], rounds)
+    return params[0].tolist(), float(rss[0])
+
+
+def _solved(a: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of a stack of systems, and which have one."""
+    try:
+        return np.linalg.solve(a, g[:, :, None])[:, :, 0], np.ones(len(a), bool)
+    except np.linalg.LinAlgError:
+        out, ok = np.zeros_like(g), np.ones(len(a), bool)
+        for i in range(len(a)):
+            try:
+                out[i] = np.linalg.solve(a[i], g[i])
+            except np.linalg.LinAlgError:
+                ok[i] = False
+        return out, ok
+
+
+def least_squares_of_many(model: Model, ts: Sequence[np.ndarray], ys: Sequence[np.ndarray], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """least_squares of many series at once, each with its own steps: parameters (a row for each) and sums of squared residuals."""
     low, high = np.array(model.low), np.array(model.high)
-    p = np.clip(np.array(model.start(t, y), float), low, high)
-    r = y - model.curve(t, *p)
-    rss, damp = float(r @ r), 1e-2
+    longest, k = max(map(len, ts)), len(low)
+    t, y, there = np.ones((len(ts), longest)), np.zeros((len(ts), longest)), np.zeros((len(ts), longest), bool)
+    for i, (x, v) in enumerate(zip(ts, ys, strict=True)):
+        t[i, : len(x)], y[i, : len(x)], there[i, : len(x)] = x, v, True
+    curve = lambda rows, p: model.curve(t[rows], *[p[:, i, None] for i in range(k)])
+    p = np.clip(np.array([model.start(x, v) for x, v in zip(ts, ys, strict=True)], float), low, high)
+    r = np.where(there, y - curve(slice(None), p), 0.0)
+    rss, damp, open_ = (r * r).sum(axis=1), np.full(len(ts), 1e-2), np.arange(len(ts))
     for _ in range(rounds):
-        h = 1e-6 * np.maximum(1.0, np.abs(p))
-        jac = np.stack([(model.curve(t, *(p + h * (np.arange(len(p)) == i))) - (y - r)) / h[i] for i in range(len(p))], axis=1)
-        a, g = jac.T @ jac, jac.T @ r
-        try:
-            new = np.clip(p + np.linalg.solve(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), g), low, high)
-        except np.linalg.LinAlgError:
+        if not len(open_):
             break
-        r_new = y - model.curve(t, *new)
-        rss_new = float(r_new @ r_new)
-        if np.isfinite(rss_new) and rss_new < rss:
-            done = rss - rss_new < 1e-10 * rss
-            p, r, rss, damp = new, r_new, rss_new, damp / 5
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e8:
-                break
-    return p.tolist(), rss
+        q, e, w = p[open_], r[open_], there[open_]
+        h = 1e-6 * np.maximum(1.0, np.abs(q))
+        jac = np.stack([np.where(w, (curve(open_, q + h * (np.arange(k) == i)) - (y[open_] - e)) / h[:, i, None], 0.0) for i in range(k)], axis=1)
+        a, g = jac @ jac.transpose(0, 2, 1), (jac @ e[:, :, None])[:, :, 0]
+        step, ok = _solved(a + damp[open_, None, None] * np.eye(k) * np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-12)[:, :, None], g)
+        new = np.clip(q + step, low, high)
+        r_new = np.where(w, y[open_] - curve(open_, new), 0.0)
+        rss_new = (r_new * r_new).sum(axis=1)
+        better = ok & np.isfinite(rss_new) & (rss_new < rss[open_])
+        done = better & (rss[open_] - rss_new < 1e-10 * rss[open_])
+        at = open_[better]
+        p[at], r[at], rss[at] = new[better], r_new[better], rss_new[better]
+        damp[open_] = np.where(better, damp[open_] / 5, damp[open_] * 4)
+        open_ = open_[ok & ~done & (better | (damp[open_] <= 1e8))]
+    return p, rss
 
 
 def _poly_f_p(t: np.ndarray, y: np.ndarray, k: int) -> float | None:
@@ -159,33 +187,48 @@ def _poly_f_p(t: np.ndarray, y: np.ndarray, k: int) -> float | None:
 
 
 def fit_nonlinear_family(long: DataFrame, models: Sequence[str] = tuple(MODELS), robust: bool = True, key: Sequence[str] = KEY) -> DataFrame:
-    """track, feature, model, n, k, r2, rmse, poly_f_p, params: bounded least squares of each curve, one track and feature at a time.
+    """track, feature, model, n, k, r2, rmse, poly_f_p, params: bounded least squares of each curve to each track and feature.
 
-    robust: only fits with finite results, more rows than parameters and a positive r2.
+    robust: only fits with finite results, more rows than parameters and a positive r2. A task fits TOGETHER series at once.
     """
     names = [*key, "feature"]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["value"]).sort_values(TIME)
-        rows = []
-        if len(pdf) >= 3:
-            t, y = pdf[TIME].to_numpy(float), pdf["value"].to_numpy(float)
-            t = t - t[0]
-            total = float(((y - y.mean()) ** 2).sum())
-            for name in models:
-                model = MODELS[name]
-                k = len(model.low)
-                with np.errstate(all="ignore"):
-                    params, rss = least_squares(model, t, y)
-                r2 = 1 - rss / total if total > 1e-12 else None
-                if robust and not (np.isfinite(rss) and np.all(np.isfinite(params)) and len(y) > k and r2 is not None and r2 > 0):
+    series = long.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(TIME).isNotNull()).groupBy(*names).agg(F.sort_array(F.collect_list(F.struct(F.col(TIME).cast("double").alias("t"), F.col("value").cast("double").alias("y")))).alias("__s"))
+
+    def fit(batches):
+        for whole in batches:
+            sizes = whole.column("__s").value_lengths().to_numpy()
+            enough = np.argsort(sizes, kind="stable")  # series of like length go together
+            enough = enough[sizes[enough] >= 3]
+            for start in range(0, len(enough), TOGETHER):
+                yield fitted(whole.take(pa.array(enough[start : start + TOGETHER])))
+
+    def fitted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t, y = (c.to_numpy() for c in batch.column("__s").flatten().flatten())
+        cuts = np.cumsum(batch.column("__s").value_lengths().to_numpy())[:-1]
+        ts, ys = [x - x[0] for x in np.split(t, cuts)], np.split(y, cuts)
+        n, total = np.array([len(x) for x in ys]), np.array([((x - x.mean()) ** 2).sum() for x in ys])
+        p_of: dict[tuple[int, int], float | None] = {}
+        rows, out = [], {c: [] for c in ("model", "n", "k", "r2", "rmse", "rss", "range", "poly_f_p", "params")}
+        for name in models:
+            model = MODELS[name]
+            k = len(model.low)
+            with np.errstate(all="ignore"):
+                params, rss = least_squares_of_many(model, ts, ys)
+            for i in range(len(ys)):
+                r2 = float(1 - rss[i] / total[i]) if total[i] > 1e-12 else None
+                if robust and not (np.isfinite(rss[i]) and np.all(np.isfinite(params[i])) and n[i] > k and r2 is not None and r2 > 0):
                     continue
-                rows.append({**{c: pdf[c].iloc[0] for c in names}, "model": name, "n": len(y), "k": k, "r2": r2, "rmse": (rss / len(y)) ** 0.5, "rss": rss, "range": float(np.ptp(y)), "poly_f_p": _poly_f_p(t, y, k), "params": params})
-        out = pd.DataFrame(rows, columns=[*names, "model", "n", "k", "r2", "rmse", "rss", "range", "poly_f_p", "params"])
-        return out.astype({"r2": "float64", "poly_f_p": "float64", "rss": "float64", "rmse": "float64", "range": "float64"})
+                if (i, k) not in p_of:
+                    p_of[i, k] = _poly_f_p(ts[i], ys[i], k)
+                rows.append(i)
+                for c, x in zip(out, (name, int(n[i]), k, r2, float((rss[i] / n[i]) ** 0.5), float(rss[i]), float(np.ptp(ys[i])), p_of[i, k], params[i].tolist()), strict=True):
+                    out[c].append(x)
+        types = {"model": pa.string(), "n": pa.int64(), "k": pa.int64(), "params": pa.list_(pa.float64())}
+        known = batch.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([*[known.column(c) for c in names], *[pa.array(v, types.get(c, pa.float64())) for c, v in out.items()]], [*names, *out])
 
     kinds = ", ".join(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in names)
-    return long.select(*names, TIME, "value").groupBy(*names).applyInPandas(fit, f"{kinds}, model string, n long, k long, r2 double, rmse double, rss double, range double, poly_f_p double, params array<double>")
+    return series.mapInArrow(fit, f"{kinds}, model string, n long, k long, r2 double, rmse double, rss double, range double, poly_f_p double, params array<double>")
 
 
 def saturation_grid(long: DataFrame, rates: Sequence[float], key: Sequence[str] = KEY) -> DataFrame:
