@@ -86,3 +86,11 @@ def test_group_cv(spark):
     assert all(r.n == 1 for r in folds) and len({r.fold for r in folds}) == 4 and len(folds) == 11
     got = clusters.group_cv(df.withColumn("l", F.col("label")), ["x", "noise", "still"], "l", "g", 4, reg=0.01, steps=30).collect()
     assert len(got) == 4 and sum(r.n for r in got) == 600 and min(r.balanced_accuracy for r in got) > 0.9
+
+
+def test_all_numbers_of_clusters_together(groups):
+    together, _ = grouped.kmeans_sweep(groups, ["x", "y"], ["g"], {"two": 2, "four": 4})
+    cells = ["g", "x", "y"]
+    for k, label in ((2, "two"), (4, "four")):
+        alone = grouped.kmeans(groups, ["x", "y"], ["g"], k)[0]
+        assert sorted(map(str, together.select(*cells, label).collect())) == sorted(map(str, alone.select(*cells, F.col("cluster").alias(label)).collect()))

@@ -112,9 +112,7 @@ def cluster_by_group(df: DataFrame, features: Sequence[str], group: str, k: int,
 
 def euclidean_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 11), by: Sequence[str] = ()) -> DataFrame:
     """by, k and silhouette (Euclidean, over all pairs of a group) of each group's own clusters, for every k below its number of rows."""
-    labelled = df
-    for k in ks:
-        labelled = grouped.kmeans(labelled, columns, by, k, label=f"__k{k}")[0]
+    labelled = grouped.kmeans_sweep(df, columns, by, {f"__k{k}": k for k in ks})[0]
     filled = labelled.fillna(0, subset=[f"__k{k}" for k in ks])  # a group too small for k: one cluster, which has no silhouette
     found = grouped.silhouettes(filled, columns, [f"__k{k}" for k in ks], by)
     return found.select(*by, F.substr("labelling", F.lit(4)).cast("int").alias("k"), "silhouette", "n")

@@ -6,7 +6,7 @@ group and model and meets the rows by a join on the group. No name of a group, a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -80,50 +80,59 @@ def components(df: DataFrame, columns: Sequence[str], by: Sequence[str], k: int)
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], by: Sequence[str], k: int, restarts: int = 5, seed: int = 42, steps: int = 20, label: str = "cluster") -> tuple[DataFrame, DataFrame]:
-    """df with the label of each row (null where a column is, or its group has fewer than k rows), and (by, centres, cost) of the best of so many starts of each group.
+    """df with the label of each row (null where a column is, or its group has fewer than k rows), and (by, centres, cost) of the best of so many starts of each group."""
+    labelled, final = kmeans_sweep(df, columns, by, {label: k}, restarts, seed, steps)
+    return labelled, final.drop("k")
 
-    Lloyd's steps for all groups and starts together. Starts are drawn (D2 weights) from a sample of STARTS * k rows of each group by hash. Labels are numbered by the sum of their centre's coordinates.
+
+def kmeans_sweep(df: DataFrame, columns: Sequence[str], by: Sequence[str], ks: Mapping[str, int], restarts: int = 5, seed: int = 42, steps: int = 20) -> tuple[DataFrame, DataFrame]:
+    """df with a label for each name in ks (null where a column is, or its group has fewer than k rows), and (by, k, centres, cost) of the best of so many starts of each group and k.
+
+    Lloyd's steps for all groups, numbers of clusters and starts together. Starts are drawn (D2 weights) from a sample of STARTS * k rows of each group by hash. Labels are numbered by the sum of their centre's coordinates.
     """
     n = len(columns)
     rows = kept(df.withColumn("__v", _vector(columns)).withColumn("__id", F.monotonically_increasing_id()))
     points = rows.where(~F.exists("__v", lambda x: x.isNull() | F.isnan(x))).select(*by, "__id", "__v")
     keys = list(by) or [F.lit(0).alias("__all")]
-    first = points.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("__v", F.lit(seed)), "__id"))).where(F.col("__k") <= STARTS * k)
+    first = points.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("__v", F.lit(seed)), "__id"))).where(F.col("__k") <= STARTS * max(ks.values()))
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("__k")["__v"].to_list())
-        if len(x) < k:
-            return pd.DataFrame({**{c: pdf[c].head(0) for c in by}, "model": pd.Series(dtype="int32"), "centres": pd.Series(dtype=object)})
-        found = []
-        for r in range(restarts):
-            rng, chosen = np.random.default_rng([seed, r]), []
-            away = np.ones(len(x))
-            for _ in range(k):
-                chosen.append(int(rng.choice(len(x), p=away / away.sum())) if away.sum() > 0 else len(chosen))
-                away = np.min([((x - x[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
-            found.append([v.tolist() for v in x[chosen]])
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * restarts for c in by}, "model": np.arange(restarts, dtype="int32"), "centres": found})
-
-    models = kept(first.groupBy(*keys).applyInPandas(draw, f"{kinds}model int, centres array<array<double>>"))
+        every = np.stack(pdf.sort_values("__k")["__v"].to_list())
+        out = []
+        for k in sorted(set(ks.values())):
+            x = every[: STARTS * k]
+            for r in range(restarts) if len(x) >= k else ():
+                rng, chosen = np.random.default_rng([seed, r]), []
+                away = np.ones(len(x))
+                for _ in range(k):
+                    chosen.append(int(rng.choice(len(x), p=away / away.sum())) if away.sum() > 0 else len(chosen))
+                    away = np.min([((x - x[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
+                out.append((k, r, [v.tolist() for v in x[chosen]]))
+        made = pd.DataFrame(out, columns=["k", "model", "centres"]).astype({"k": "int32", "model": "int32", "centres": object})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(made) for c in by}, **made}) if len(made) else pd.concat([pdf[list(by)].head(0), made], axis=1)
+
+    models = kept(first.groupBy(*keys).applyInPandas(draw, f"{kinds}k int, model int, centres array<array<double>>"))
     best = lambda: F.array_min(F.transform("centres", lambda c, i: F.struct(_squares(F.col("__v"), c).alias("d"), i.alias("i"))))
     for _ in range(steps):
-        near = _beside_models(points, models, by).select(*by, "model", "__v", best().alias("__b"))
-        sums = near.groupBy(*by, "model", F.col("__b.i").alias("i")).agg(F.count("*").alias("n"), _sum_of("__v", n).alias("s"))
-        moved = sums.groupBy(*by, "model").agg(F.map_from_entries(F.collect_list(F.struct("i", F.transform("s", lambda x: x / F.col("n"))))).alias("__to"))
-        after = order.beside(models, moved, [*by, "model"]).select(*by, "model", F.transform("centres", lambda c, i: F.coalesce(F.element_at("__to", i), c)).alias("centres"), F.col("centres").alias("__old"))
+        near = _beside_models(points, models, by).select(*by, "k", "model", "__v", best().alias("__b"))
+        sums = near.groupBy(*by, "k", "model", F.col("__b.i").alias("i")).agg(F.count("*").alias("n"), _sum_of("__v", n).alias("s"))
+        moved = sums.groupBy(*by, "k", "model").agg(F.map_from_entries(F.collect_list(F.struct("i", F.transform("s", lambda x: x / F.col("n"))))).alias("__to"))
+        after = order.beside(models, moved, [*by, "k", "model"]).select(*by, "k", "model", F.transform("centres", lambda c, i: F.coalesce(F.element_at("__to", i), c)).alias("centres"), F.col("centres").alias("__old"))
         after = kept(after)
         shift = after.select(F.max(F.array_max(F.zip_with("centres", "__old", _squares)))).first()[0]
         models = after.drop("__old")
         if not shift or shift < 1e-12:
             break
-    costs = _beside_models(points, models, by).groupBy(*by, "model").agg(F.sum(best()["d"]).alias("cost"))
-    with_cost = order.beside(models, costs, [*by, "model"])
-    chosen = with_cost.groupBy(*by).agg(F.min(F.struct("cost", "model", "centres")).alias("b")) if by else with_cost.agg(F.min(F.struct("cost", "model", "centres")).alias("b"))
+    costs = _beside_models(points, models, by).groupBy(*by, "k", "model").agg(F.sum(best()["d"]).alias("cost"))
+    with_cost = order.beside(models, costs, [*by, "k", "model"])
+    chosen = with_cost.groupBy(*by, "k").agg(F.min(F.struct("cost", "model", "centres")).alias("b"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     ordered = F.transform(F.array_sort(F.transform("b.centres", lambda c, i: F.struct(total(c).alias("t"), i.alias("i"), c.alias("c")))), lambda x: x["c"])
-    final = kept(chosen.where("b.centres is not null").select(*by, ordered.alias("centres"), F.col("b.cost").alias("cost")))
-    labelled = _beside_models(points, final.select(*by, "centres"), by).select("__id", best()["i"].alias(label))
+    final = kept(chosen.where("b.centres is not null").select(*by, "k", ordered.alias("centres"), F.col("b.cost").alias("cost")))
+    each = final.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "centres"))).alias("__by_k"))
+    nearest = lambda k: F.array_min(F.transform(F.element_at("__by_k", F.lit(k)), lambda c, i: F.struct(_squares(F.col("__v"), c).alias("d"), i.alias("i"))))["i"]
+    labelled = _beside_models(points, each, by).select("__id", *[nearest(k).alias(label) for label, k in ks.items()])
     return rows.join(labelled, "__id", "left").drop("__id", "__v"), final
 
 
@@ -149,9 +158,10 @@ def silhouettes(df: DataFrame, columns: Sequence[str], labels: Sequence[str], by
                 away += (x[:, i, None] - y[None, :, i]) ** 2
             away = np.sqrt(away)
             for m in range(la.shape[1]):
-                for c in np.unique(lb[:, m]):
-                    at = lb[:, m] == c
-                    out.append(pd.DataFrame({**{k: a[k].to_numpy() for k in keys}, "__id": a["__id"].to_numpy(), "m": m, "own": la[:, m], "c": c, "s": away[:, at].sum(axis=1), "n": int(at.sum())}))
+                c, at = np.unique(lb[:, m], return_inverse=True)
+                sums, size = away @ np.eye(len(c))[at.ravel()], np.bincount(at.ravel())  # by row and cluster
+                each, there = np.repeat(np.arange(len(a)), len(c)), np.tile(np.arange(len(c)), len(a))
+                out.append(pd.DataFrame({**{k: a[k].to_numpy()[each] for k in keys}, "__id": a["__id"].to_numpy()[each], "m": m, "own": la[each, m], "c": c[there], "s": sums.ravel(), "n": size[there]}))
         return pd.concat(out) if out else pd.DataFrame({**{k: a[k].head(0) for k in keys}, "__id": a["__id"].head(0), **{k: pd.Series(dtype="int64") for k in ("m", "own", "c")}, "s": pd.Series(dtype="float64"), "n": pd.Series(dtype="int64")})
 
     each = side("i", "j").groupBy(*by, "i", "j").cogroup(side("j", "i").groupBy(*by, "i", "j")).applyInPandas(meet, f"{kinds}__id long, m int, own long, c long, s double, n long")
